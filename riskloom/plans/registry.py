@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskloom.plans import feature_queries
+from riskloom.plans import feature_queries, governance_queries
 
-MODULES = [feature_queries]
+MODULES = [feature_queries, governance_queries]
 
 
 def queries():
