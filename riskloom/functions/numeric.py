@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_SPLIT = float(2**27 + 1)
+
 
 def round_dp(x: Column, places: int) -> Column:
-    """Round half up by ``floor(x * 10^p + 0.5) / 10^p``.
+    """Round to ``places`` decimals by the exact binary value, ties to even.
 
-    ``round`` on doubles differs between engines at ties; this form uses only
-    exactly specified operations.
+    This is what ``printf`` and Python's ``round`` do (2.675 -> 2.67); Spark's
+    ``round`` works on the shortest decimal text instead. ``x * 10^p`` is rounded
+    once by the hardware; the exact remainder of that product (Dekker split) decides
+    the cases that look like ties.
     """
-    scale = float(10**places)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    scale = F.lit(float(10**places))
+    product = x * scale
+    nearest = F.rint(product)
+    big = x * F.lit(_SPLIT)
+    high = big - (big - x)
+    remainder = (high * scale - product) + (x - high) * scale
+    looks_tied = (F.abs(product - nearest) == 0.5) & (remainder != 0.0)
+    settled = F.when(
+        looks_tied,
+        F.when(remainder > 0, F.ceil(product)).otherwise(F.floor(product)).cast("double"),
+    ).otherwise(nearest)
+    return settled / scale + F.lit(0.0)  # no negative zero
 
 
 def cents(amount: Column) -> Column:
@@ -22,9 +36,8 @@ def cents(amount: Column) -> Column:
 
 
 def mean_of_cents(total: Column, n: Column) -> Column:
-    """Mean of integer cents, rounded half up to a cent, as an amount."""
-    half_up = F.call_function("div", total * F.lit(2) + n, n * F.lit(2))
-    return half_up.cast("double") / F.lit(100.0)
+    """Mean of integer cents as an amount, 2 places."""
+    return round_dp(total.cast("double") / F.lit(100.0) / n.cast("double"), 2)
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.numeric import clip, round_dp
-from riskloom.operators.evaluation import exact_quantiles
-from riskloom.operators.ranking import running_totals
+from riskloom.operators.evaluation import quantiles
+from riskloom.operators.ranking import running_totals, stage_ordered
 from riskloom.schemas import FEATURES
 
 WARN, ALERT, BINS, EPS, MIN_ROWS = 0.10, 0.25, 10, 1e-4, 5
@@ -26,9 +26,11 @@ def monitored_features(reference: DataFrame, current: DataFrame) -> list[str]:
 
 
 def value_histogram(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, ref_n, cur_n): distinct values with counts on both sides.
+    """(feature, value, ref_n, cur_n): distinct values with counts, staged in order.
 
-    Equal values combine before the shuffle. Nulls and NaN are dropped.
+    The only pass over both tables. Equal values combine before the shuffle, and a
+    feature with very many distinct values is cut into many ranges. Nulls and NaN
+    are dropped.
     """
     def side(df: DataFrame, ref: int) -> DataFrame:
         cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
@@ -38,8 +40,9 @@ def value_histogram(reference: DataFrame, current: DataFrame, features: Sequence
             F.lit(1 - ref).cast("bigint").alias("c"))
 
     cells = side(reference, 1).unionByName(side(current, 0))
-    return (cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    hist = (cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
             .groupBy("feature", "value").agg(F.sum("r").alias("ref_n"), F.sum("c").alias("cur_n")))
+    return stage_ordered(hist, ["feature"], "value")
 
 
 def _sizes(hist: DataFrame) -> DataFrame:
@@ -50,11 +53,11 @@ def _sizes(hist: DataFrame) -> DataFrame:
 
 
 def _psi(hist: DataFrame, sizes: DataFrame, bins: int = BINS) -> DataFrame:
-    quantiles = exact_quantiles(hist.where(F.col("ref_n") > 0), ["feature"], "value",
-                                [i / bins for i in range(bins + 1)], weight="ref_n")
+    totals = running_totals(hist, ["feature"], "value", ["ref_n"]).join(sizes, "feature")
+    cuts = quantiles(totals, ["feature"], "value", "ref_n", "ref_size",
+                     [i / bins for i in range(bins + 1)])
     # bins + 1 values per feature: a constant-size array
-    edges = quantiles.groupBy("feature").agg(
-        F.array_sort(F.collect_set("q_value")).alias("edges"))
+    edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("q_value")).alias("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     per_feature = sizes.join(edges, "feature").select(
         "feature", "ref_size", "cur_size", inner.alias("inner"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import round_dp, safe_ratio
-from riskloom.operators.ranking import running_totals
+from riskloom.operators.ranking import running_totals, stage_ordered
 
 COST_FN = 500.0
 COST_FP = 10.0
@@ -53,44 +53,45 @@ def precision_recall_f1(confusion: DataFrame) -> DataFrame:
         "f1_score": round_dp(_f1(), 4)})
 
 
-def score_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score, from the highest: cum_pos, cum_neg and totals.
+def score_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score, staged in score order.
 
-    Tied scores are one point. Rows are aggregated to distinct scores first; the
-    running sums never gather all scores in one task.
+    The only pass over the predictions: curves, confusion counts and totals all
+    come from this table, in which tied scores are one row.
     """
-    by = list(by)
     points = df.groupBy(*by, "p").agg(F.sum(F.col("y").cast("bigint")).alias("pos"),
                                       F.sum((1 - F.col("y")).cast("bigint")).alias("neg"))
-    return running_totals(points, by, "p", ["pos", "neg"], descending=True)
+    return stage_ordered(points, by, "p")
 
 
-def _curve_summary(df: DataFrame, by: Sequence[str], target_recall: float, max_fpr: float
-                   ) -> DataFrame:
-    """AUC, average precision and both operating points from one curve."""
+def _curve_summary(points: DataFrame, by: Sequence[str], target_recall: float = 0.90,
+                   max_fpr: float = 0.01, threshold: float = 0.5) -> DataFrame:
+    """AUC, average precision, both operating points and the confusion counts."""
     by = list(by)
-    curve = score_curve(df, by)
-    totals = df.groupBy(*by).agg(F.sum(F.col("y").cast("bigint")).alias("n_pos"),
-                                 F.sum((1 - F.col("y")).cast("bigint")).alias("n_neg"))
+    curve = running_totals(points, by, "p", ["pos", "neg"], descending=True)
+    totals = points.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     if by:
-        points = curve.join(totals, by)
+        curve = curve.join(totals, by)
     else:
-        points = curve.select("*", totals.select("n_pos").scalar().alias("n_pos"),
-                              totals.select("n_neg").scalar().alias("n_neg"))
+        curve = curve.select("*", *[totals.select(c).scalar().alias(c) for c in ("n_pos", "n_neg")])
     # Twice the trapezoid area in whole pairs: exact integers up to 38 digits.
     tp_before = (F.col("cum_pos") * 2 - F.col("pos")).cast("decimal(19,0)")
     pairs2 = F.sum((F.col("neg").cast("decimal(19,0)") * tp_before).cast("decimal(38,0)"))
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     recall = safe_ratio(F.col("cum_pos"), F.col("n_pos"))
     fpr = safe_ratio(F.col("cum_neg"), F.col("n_neg"))
-    return points.groupBy(*by).agg(
+    hit = F.col("p") >= F.lit(threshold)
+    count = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0)).alias
+    return curve.groupBy(*by).agg(
         F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
         pairs2.cast("double").alias("pairs2"),
         F.sum(F.col("pos") * precision).alias("ap_sum"),
         F.max(F.when(recall >= F.lit(target_recall), precision)).alias("p_at_r"),
         F.max(F.when(fpr <= F.lit(max_fpr), recall)).alias("r_at_fpr"),
+        count(hit, "pos")("tp"), count(hit, "neg")("fp"),
+        count(~hit, "neg")("tn"), count(~hit, "pos")("fn"),
     ).select(
-        *by, "n_pos", "n_neg",
+        *by, "n_pos", "n_neg", "tp", "fp", "tn", "fn",
         safe_ratio(F.col("pairs2"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
                    * F.lit(2.0)).alias("auc_roc"),
         safe_ratio(F.col("ap_sum"), F.col("n_pos")).alias("pr_auc"),
@@ -99,20 +100,20 @@ def _curve_summary(df: DataFrame, by: Sequence[str], target_recall: float, max_f
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _curve_summary(df, by, 0.9, 0.01).select(*by, round_dp(F.col("auc_roc"), 4).alias("auc_roc"))
+    return _curve_summary(score_points(df, by), by).select(*by, round_dp(F.col("auc_roc"), 4).alias("auc_roc"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _curve_summary(df, by, 0.9, 0.01).select(*by, round_dp(F.col("pr_auc"), 4).alias("pr_auc"))
+    return _curve_summary(score_points(df, by), by).select(*by, round_dp(F.col("pr_auc"), 4).alias("pr_auc"))
 
 
 def precision_at_recall(df: DataFrame, target: float = 0.90, by: Sequence[str] = ()) -> DataFrame:
-    return _curve_summary(df, by, target, 0.01).select(
+    return _curve_summary(score_points(df, by), by, target).select(
         *by, round_dp(F.col("precision_at_recall"), 4).alias("precision_at_recall"))
 
 
 def recall_at_fpr(df: DataFrame, max_fpr: float = 0.01, by: Sequence[str] = ()) -> DataFrame:
-    return _curve_summary(df, by, 0.9, max_fpr).select(
+    return _curve_summary(score_points(df, by), by, max_fpr=max_fpr).select(
         *by, round_dp(F.col("recall_at_fpr"), 4).alias("recall_at_fpr"))
 
 
@@ -124,12 +125,7 @@ METRICS = ["auc_roc", "pr_auc", "threshold", "precision", "recall", "f1_score",
 def all_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """The 13 metrics, one row per group."""
     by = list(by)
-    curve = _curve_summary(df, by, 0.90, 0.01)
-    confusion = precision_recall_f1(confusion_matrix(df, threshold, by))
-    if by:
-        both = curve.join(confusion, by)
-    else:
-        both = curve.select("*", *[confusion.select(c).scalar().alias(c) for c in confusion.columns])
+    both = precision_recall_f1(_curve_summary(score_points(df, by), by, threshold=threshold))
     return both.select(
         *by,
         round_dp(F.col("auc_roc"), 4).alias("auc_roc"), round_dp(F.col("pr_auc"), 4).alias("pr_auc"),
@@ -141,31 +137,24 @@ def all_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -
         (F.col("n_pos") + F.col("n_neg")).alias("total_samples"))
 
 
-def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, fractions: Sequence[float],
-                    weight: str | None = None) -> DataFrame:
-    """Linear-interpolated quantiles: (group, q_index, q_value).
+def quantiles(totals: DataFrame, group: Sequence[str], value: str, n: str, size: str,
+              fractions: Sequence[float]) -> DataFrame:
+    """Linear-interpolated quantiles (group, q_index, q_value) from running counts.
 
-    Each distinct value covers a range of ranks; the two ranks around every
-    requested position are picked out of the running counts. Memory per task does
-    not grow with the number of distinct values, unlike an exact percentile
+    ``totals`` has, per distinct value, its count ``n``, the running count
+    ``cum_<n>`` and the group size ``size``. Each value covers a range of ranks;
+    the two ranks around every requested position are picked out. Memory per task
+    does not grow with the number of distinct values, unlike an exact percentile
     aggregate.
     """
     group = list(group)
-    counts = df.groupBy(*group, value).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    cum = running_totals(counts, group, value, ["n"])
-    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_size"))
-    if group:
-        cum = cum.join(sizes, group)
-    else:
-        cum = cum.select("*", sizes.scalar().alias("_size"))
     targets = F.array(*[
-        F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_size") - 1).cast("double")).alias("pos"))
+        F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col(size) - 1).cast("double")).alias("pos"))
         for i, q in enumerate(fractions)])
-    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    first, last = F.col(f"cum_{n}") - F.col(n), F.col(f"cum_{n}") - 1
     covers = lambda rank: (rank >= first) & (rank <= last)
     hits = F.filter(targets, lambda t: covers(F.floor(t["pos"])) | covers(F.ceil(t["pos"])))
-    rows = (cum.where(F.size(hits) > 0)
+    rows = (totals.where((F.col(n) > 0) & (F.size(hits) > 0))
             .select(*group, value, first.alias("_f"), last.alias("_l"), F.inline(hits)))
     below, above = F.floor("pos"), F.ceil("pos")
     inside = lambda rank: (rank >= F.col("_f")) & (rank <= F.col("_l"))
@@ -181,17 +170,24 @@ def latency_percentiles(df: DataFrame, latency: str = "latency_ms", by: Sequence
                         ) -> DataFrame:
     """p50, p95, p99 (linear interpolation) and mean, 3 places."""
     by = list(by)
-    q = exact_quantiles(df, by, latency, [0.5, 0.95, 0.99])
+    counts = stage_ordered(df.groupBy(*by, latency).agg(F.count(F.lit(1)).alias("n")), by, latency)
+    # Micro-units keep the mean independent of summation order.
+    sizes = counts.groupBy(*by).agg(
+        F.sum("n").alias("size"), round_dp(
+            F.sum(F.round(F.col(latency) * 1e6).cast("bigint") * F.col("n")).cast("double")
+            / F.sum("n").cast("double") / F.lit(1e6), 3).alias("latency_mean_ms"))
+    totals = running_totals(counts, by, latency, ["n"])
+    if by:
+        totals = totals.join(sizes, by)
+    else:
+        totals = totals.select("*", sizes.select("size").scalar().alias("size"))
+    q = quantiles(totals, by, latency, "n", "size", [0.5, 0.95, 0.99])
     pick = lambda i: round_dp(F.max(F.when(F.col("q_index") == i, F.col("q_value"))), 3)
     wide = q.groupBy(*by).agg(pick(0).alias("latency_p50_ms"), pick(1).alias("latency_p95_ms"),
                               pick(2).alias("latency_p99_ms"))
-    # Micro-units keep the mean independent of summation order.
-    mean = df.groupBy(*by).agg(round_dp(
-        F.sum(F.round(F.col(latency) * 1e6).cast("bigint")).cast("double")
-        / F.count(F.lit(1)).cast("double") / F.lit(1e6), 3).alias("latency_mean_ms"))
     if by:
-        return wide.join(mean, by)
-    return wide.select("*", mean.scalar().alias("latency_mean_ms"))
+        return wide.join(sizes.drop("size"), by)
+    return wide.select("*", sizes.select("latency_mean_ms").scalar().alias("latency_mean_ms"))
 
 
 # Gates --------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.geo import haversine_km, known_location
+from riskloom.functions.geo import known_location, raw_haversine_km
 from riskloom.functions.numeric import cents, mean_of_cents, round_dp
 from riskloom.operators.trailing import MICROS, Trailing, trailing
 from riskloom.operators.entities import merchant_risk
@@ -106,17 +106,18 @@ def last_known_location(df: DataFrame) -> DataFrame:
         F.col("last_place.us").alias("last_us"))
 
 
-def _distance(place: str, last: str) -> Column:
-    return haversine_km(F.col(f"{last}.lat"), F.col(f"{last}.lng"),
-                        F.col(f"{place}.lat"), F.col(f"{place}.lng"))
+def _located(df: DataFrame) -> DataFrame:
+    """last_known_location with the unrounded distance as ``km``.
+
+    Its own projection: rounding mentions its argument several times.
+    """
+    return last_known_location(df).withColumn("km", raw_haversine_km(
+        F.col("last_lat"), F.col("last_lng"), F.col("place.lat"), F.col("place.lng")))
 
 
 def distance_from_last_txn(df: DataFrame) -> DataFrame:
-    located = last_known_location(df)
-    return located.select(
-        "transaction_id",
-        haversine_km(F.col("last_lat"), F.col("last_lng"), F.col("place.lat"), F.col("place.lng"))
-        .alias("distance_from_last_txn"))
+    return _located(df).select("transaction_id",
+                               round_dp(F.col("km"), 3).alias("distance_from_last_txn"))
 
 
 def with_travel_speed(df: DataFrame, max_kmh: float = 800.0) -> DataFrame:
@@ -124,17 +125,13 @@ def with_travel_speed(df: DataFrame, max_kmh: float = 800.0) -> DataFrame:
 
     Moving a positive distance in no time has no finite speed and is flagged.
     """
-    located = last_known_location(df)
-    distance = haversine_km(F.col("last_lat"), F.col("last_lng"),
-                            F.col("place.lat"), F.col("place.lng"))
-    rows = located.select("transaction_id", distance.alias("distance_km"),
-                          (F.col("us") - F.col("last_us")).alias("elapsed_us"))
+    rows = _located(df).select("transaction_id", round_dp(F.col("km"), 3).alias("distance_km"),
+                               (F.col("us") - F.col("last_us")).alias("elapsed_us"))
     speed = F.when(F.col("elapsed_us") > 0, round_dp(
         F.col("distance_km") * F.lit(3600.0 * MICROS) / F.col("elapsed_us").cast("double"), 1))
     impossible = F.when(F.col("elapsed_us") == 0, F.col("distance_km") > 0).otherwise(
         F.coalesce(F.col("speed_kmh") > F.lit(max_kmh), F.lit(False)))
-    return (rows.where(F.col("distance_km").isNotNull())
-            .withColumn("speed_kmh", F.coalesce(speed, F.lit(0.0)))
+    return (rows.withColumn("speed_kmh", F.coalesce(speed, F.lit(0.0)))
             .select("transaction_id", "distance_km", "speed_kmh",
                     F.coalesce(impossible, F.lit(False)).alias("impossible_travel")))
 
@@ -195,7 +192,8 @@ def build_feature_vector(df: DataFrame, baselines: DataFrame | None = None,
     else:
         wide = wide.withColumns({"baseline_mean": F.lit(None).cast("double"),
                                  "baseline_std": F.lit(None).cast("double")})
-    wide = merchant_risk(wide, profiles)
+    wide = merchant_risk(wide, profiles).withColumn("_km", raw_haversine_km(
+        F.col("last_place.lat"), F.col("last_place.lng"), F.col("place.lat"), F.col("place.lng")))
     one = F.lit(1).cast("bigint")
     total, n = F.col("avg_amount_1hr__sum"), F.col("avg_amount_1hr__n")
     mean_1hr = total.cast("double") / (n.cast("double") * F.lit(100.0))
@@ -206,7 +204,7 @@ def build_feature_vector(df: DataFrame, baselines: DataFrame | None = None,
                                 F.col("baseline_std")),
         "is_new_device": F.coalesce("is_new_device", F.lit(False)),
         "is_new_merchant": F.coalesce("is_new_merchant", F.lit(False)),
-        "distance_from_last_txn": _distance("place", "last_place"),
+        "distance_from_last_txn": round_dp(F.col("_km"), 3),
         "is_international": F.coalesce("is_international", F.lit(False)),
         "hour_of_day": hour_of_day(F.col("timestamp")).cast("bigint"),
         "is_weekend": is_weekend(F.col("timestamp")),

@@ -1,12 +1,4 @@
-"""Exact running totals and ranks without sorting a whole group in one task.
-
-``running_totals`` lays the ordered values of a group out in two levels of equal
-width bins, each scaled to the span of the data in it, so outliers and clustered
-values are spread again at the second level. Totals before a bin come from the
-small bin tables; totals inside a bin from a window on the bin. The bin index
-``floor((v - low) / (high - low) * BINS)`` is monotone in v under floating point,
-so the result is exact, not approximate.
-"""
+"""Exact running totals and ranks without sorting a whole group in one task."""
 
 from __future__ import annotations
 
@@ -16,67 +8,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import shuffle_key
+from riskloom.session import stage
 
-BINS = 1024
 
+def stage_ordered(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Writes ``df`` range-partitioned by (group, value), each row with its range number.
 
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    width = high - low
-    return F.when(width > 0, F.least(F.lit(float(BINS - 1)), F.floor((value - low) / width * BINS))
-                  .cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    Ranges are balanced by sampling whatever the distribution, and a group that
+    holds most rows is cut into many ranges. The numbers are stored with the rows:
+    every later read, also after an executor is lost, sees the same cut. ``df`` has
+    one row per (group, value), so it must be aggregated first.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *group, value)
+    return stage(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
 
 
-def running_totals(df: DataFrame, group: Sequence[str], value: str, sums: Sequence[str],
+def running_totals(ordered: DataFrame, group: Sequence[str], value: str, sums: Sequence[str],
                    descending: bool = False, with_next: bool = False) -> DataFrame:
     """Adds ``cum_<s>``, totals over values up to and including the row's.
 
-    ``df`` has one row per (group, value): aggregate first, which also removes
-    heavy duplicate values. ``with_next`` adds ``next_value``, the following
-    distinct value (null at the end). Bin tables hold at most BINS rows per group
-    and BINS rows per first-level bin.
+    Two-phase prefix sum over a table from :func:`stage_ordered`: totals of the
+    ranges before mine (a table of one row per range and group) plus a window
+    inside my range. ``with_next`` adds the following distinct value.
     """
     group = list(group)
-    v = F.col(value)
-    span = df.groupBy(*group).agg(F.min(v).alias("_lo1"), F.max(v).alias("_hi1"))
-    leveled = _attach(df, span, group).withColumn("_b1", _bin(v, F.col("_lo1"), F.col("_hi1")))
-    totals = [F.sum(s).alias(f"_t_{s}") for s in sums]
-    ends = F.min if not descending else F.max
-    level1 = leveled.groupBy(*group, "_b1").agg(
-        *totals, F.min(v).alias("_lo2"), F.max(v).alias("_hi2"), ends(v).alias("_edge"))
+    ends = F.max if descending else F.min
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-
-    w1 = Window.partitionBy(*group).orderBy(order("_b1"))
-    before1 = w1.rowsBetween(Window.unboundedPreceding, -1)
-    carry1 = level1.select(*group, "_b1", "_lo2", "_hi2",
-                           *[F.coalesce(F.sum(f"_t_{s}").over(before1), F.lit(0)).alias(f"_c1_{s}")
-                             for s in sums],
-                           F.lead("_edge").over(w1).alias("_n1"))
-    binned = leveled.join(carry1, [*group, "_b1"]).withColumn(
-        "_b2", _bin(v, F.col("_lo2"), F.col("_hi2")))
-    level2 = binned.groupBy(*group, "_b1", "_b2").agg(
-        *totals, *[F.first(f"_c1_{s}").alias(f"_c1_{s}") for s in sums],
-        F.first("_n1").alias("_n1"), ends(v).alias("_edge"))
-    w2 = Window.partitionBy(*group, "_b1").orderBy(order("_b2"))
-    before2 = w2.rowsBetween(Window.unboundedPreceding, -1)
-    carry2 = level2.select(
-        *group, "_b1", "_b2",
-        *[(F.col(f"_c1_{s}") + F.coalesce(F.sum(f"_t_{s}").over(before2), F.lit(0))).alias(f"_c_{s}")
-          for s in sums],
-        F.coalesce(F.lead("_edge").over(w2), F.col("_n1")).alias("_n2"))
-    rows = binned.drop("_n1", *[f"_c1_{s}" for s in sums]).join(carry2, [*group, "_b1", "_b2"])
-    w3 = Window.partitionBy(*group, "_b1", "_b2").orderBy(order(value))
-    inside = w3.rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ordered.groupBy(*group, "_part").agg(
+        *[F.sum(s).alias(f"_t_{s}") for s in sums], ends(value).alias("_edge"))
+    # One row per range here: the constant key of an ungrouped run is bounded by the range count.
+    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order("_part"))
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ranges.select(
+        *group, "_part",
+        *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_c_{s}") for s in sums],
+        F.lead("_edge").over(across).alias("_next"))
+    mine = Window.partitionBy(*group, "_part").orderBy(order(value))
+    inside = mine.rowsBetween(Window.unboundedPreceding, 0)
     columns = [(F.col(f"_c_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums]
     if with_next:
-        columns.append(F.coalesce(F.lead(value).over(w3), F.col("_n2")).alias("next_value"))
-    return rows.select(*df.columns, *columns)
-
-
-def _attach(df: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
-    """Joins a one-row-per-group table; a single global group is a scalar lookup."""
-    if group:
-        return df.join(small, group)
-    return df.select("*", *[small.select(c).scalar().alias(c) for c in small.columns])
+        columns.append(F.coalesce(F.lead(value).over(mine), F.col("_next")).alias("next_value"))
+    kept = [c for c in ordered.columns if c != "_part"]
+    return ordered.join(carry, [*group, "_part"]).select(*kept, *columns)
 
 
 def hash_rank(df: DataFrame, label: str | None, id_col: str, seed: int) -> DataFrame:

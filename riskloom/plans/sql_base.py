@@ -52,8 +52,7 @@ def with_txn(body: str, *ctes: str) -> str:
 
 
 def rdp(x: str, places: int) -> str:
-    scale = f"{10 ** places}.0::double"
-    return f"(floor(({x}) * {scale} + 0.5::double) / {scale})"
+    return f"(format('{{:.{places}f}}', ({x})::double)::double + 0.0::double)"
 
 
 def frame(key: str, seconds: int) -> str:
@@ -105,7 +104,7 @@ base_features AS (
   FROM txn t),
 features AS (
   SELECT transaction_id, customer_id, txn_count_1min, txn_count_5min, txn_count_1hr, txn_count_24hr,
-    ((2 * sum_1hr + txn_count_1hr) // (2 * txn_count_1hr))::double / 100.0::double AS avg_amount_1hr,
+    {rdp('sum_1hr::double / 100.0::double / txn_count_1hr::double', 2)} AS avg_amount_1hr,
     max_24hr::double / 100.0::double AS max_amount_24hr,
     {rdp("(amount - mean_1hr) / greatest(10.0::double, greatest(10.0::double, mean_1hr * 0.5::double))", 3)}
       AS amount_zscore,
