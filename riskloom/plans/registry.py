@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskloom.plans import feature_queries, governance_queries
+from riskloom.plans import case_queries, feature_queries, governance_queries
 
-MODULES = [feature_queries, governance_queries]
+MODULES = [feature_queries, governance_queries, case_queries]
 
 
 def queries():
