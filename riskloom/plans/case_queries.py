@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 from riskloom.operators import cases as CS
 from riskloom.operators import narrative as N
 from riskloom.operators.entities import linked_accounts
-from riskloom.operators.features import build_feature_vector
 from riskloom.operators.scoring import risk_tier
 from riskloom.plans.feature_queries import _EDGES, _LINKED
-from riskloom.plans.governance_queries import LABEL
+from riskloom.plans.governance_queries import LABEL, features
+from riskloom.plans.stored import stored
 from riskloom.plans.sql_base import RISK_MAP, rdp, with_features, with_txn
 from riskloom.schemas import FEATURES, FEATURE_TYPES
 from riskloom.sources.adapter import read_table, transactions
@@ -30,23 +30,25 @@ def query(name, sql=None):
 
 
 def contexts(spark, sf):
-    """Context bundles of all flagged transactions."""
-    t = transactions(spark, sf)
-    flagged = risk_tier(t).where("was_flagged")
-    return CS.case_context(flagged, build_feature_vector(t), linked_accounts(t, flagged))
+    """Context bundles of all flagged transactions, stored as the case table would be."""
+    def build():
+        t = transactions(spark, sf)
+        flagged = risk_tier(t).where("was_flagged")
+        return CS.case_context(flagged, features(spark, sf), linked_accounts(t, flagged))
+    return stored(spark, sf, "contexts", build)
 
 
 def narrated(spark, sf):
     """Case id, context and a narrative per flagged transaction.
 
-    Every case also gets one claim that its data cannot support in full, so that
-    grounding has something to reject.
+    Every case also gets one bracket of claims that its data supports only in
+    part, so that grounding has something to reject.
     """
     claim = F.concat(F.lit("\n[Citing: risk_score="), F.col("risk_score").cast("string"),
                      F.lit(", std_amount=12km, account_age=600, home_city=Unk, merchant, channel=upi, category=crypto]"))
-    return contexts(spark, sf).select(
+    return stored(spark, sf, "narrated", lambda: contexts(spark, sf).select(
         F.col("transaction_id").alias("case_id"), "context",
-        F.concat(N.factual_narrative(F.col("context")), claim).alias("narrative"))
+        F.concat(N.factual_narrative(F.col("context")), claim).alias("narrative")))
 
 
 def D(x):
@@ -57,7 +59,7 @@ _SNAP = ", ".join(f"f.{x}::INT AS s_{x}" if FEATURE_TYPES[x] == "boolean" else f
                   for x in FEATURES)
 _CTX = f"""ctx AS (
   SELECT t.*, {LABEL.replace('risk_score', 't.risk_score')} AS risk_label, l.ids, len(l.ids)::INT AS linked,
-    r.risk_avg, r.risk_rate, amount AS avg_amount, greatest(10.0::double, amount * 0.4::double) AS std_amount,
+    risk_avg, risk_rate, amount AS avg_amount, greatest(10.0::double, amount * 0.4::double) AS std_amount,
     strftime(t.timestamp, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ts_text, f.distance_from_last_txn AS dist, {_SNAP}
   FROM txn t JOIN features f USING (transaction_id) JOIN linked l USING (transaction_id)
   JOIN {RISK_MAP} ON category = merchant_category WHERE t.risk_score >= 0.6::double)"""

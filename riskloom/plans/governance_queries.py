@@ -9,6 +9,7 @@ from riskloom.operators import evaluation as H
 from riskloom.operators import lifecycle as K
 from riskloom.operators import scoring as E
 from riskloom.operators.features import build_feature_vector
+from riskloom.plans.stored import stored
 from riskloom.plans.sql_base import rdp, with_features, with_txn
 from riskloom.schemas import FEATURES, FEATURE_TYPES
 from riskloom.sources.adapter import BASE_US, read_table, transactions
@@ -328,8 +329,14 @@ def head_to_head(spark, sf):
 HALF_US = BASE_US + 6 * 3600 * 1_000_000
 
 
+def features(spark, sf):
+    """The offline feature table with label and time, stored once."""
+    return stored(spark, sf, "features", lambda: build_feature_vector(
+        transactions(spark, sf), keep=("us", "is_fraud", "timestamp", "amount")))
+
+
 def halves(spark, sf):
-    f = build_feature_vector(transactions(spark, sf), keep=("us",))
+    f = features(spark, sf)
     early = F.col("us") < F.lit(HALF_US)
     return f.where(early).select(*FEATURES), f.where(~early).select(*FEATURES)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from riskloom.plans import case_queries, feature_queries, governance_queries
+from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [feature_queries, governance_queries, case_queries]
+from riskloom.plans import case_queries, data_queries, feature_queries, governance_queries
+
+MODULES = [feature_queries, governance_queries, case_queries, data_queries]
 
 
 def queries():
@@ -13,3 +15,13 @@ def queries():
 
 def oracle_sql():
     return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point-in-time features of every transaction with its risk tier."""
+    from riskloom.operators.features import build_feature_vector
+    from riskloom.operators.scoring import risk_tier
+    from riskloom.sources.adapter import transactions
+
+    features = build_feature_vector(transactions(spark, sf_dir), keep=("risk_score",))
+    return risk_tier(features)
