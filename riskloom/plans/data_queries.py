@@ -312,8 +312,12 @@ def txn_stream(spark, sf):
 
 @query("stream_features", with_features("SELECT transaction_id, txn_count_1hr, unique_devices_1hr, is_new_device, amount_zscore, distance_from_last_txn FROM features"))
 def stream_features(spark, sf):
-    root = work_dir(spark, "stream-out")
-    L.stream_features(txn_stream(spark, sf), root, root + "-ckpt")
+    from riskloom.sources.streams import read_txn_stream
+    root, landing = work_dir(spark, "stream-out"), work_dir(spark, "stream-in")
+    early = F.col("timestamp") < F.timestamp_micros(F.lit(1_704_088_800_000_000))
+    for part in (early, ~early):  # land half the rows, run, land the rest, resume
+        history(spark, sf).where(part).write.mode("append").parquet(landing)
+        L.stream_features(read_txn_stream(spark, "parquet", path=landing), root, root + "-ckpt")
     return spark.read.parquet(root + "/features").select(
         "transaction_id", "txn_count_1hr", "unique_devices_1hr", "is_new_device", "amount_zscore", "distance_from_last_txn")
 

@@ -13,10 +13,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.geo import known_location
 from riskloom.operators import lifecycle as K
 from riskloom.operators.features import build_feature_vector, with_micros
+from riskloom.operators.ranking import latest_per_key
 from riskloom.operators.scoring import flagged_events, publish_online, risk_tier
 from riskloom.operators.trailing import MICROS, trailing_count
+from riskloom.session import stage
 from riskloom.sources.tables import feature_snapshots
 
 CUSTOMER_TTL_SECONDS, DEVICE_TTL_SECONDS, ONLINE_TTL_SECONDS = 90_000, 7_200, 86_400
@@ -36,37 +39,74 @@ def live_history(history: DataFrame, newest_us, ttl_seconds: int = CUSTOMER_TTL_
     return history.where(F.col("us") >= newest_us - F.lit(ttl_seconds * MICROS))
 
 
-def micro_batch_features(batch: DataFrame, history: DataFrame | None, **options) -> DataFrame:
-    """Features of the batch rows given all earlier rows; one row per new transaction.
+def micro_batch_features(batch: DataFrame, history: DataFrame | None,
+                         known_devices: DataFrame | None = None,
+                         known_merchants: DataFrame | None = None,
+                         last_places: DataFrame | None = None) -> DataFrame:
+    """Features of the batch rows given what came before; one row per new transaction.
 
-    Lifetime features need the whole history, so it is part of the input; rows
-    already stored are dropped from the batch, which makes a replay harmless.
+    ``history`` may be cut to :func:`live_history` when the lifetime tables are
+    given: pairs seen before the batch, and each customer's last located row.
+    Rows already stored are dropped from the batch, so a replay is harmless.
     """
     batch = with_micros(batch).dropDuplicates(["transaction_id"])
     if history is None:
-        return build_feature_vector(batch, **options)
+        return build_feature_vector(batch, known_devices=known_devices,
+                                    known_merchants=known_merchants)
     fresh = batch.join(history.select("transaction_id"), "transaction_id", "left_anti")
-    both = (history.select(*fresh.columns).withColumn("_new", F.lit(False))
+    earlier = history.select(*fresh.columns)
+    if last_places is not None:
+        # Older located rows stand for their customer; no trailing window reaches them.
+        earlier = earlier.unionByName(last_places.select(*fresh.columns))
+    both = (earlier.withColumn("_new", F.lit(False))
             .unionByName(fresh.withColumn("_new", F.lit(True))))
-    made = build_feature_vector(both, keep=("_new",), **options)
+    made = build_feature_vector(both, known_devices=known_devices, known_merchants=known_merchants,
+                                keep=("_new",))
     return made.where("_new").drop("_new")
 
 
+def _located(df: DataFrame) -> DataFrame:
+    """The last row with a known location per customer."""
+    rows = df.where(known_location(F.col("location_lat"), F.col("location_lng")))
+    return latest_per_key(rows, ["customer_id"], ["us", "transaction_id"])
+
+
 def stream_features(stream: DataFrame, root: str, checkpoint: str):
-    """Runs the feature stream to completion of the available input.
+    """Runs the feature stream over the available input.
 
-    Every batch writes ``history/batch=<id>`` and ``features/batch=<id>`` in
-    overwrite mode: a batch repeated after a failure replaces its own output.
+    State lies in append-only tables under ``root``, one folder per batch: rows,
+    new (customer, device) and (customer, merchant) pairs, last located rows.
+    A batch reads only the last 25 hours of rows; older ones act through the pair
+    and location tables. Every batch overwrites its own folders, so a batch
+    repeated after a failure replaces its output.
     """
     spark = stream.sparkSession
 
+    def earlier(table: str, batch_id: int) -> DataFrame | None:
+        df = _read(spark, f"{root}/{table}")
+        return None if df is None else df.where(F.col("batch") != batch_id).drop("batch")
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        earlier = _read(spark, f"{root}/history")
-        if earlier is not None:
-            earlier = earlier.where(F.col("batch") != batch_id)
-        features = micro_batch_features(batch, earlier)
-        features.write.mode("overwrite").parquet(f"{root}/features/batch={batch_id}")
-        with_micros(batch).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id}")
+        batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
+        put = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
+        rows, places = earlier("history", batch_id), earlier("places", batch_id)
+        pairs = {c: earlier(f"pairs_{c}", batch_id) for c in ("device_fingerprint", "merchant_id")}
+        live = last = None
+        if rows is not None:
+            start = batch.agg(F.min("us")).scalar()
+            live = live_history(rows, start)
+            if places is not None:
+                last = _located(places).where(
+                    F.col("us") < start - F.lit(CUSTOMER_TTL_SECONDS * MICROS))
+        put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last),
+            "features")
+        for column, known in pairs.items():
+            fresh = batch.select("customer_id", column).distinct()
+            if known is not None:
+                fresh = fresh.join(known, ["customer_id", column], "left_anti")
+            put(fresh, f"pairs_{column}")
+        put(_located(batch), "places")
+        put(batch, "history")
 
     return run_available(stream, on_batch, checkpoint)
 
