@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"(?U)\b\w+\b"
 
@@ -76,7 +77,7 @@ def lcs_length(a, b) -> int:
     return n - rows.bit_count()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_tokens(cand: pd.Series, ref: pd.Series) -> pd.Series:
     """LCS length of two token arrays; the one text measure with no built-in form."""
     return pd.Series([lcs_length(a, b) for a, b in zip(cand, ref)], dtype="int64")

@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)  # type: ignore[return-value]
-
-
 TXN_DDL = """transaction_id string not null, customer_id string not null, merchant_id string not null,
  amount double not null, currency string, channel string, device_fingerprint string not null,
  ip_address string, location_lat double, location_lng double, merchant_category string,
@@ -75,7 +71,6 @@ LABELED_DDL = """transaction_id string, features string, risk_score double, anal
 SNAPSHOT_DDL = "transaction_id string, features string, feature_version string"
 ONLINE_DDL = "transaction_id string, fields map<string,string>, expires_at timestamp"
 
-TXN = _struct(TXN_DDL)
 SNAPSHOT_FEATURES = T.StructType([T.StructField(name, T.DoubleType()) for name in FEATURES])
 
 

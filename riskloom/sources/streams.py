@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.schemas import TXN, TXN_DDL
+from riskloom.schemas import TXN_DDL
 
 TRANSACTION_TOPIC = "transactions.raw"
 FLAGGED_TOPIC = "case.flagged"
@@ -16,7 +16,7 @@ def read_txn_stream(spark: SparkSession, source: str = "kafka", **options: str)
     if source == "kafka":
         raw = (spark.readStream.format("kafka").option("subscribe", TRANSACTION_TOPIC)
                .options(**options).load())
-        return raw.select(F.from_json(F.col("value").cast("string"), TXN).alias("t")).select("t.*")
+        return raw.select(F.from_json(F.col("value").cast("string"), TXN_DDL).alias("t")).select("t.*")
     path = options.pop("path")
     return spark.readStream.format(source).schema(TXN_DDL).options(**options).load(path)
 
