@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from riskloom.functions.numeric import round_dp
 from riskloom.operators import cases as CS
 from riskloom.operators import narrative as N
 from riskloom.operators.entities import linked_accounts
@@ -106,7 +108,7 @@ def case_context(spark, sf):
 
 
 _CASE_ID = "'case_' || substr(md5(transaction_id), 1, 16)"
-_CASES = f"""cases AS (SELECT {_CASE_ID} AS id, transaction_id, risk_score, us AS created_us, k, event_id
+_CASES = f"""cases AS (SELECT {_CASE_ID} AS id, transaction_id, risk_score, us AS created_us, k, event_id, is_international
   FROM txn WHERE risk_score >= 0.6::double)"""
 
 
@@ -116,7 +118,7 @@ def opened(spark, sf):
     context = F.struct(F.struct(F.col("amount").alias("avg_amount_1hr")).alias("feature_snapshot"))
     return t.select(CS.case_id(F.col("transaction_id")).alias("id"), "transaction_id", "risk_score",
                     F.to_json(context).alias("case_context"), F.lit("pending").alias("status"),
-                    F.col("us").alias("created_at"), "k", "event_id")
+                    F.col("us").alias("created_at"), "k", "event_id", "is_international")
 
 
 @query("open_cases", with_features(
@@ -129,15 +131,15 @@ def open_cases(spark, sf):
 
 
 def narrative_rows(spark, sf):
-    return opened(spark, sf).where(F.col("event_id") % 3 != 0).select(
+    return opened(spark, sf).where(~F.col("is_international")).select(
         "transaction_id", F.concat(F.lit("Report on "), "transaction_id").alias("narrative"),
         (F.col("created_at") + 1000).alias("created_at"))
 
 
 @query("attach_narrative", with_txn("""
-  SELECT transaction_id, id, CASE WHEN event_id % 3 <> 0 THEN 'Report on ' || transaction_id END AS investigation_narrative,
-    CASE WHEN event_id % 3 <> 0 THEN 'template_v1' END AS narrative_model_version,
-    CASE WHEN event_id % 3 <> 0 THEN 'investigating' ELSE 'pending' END AS status FROM cases""", _CASES))
+  SELECT transaction_id, id, CASE WHEN NOT is_international THEN 'Report on ' || transaction_id END AS investigation_narrative,
+    CASE WHEN NOT is_international THEN 'template_v1' END AS narrative_model_version,
+    CASE WHEN NOT is_international THEN 'investigating' ELSE 'pending' END AS status FROM cases""", _CASES))
 def attach_narrative(spark, sf):
     return CS.attach_narrative(opened(spark, sf), narrative_rows(spark, sf), "template_v1").select(
         "transaction_id", "id", "investigation_narrative", "narrative_model_version", "status")
@@ -186,7 +188,7 @@ def unmatched_feedback(spark, sf):
 
 
 @query("case_current_state", with_txn("""
-  SELECT transaction_id, CASE WHEN decided_at IS NOT NULL THEN 'resolved' WHEN event_id % 3 <> 0 THEN 'investigating'
+  SELECT transaction_id, CASE WHEN decided_at IS NOT NULL THEN 'resolved' WHEN NOT is_international THEN 'investigating'
     ELSE 'pending' END AS status FROM cases LEFT JOIN (SELECT transaction_id, decided_at FROM fb) USING (transaction_id)""",
                                       _CASES, _FB))
 def case_current_state(spark, sf):
@@ -202,7 +204,7 @@ def case_current_state(spark, sf):
 
 @query("case_events", with_txn("""
   SELECT 'case_flagged' AS event_type, transaction_id AS case_ref, created_us AS at FROM cases
-  UNION ALL SELECT 'narrative_ready', transaction_id, created_us + 1000 FROM cases WHERE event_id % 3 <> 0
+  UNION ALL SELECT 'narrative_ready', transaction_id, created_us + 1000 FROM cases WHERE NOT is_international
   UNION ALL SELECT 'case_resolved', case_ref, decided_at FROM fb""", _CASES, _FB))
 def case_events(spark, sf):
     feed = CS.case_event_feed(opened(spark, sf), narrative_rows(spark, sf), feedback_rows(spark, sf))
@@ -210,7 +212,7 @@ def case_events(spark, sf):
 
 
 @query("cases_by_status", with_txn("""
-  SELECT transaction_id, created_us AS created_at FROM cases WHERE event_id % 3 <> 0
+  SELECT transaction_id, created_us AS created_at FROM cases WHERE NOT is_international
   ORDER BY created_us DESC, transaction_id DESC LIMIT 50""", _CASES))
 def cases_by_status(spark, sf):
     cases = CS.attach_narrative(opened(spark, sf), narrative_rows(spark, sf), "template_v1")
@@ -221,7 +223,6 @@ def cases_by_status(spark, sf):
                               "'txn_17' OR id = 'case_' || substr(md5('txn_2'), 1, 16) OR id = 'txn_17'", _CASES))
 def case_by_id(spark, sf):
     cases = opened(spark, sf)
-    import hashlib
     other = "case_" + hashlib.md5(b"txn_2").hexdigest()[:16]
     return (CS.case_detail(cases, "txn_17").unionByName(CS.case_detail(cases, other))
             .select("id", "transaction_id", "risk_score"))
@@ -399,8 +400,8 @@ _R1 = rdp(_F1.format("2.0::double * (o::double / c::double) * (o::double / r::do
 @query("rouge_n", f"""SELECT doc_id, {_R1} AS rouge_1 FROM (SELECT doc_id, len(list_intersect(a, b)) AS o, len(a) AS c, len(b) AS r FROM (
   SELECT d.doc_id, {_TOK.format('d.text')} AS a, {_TOK.format('n.text')} AS b FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1))""")
 def rouge_n(spark, sf):
-    return N.rouge_n(document_pairs(spark, sf), 1).select("doc_id", F.col("rouge_1")).withColumn(
-        "rouge_1", __import__("riskloom.functions.numeric", fromlist=["round_dp"]).round_dp(F.col("rouge_1"), 4))
+    return N.rouge_n(document_pairs(spark, sf), 1).select("doc_id", "rouge_1").withColumn(
+        "rouge_1", round_dp(F.col("rouge_1"), 4))
 
 
 _BI = r"list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -411,7 +412,6 @@ _TOKS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+')"
   SELECT doc_id, {_BI.format('x')} AS a, {_BI.format('y')} AS b FROM (
   SELECT d.doc_id, {_TOKS.format('d.text')} AS x, {_TOKS.format('n.text')} AS y FROM documents d JOIN documents n ON n.doc_id = d.doc_id + 1)))""")
 def rouge_2(spark, sf):
-    from riskloom.functions.numeric import round_dp
     return N.rouge_n(document_pairs(spark, sf), 2).select("doc_id", "rouge_2").withColumn(
         "rouge_2", round_dp(F.col("rouge_2"), 4))
 
@@ -419,7 +419,6 @@ def rouge_2(spark, sf):
 @query("rouge_l")
 def rouge_l(spark, sf):
     """Consecutive turns of every conversation, whole texts."""
-    from riskloom.functions.numeric import round_dp
     c = read_table(spark, sf, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ground_truth"))
     pairs = c.select("conv_id", "turn", F.col("text").alias("generated")).join(nxt, ["conv_id", "turn"])
