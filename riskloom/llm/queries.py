@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality
+from riskloom.llm import bpe, decontaminate, quality, secrets
 from riskloom.llm.staging import stage
 
 QUERIES = {}
@@ -38,6 +38,43 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.findings_by_row(history, secrets.update_ledger(history))
+    return found.select(
+        "doc_id", *[secrets.count_of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.span_digest().cast("binary"), 256).alias("base_sha256"), secrets.span_digest().alias("spans"))
+
+
+_ASSIGN_SQL = r"""'(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+SQL["op3_secret_ledger"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT r, 1 AS rank, 'assign' AS kind, 6 AS least, list_transform(regexp_extract_all(text, PAT, 0), lambda x: length(x)) AS n,
+    list_transform(regexp_extract_all(text, PAT, 2), lambda x: length(x)) AS v,
+    list_transform(string_split_regex(text, PAT), lambda x: length(x)) AS gap FROM d
+  UNION ALL
+  SELECT r, 2, 'access', 20, list_transform(regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0), lambda x: length(x)), NULL,
+    list_transform(string_split_regex(text, 'AKIA[A-Z0-9]+'), lambda x: length(x)) FROM d
+  UNION ALL
+  SELECT r, 3, 'hex', 24, list_transform(regexp_extract_all(text, '[0-9a-f]+', 0), lambda x: length(x)), NULL,
+    list_transform(string_split_regex(text, '[0-9a-f]+'), lambda x: length(x)) FROM d),
+e AS (
+  SELECT r, rank, kind, least, unnest(range(1, len(n) + 1)) AS i, unnest(n) AS n, unnest(coalesce(v, n)) AS v,
+    unnest(gap[1:len(n)]) AS gap FROM m),
+s AS (
+  SELECT r, rank, kind, v >= least AS kept, n,
+    CAST(sum(gap + n) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS stop FROM e),
+g AS (
+  SELECT r, count(*) FILTER (rank = 1) AS a, count(*) FILTER (rank = 2) AS b, count(*) FILTER (rank = 3) AS c,
+    string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, rank) AS spans FROM s WHERE kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+""".replace("PAT", _ASSIGN_SQL)
+
+
 @query
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_documents(
