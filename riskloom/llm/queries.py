@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality, secrets
-from riskloom.llm.staging import stage
+from riskloom.llm import bpe, decontaminate, quality, secrets, token_files
 
 QUERIES = {}
 SQL = {}
@@ -75,6 +74,14 @@ FROM d LEFT JOIN g USING (r)
 """.replace("PAT", _ASSIGN_SQL)
 
 
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shards, folder, dictionary = token_files.write_token_files(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return token_files.read_token_files(spark, shards, folder, dictionary, token_files.tokenizer(path).dtype)
+
+
 @query
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_documents(
