@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality, secrets, token_files
+from riskloom.llm import bpe, decontaminate, quality, secrets, sharding, token_files
 
 QUERIES = {}
 SQL = {}
@@ -74,6 +74,13 @@ FROM d LEFT JOIN g USING (r)
 """.replace("PAT", _ASSIGN_SQL)
 
 
+@query
+def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
