@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality, secrets, sharding, token_files
+from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, token_files
 
 QUERIES = {}
 SQL = {}
@@ -81,6 +81,12 @@ def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, neardup.ForestParams(shingle=3, percent=85))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
