@@ -16,7 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round hooks: every tree's root takes the smallest label that a link of one of its members leads to. Then labels
     jump to the label of their label until the trees are flat. A root with very many members is a key of minima that
-    combine before the shuffle and of joins that adaptive execution splits. Each round is a staged table, so its plan
+    combine before the shuffle and of joins between written tables, which adaptive execution splits. Each round is a staged table, so its plan
     stays short and lost executors repeat one round. No links: an empty table.
     """
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -31,8 +31,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
         if not edges.take(1):
             return labels
-        hooks = edges.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("id"), "up")
-        labels = stage(labels.join(hooks.withColumnRenamed("id", "component"), "component", "left").select(
+        hooks = stage(edges.groupBy("b").agg(F.min("a").alias("up")).withColumnRenamed("b", "component"), "hooks")
+        labels = stage(labels.join(hooks, "component", "left").select(
             "id", F.coalesce("up", "component").alias("component")), "components")
         while True:
             roots = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))

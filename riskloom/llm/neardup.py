@@ -138,11 +138,12 @@ def regions(nodes: DataFrame, p: ForestParams) -> DataFrame:
     many parts, a crowd is dealt into chunks of about ``region`` nodes that all hold the crowd's least node.
     """
     rows = _prefixes(nodes, p)
-    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    # Counts are written before they are joined: only joins of plain exchanges are split where a region is crowded.
+    shared = stage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "shared")
     open_ = stage(rows.join(shared, "region", "left_semi"), "prefixes")
     done = []
     for d in range(p.depth - p.least_depth + 1):
-        counts = open_.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        counts = stage(open_.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), "counts")
         counted = open_.join(counts, "region").where("n > 1")
         if d == p.depth - p.least_depth:
             done.append(counted.select("region", "node", "n", "least"))
@@ -155,9 +156,9 @@ def regions(nodes: DataFrame, p: ForestParams) -> DataFrame:
         deeper = crowd.select("node", "rest", F.col("region").alias("above"),
                               F.xxhash64("region", F.get("rest", F.lit(d))).alias("region"))
         deeper = stage(deeper, "deeper")
-        spine = deeper.groupBy("above", "region").agg(F.min("node").alias("node")).select(
-            F.xxhash64("above", F.lit("spine")).alias("region"), "node")
-        sizes = spine.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        spine = stage(deeper.groupBy("above", "region").agg(F.min("node").alias("node")).select(
+            F.xxhash64("above", F.lit("spine")).alias("region"), "node"), "spine")
+        sizes = stage(spine.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), "sizes")
         done.append(spine.join(sizes, "region").where("n > 1").select("region", "node", "n", "least"))
         open_ = deeper.drop("above")
     every = done[0]
@@ -332,7 +333,8 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
     placed = stage(dealt.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "region", "chunks", "chunk", "node", F.coalesce("component", "node").alias("comp")), "placed")
     shares = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("region").agg(F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    main = stage(shares.groupBy("region").agg(
+        F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "main")
     # Between components at least one side is outside the main one: those visit every chunk.
     chunk = F.when((F.col("comp") != F.col("main")) & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
         F.array("chunk"))
@@ -347,7 +349,7 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
 
     roots = nodes.select("node", "doc_id").join(found.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("root"))
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stage(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     named = roots.join(least, "root").select("node", "component_id")
     linked = signed.where(F.col("node").isNotNull()).join(named, "node", "left").select("doc_id", "n_shingles", "component_id")
     empty = signed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -112,7 +112,7 @@ def findings_by_row(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ..
         "blob", F.transform("spans", lambda s: F.struct(
             s["start"].alias("start"), F.array_position(rank, F.col("kind")).alias("rank"), s["end"].alias("end"),
             F.col("kind").alias("kind"))).alias("part"))
-    by_blob = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_f"))
+    by_blob = stage(rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("_f")), "by_blob")
     kept = [c for c in history.columns if c != "findings"]
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
     out = F.transform("_f", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))

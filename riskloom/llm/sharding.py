@@ -49,8 +49,9 @@ def propose(members: DataFrame, free: list[int], p: ShardParams) -> DataFrame:
     with room are targets. A row moves to a shard with more votes, or as many and a lower number, so that two halves of
     a group do not change places for ever.
     """
-    counts = members.groupBy("hub").agg(
-        F.array(*[F.sum((F.col("shard") == s).cast("bigint")) for s in range(p.shards)]).alias("votes"))
+    # Written first: a join whose sides are both plain exchanges can be split where a hub holds very many rows.
+    counts = stage(members.groupBy("hub").agg(
+        F.array(*[F.sum((F.col("shard") == s).cast("bigint")) for s in range(p.shards)]).alias("votes")), "votes")
     seen = members.join(counts, "hub").groupBy("row").agg(
         F.first("shard").alias("shard"),
         F.max(F.struct(F.array_max("votes").alias("n"), F.col("hub"))).getField("hub").alias("hub"),
