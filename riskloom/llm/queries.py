@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, token_files, vectors
+from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spans, token_files, vectors
 
 QUERIES = {}
 SQL = {}
@@ -81,6 +81,12 @@ def op4_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", "n_sentences", "n_removed", "removed")
+
+
 @query
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
