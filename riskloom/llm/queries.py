@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spans, token_files, vectors
+from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spans, token_files, toxicity, vectors
 
 QUERIES = {}
 SQL = {}
@@ -26,6 +26,14 @@ def id_fold(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.train_toxicity(docs, labels, id_fold(3) != 1)
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), net, 0.7).select(
+        "doc_id", (id_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN

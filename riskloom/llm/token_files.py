@@ -17,6 +17,7 @@ import hashlib
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +36,7 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tok
 TRAILER = "<QQ8s"
 TRAILER_BYTES = struct.calcsize(TRAILER)
 #: Words whose ids a worker remembers, besides those of the batch; the memory is dropped when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 REMEMBERED_CHARS = 48
 
 
@@ -87,6 +88,7 @@ class ChunkedTokenizer:
                         and not spec.get("normalizer") and not spec.get("post_processor"))
         self.model = self.tok.model
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"  # Arrow hosts are little-endian
         self.known: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -95,10 +97,10 @@ class ChunkedTokenizer:
 
     def _word(self, lead: str, word: str) -> bytes:
         """Ids of one Latin word with a space or line feed before it."""
-        letters = word.encode().decode("latin-1").translate(_LETTERS)
-        head = b"" if lead == " " else self._mark(lead)
-        ids = [t.id for t in self.model.tokenize(("\u0120" if lead == " " else "") + letters)]
-        return head + np.array(ids, self.dtype).tobytes()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        if lead == " ":
+            return array(self.code, [t.id for t in self.model.tokenize("\u0120" + letters)]).tobytes()
+        return self._mark(lead) + array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _mark(self, mark: str) -> bytes:
         if mark not in self.marks:
@@ -113,7 +115,7 @@ class ChunkedTokenizer:
         if word.split() != [word]:
             return None
         core = word.rstrip(".,;:!?")
-        if core.isalpha() and max(core) < "\u0250":
+        if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
             ids = self.known.get(core) if lead == " " else None
             if ids is None:
                 ids = self._word(lead, core)
