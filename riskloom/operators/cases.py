@@ -134,11 +134,21 @@ def current_state(case_events: DataFrame) -> DataFrame:
 
 def case_event_feed(cases: DataFrame, narratives: DataFrame, feedback: DataFrame,
                     rollbacks: DataFrame | None = None, case: str | None = None) -> DataFrame:
-    """Events of all cases as (event_type, case_ref, at, payload JSON)."""
+    """Events of all cases as (event_type, case_ref, at, payload JSON).
+
+    ``case`` keeps the events of one case, named by its id or its transaction, in
+    whichever of the two ways an event refers to it.
+    """
     def event(df: DataFrame, kind: str, ref: Column, at: Column, *fields) -> DataFrame:
         return df.select(F.lit(kind).alias("event_type"), ref.alias("case_ref"), at.alias("at"),
                          F.to_json(F.struct(*fields)).alias("payload"))
     c = F.col
+    if case is not None:
+        mine = case_detail(cases, case).select("id", "transaction_id")
+        names = mine.select(F.col("id").alias("case_ref")).unionByName(mine.select(F.col("transaction_id").alias("case_ref")))
+        names = names.unionByName(cases.sparkSession.createDataFrame([(case,)], "case_ref string")).distinct()
+        return case_event_feed(cases, narratives, feedback, rollbacks).join(names, "case_ref", "left_semi").select(
+            "event_type", "case_ref", "at", "payload")
     feeds = [
         event(cases, "case_flagged", c("transaction_id"), c("created_at"), "transaction_id", "risk_score"),
         event(narratives, "narrative_ready", c("transaction_id"), c("created_at"), "transaction_id"),
@@ -147,8 +157,7 @@ def case_event_feed(cases: DataFrame, narratives: DataFrame, feedback: DataFrame
     if rollbacks is not None:
         feeds.append(event(rollbacks, "canary_rollback", F.lit(None).cast("string"), c("at"),
                            "canary_version", "champion_version", "reason"))
-    feed = reduce(DataFrame.unionByName, feeds)
-    return feed if case is None else feed.where(F.col("case_ref") == F.lit(case))
+    return reduce(DataFrame.unionByName, feeds)
 
 
 def list_cases(cases: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import clip, round_dp
+from riskloom.operators.ranking import latest_per_key
 from riskloom.schemas import FEATURES, FEATURE_TYPES
 
 LOW_CUT, HIGH_CUT, CRITICAL_CUT = 0.30, 0.60, 0.85
@@ -142,9 +143,19 @@ def publish_online(features: DataFrame, now: Column, ttl_seconds: int = 86400) -
                            (now + F.expr(f"INTERVAL {ttl_seconds} SECONDS")).alias("expires_at"))
 
 
+def live_online(store: DataFrame, as_of: Column) -> DataFrame:
+    """The store as its readers see it: expired rows gone, the latest publication per transaction.
+
+    Publications that expire at the same moment are told apart by their fields, so the
+    choice does not depend on the order of the rows.
+    """
+    live = store.where(F.col("expires_at") > as_of).withColumn("_text", F.to_json("fields"))
+    return latest_per_key(live, ["transaction_id"], ["expires_at", "_text"]).drop("_text")
+
+
 def lookup_online(ids: DataFrame, store: DataFrame, as_of: Column) -> DataFrame:
     """Live online rows of the wanted ids, cast back with per-field defaults."""
-    live = store.where(F.col("expires_at") > as_of).select("transaction_id", "fields")
+    live = live_online(store, as_of).select("transaction_id", "fields")
     found = ids.select("transaction_id").join(live, "transaction_id", "left")
     columns = []
     for name in FEATURES:
@@ -157,8 +168,14 @@ def lookup_online(ids: DataFrame, store: DataFrame, as_of: Column) -> DataFrame:
 
 
 def fetch_or_fallback(events: DataFrame, store: DataFrame) -> DataFrame:
-    """Stored features of each event, or safe defaults made from the event itself."""
-    stored = store.select("transaction_id", F.struct(*FEATURES).alias("_s"))
+    """Stored features of each event, or safe defaults made from the event itself.
+
+    A transaction stored more than once counts with its latest row, by the first of
+    ``computed_at`` and ``expires_at`` that the store has, then by the features.
+    """
+    order = [c for c in ("computed_at", "expires_at") if c in store.columns][:1]
+    once = latest_per_key(store.select("transaction_id", *order, *FEATURES), ["transaction_id"], [*order, *FEATURES])
+    stored = once.select("transaction_id", F.struct(*FEATURES).alias("_s"))
     one = F.lit(1).cast("bigint")
     fallback = {f: (one if t == "bigint" else F.lit(0.0) if t == "double" else F.lit(False))
                 for f, t in FEATURE_TYPES.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.schemas import CHANNELS
+from riskloom.schemas import CHANNELS, FEATURE_TYPES
 
 REQUIRED = ["transaction_id", "customer_id", "merchant_id", "device_fingerprint", "amount", "timestamp"]
 
@@ -33,12 +33,19 @@ def _split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(ok).drop("violations"), df.where(~ok)
 
 
+def _finite(x: Column) -> Column:
+    """False for NaN and the infinities, which sort above or below every number."""
+    number = x.cast("double")
+    return ~(F.isnan(number) | (F.abs(number) == float("inf")))
+
+
 def event_violations(df: DataFrame) -> DataFrame:
     """Adds the list of broken rules of each event."""
     c = F.col
     rules = {f"{name} is required": c(name).isNull() for name in REQUIRED}
     rules |= {
         "amount must be positive": ~(c("amount") > 0),
+        "amount must be finite": ~_finite(c("amount")),
         "currency is too long": F.length("currency") > 3,
         "channel is unknown": ~c("channel").isin(CHANNELS),
         "latitude out of range": ~c("location_lat").between(-90.0, 90.0),
@@ -56,6 +63,7 @@ def feature_violations(features: DataFrame) -> DataFrame:
     floors = ["txn_count_1min", "txn_count_5min", "txn_count_1hr", "txn_count_24hr", "avg_amount_1hr",
               "max_amount_24hr", "device_txn_count", "merchant_avg_amount", "distance_from_last_txn"]
     rules = {f"{name} is negative": c(name) < 0 for name in floors}
+    rules |= {f"{name} is not finite": ~_finite(c(name)) for name, kind in FEATURE_TYPES.items() if kind == "double"}
     rules |= {"unique_devices_1hr below 1": c("unique_devices_1hr") < 1,
               "merchant_fraud_rate out of range": ~c("merchant_fraud_rate").between(0.0, 1.0),
               "hour_of_day out of range": ~c("hour_of_day").between(0, 23)}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import round_dp
@@ -43,11 +41,12 @@ def contexts(spark, sf):
 def narrated(spark, sf):
     """Case id, context and a narrative per flagged transaction.
 
-    Every case also gets one bracket of claims that its data supports only in
-    part, so that grounding has something to reject.
+    Cases of even transaction numbers also get one bracket of claims that their data
+    supports only in part, so that grounding has some to reject and some to accept.
     """
-    claim = F.concat(F.lit("\n[Citing: risk_score="), F.col("risk_score").cast("string"),
-                     F.lit(", std_amount=12km, account_age=600, home_city=Unk, merchant, channel=upi, category=crypto]"))
+    claim = F.when(F.substring("transaction_id", 5, 20).cast("bigint") % 2 == 0, F.concat(
+        F.lit("\n[Citing: risk_score="), F.col("risk_score").cast("string"),
+        F.lit(", std_amount=12km, account_age=600, home_city=Unk, merchant, channel=upi, category=crypto]"))).otherwise("")
     return stored(spark, sf, "narrated", lambda: contexts(spark, sf).select(
         F.col("transaction_id").alias("case_id"), "context",
         F.concat(N.factual_narrative(F.col("context")), claim).alias("narrative")))
@@ -219,12 +218,12 @@ def cases_by_status(spark, sf):
     return CS.list_cases(cases, "investigating").select("transaction_id", "created_at")
 
 
-@query("case_by_id", with_txn("SELECT id, transaction_id, risk_score FROM cases WHERE transaction_id = "
-                              "'txn_17' OR id = 'case_' || substr(md5('txn_2'), 1, 16) OR id = 'txn_17'", _CASES))
+@query("case_by_id", with_txn("""SELECT id, transaction_id, risk_score FROM cases
+  WHERE transaction_id IN (SELECT min(transaction_id) FROM cases UNION ALL SELECT max(transaction_id) FROM cases)""", _CASES))
 def case_by_id(spark, sf):
     cases = opened(spark, sf)
-    other = "case_" + hashlib.md5(b"txn_2").hexdigest()[:16]
-    return (CS.case_detail(cases, "txn_17").unionByName(CS.case_detail(cases, other))
+    ends = cases.agg(F.min("transaction_id").alias("a"), F.max(F.struct("transaction_id", "id")).getField("id").alias("b")).head()
+    return (CS.case_detail(cases, ends["a"]).unionByName(CS.case_detail(cases, ends["b"]))
             .select("id", "transaction_id", "risk_score"))
 
 
@@ -315,8 +314,8 @@ def _fact_entries():
 
 _FACTS = "[" + ", ".join(f"{{'i': {i}, 'key': '{k}', 'value': coalesce({v}, 'None')}}"
                          for i, (k, v) in enumerate(_fact_entries().items())) + "]"
-_GROUND = f"""told AS (SELECT *, narrative || chr(10) || '[Citing: risk_score=' || risk_score
-  || ', std_amount=12km, account_age=600, home_city=Unk, merchant, channel=upi, category=crypto]' AS full_text FROM narr),
+_GROUND = f"""told AS (SELECT *, narrative || CASE WHEN substr(transaction_id, 5)::BIGINT % 2 = 0 THEN chr(10) || '[Citing: risk_score=' || risk_score
+  || ', std_amount=12km, account_age=600, home_city=Unk, merchant, channel=upi, category=crypto]' ELSE '' END AS full_text FROM narr),
 facts AS (SELECT transaction_id, unnest({_FACTS}, recursive := true) FROM told),
 parts AS (SELECT transaction_id, unnest(list_filter(list_transform(string_split(array_to_string(
     regexp_extract_all(full_text, '\\[Citing:\\s*([^\\]]+)\\]', 1, 'i'), ','), ','), lambda x: trim(x)), lambda x: x <> '')) AS part FROM told),
@@ -331,8 +330,10 @@ judged AS (SELECT *, CASE WHEN NOT keyed THEN exact IS NOT NULL
     ELSE contains(lower(coalesce(exact, near)), value) END AS ok
   FROM (SELECT *, try_cast(regexp_replace(value, '[^0-9.\\-]', '', 'g') AS double) AS cn,
     try_cast(regexp_replace(coalesce(exact, near), '[^0-9.\\-]', '', 'g') AS double) AS an FROM looked)),
-grounded AS (SELECT transaction_id AS case_id, count(*) FILTER (ok) AS n_verified, count(*) FILTER (NOT ok) AS n_ungrounded,
-  {rdp('count(*) FILTER (ok)::double / count(*)::double', 3)} AS grounding_score FROM judged GROUP BY 1)"""
+grounded AS (SELECT transaction_id AS case_id, count(*) FILTER (ok) AS n_verified,
+  CASE WHEN count(cid) = 0 THEN 1 ELSE count(*) FILTER (NOT ok) END AS n_ungrounded,
+  CASE WHEN count(cid) = 0 THEN {N.NO_CITATION_SCORE}::double ELSE {rdp('count(*) FILTER (ok)::double / count(*)::double', 3)} END AS grounding_score
+  FROM (SELECT transaction_id FROM told) LEFT JOIN judged USING (transaction_id) GROUP BY 1)"""
 _GROUND_CTES = (*_NARR_CTES, _GROUND)
 
 
@@ -377,6 +378,19 @@ def sar_compliance(spark, sf):
         "doc_id", "s.sar_compliant", F.array_join("s.missing_sections", "|").alias("missing"))
 
 
+_SECTION = "## Recommended Action"
+
+
+@query("sar_compliance_narratives", with_features(_SAR.replace("doc_id", "case_id").replace("FROM documents)", f"""FROM (
+  SELECT transaction_id AS case_id, CASE WHEN substr(transaction_id, 5)::BIGINT % 3 = 0
+    THEN replace(full_text, '{_SECTION}', '') ELSE full_text END AS text FROM told))"""), *_GROUND_CTES))
+def sar_compliance_narratives(spark, sf):
+    """Narratives, every third without one of its headings."""
+    text = F.when(F.substring("case_id", 5, 20).cast("bigint") % 3 == 0, F.replace("narrative", F.lit(_SECTION), F.lit(""))).otherwise(F.col("narrative"))
+    return narrated(spark, sf).select("case_id", N.sar_compliance(text).alias("s")).select(
+        "case_id", "s.sar_compliant", F.array_join("s.missing_sections", "|").alias("missing"))
+
+
 @query("tokenize", r"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS token_hash
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS t FROM documents)""")
 def tokenize(spark, sf):
@@ -431,15 +445,39 @@ def eval_pairs(spark, sf):
                                       N.factual_narrative(F.col("context")).alias("ground_truth"), "context")
 
 
-@query("narrative_eval", with_features(f"""
-  SELECT case_id, {rdp('grounding_score', 4)} AS fidelity_score,
-    {rdp('n_ungrounded::double / (n_verified + n_ungrounded)::double', 4)} AS hallucination_rate, true AS sar_compliant,
-    n_verified AS verified_citations, n_ungrounded AS ungrounded_citations FROM grounded""", *_GROUND_CTES))
+def _overlap(name, of):
+    """F1 of shared distinct tokens (or pairs of tokens) in SQL."""
+    return f"""{name}_t AS (SELECT transaction_id AS case_id, {_R1} AS {name} FROM (
+  SELECT transaction_id, len(list_intersect(a, b)) AS o, len(a) AS c, len(b) AS r FROM (
+  SELECT transaction_id, {of.format('x')} AS a, {of.format('y')} AS b FROM toks)))"""
+
+
+# The plain narrative begins the extended one, so their longest common subsequence is the plain one.
+_EVAL_CTES = (*_GROUND_CTES, f"""toks AS (SELECT transaction_id, {_TOKS.format('full_text')} AS x, {_TOKS.format('narrative')} AS y FROM told)""",
+              _overlap("rouge_1", "list_distinct({0})"), _overlap("rouge_2", _BI),
+              f"""rouge_l_t AS (SELECT transaction_id AS case_id, {_R1} AS rouge_l FROM (
+  SELECT transaction_id, CASE WHEN x[1:len(y)] = y THEN len(y) END AS o, len(x) AS c, len(y) AS r FROM toks))""",
+              f"""evals AS (SELECT case_id, {rdp('grounding_score', 4)} AS fidelity_score,
+    {rdp('n_ungrounded::double / (n_verified + n_ungrounded)::double', 4)} AS hallucination_rate, rouge_1, rouge_2, rouge_l,
+    true AS sar_compliant, '' AS missing, n_verified AS verified_citations, n_ungrounded AS ungrounded_citations
+  FROM grounded JOIN rouge_1_t USING (case_id) JOIN rouge_2_t USING (case_id) JOIN rouge_l_t USING (case_id))""")
+
+
+@query("narrative_eval", with_features("SELECT * FROM evals", *_EVAL_CTES))
 def narrative_eval(spark, sf):
-    return N.narrative_eval(eval_pairs(spark, sf)).drop("missing_sections", "rouge_1", "rouge_2", "rouge_l")
+    made = N.narrative_eval(eval_pairs(spark, sf))
+    return made.withColumn("missing", F.array_join("missing_sections", "|")).drop("missing_sections")
+
+
+_MEAN = "coalesce(sum(round({0} * 10000.0::double)::BIGINT)::double / count(*)::double / 10000.0::double, 0.0::double)"
 
 
-@query("narrative_gate")
+@query("narrative_gate", with_features(
+    "SELECT " + ", ".join(f"{rdp(c, 4)} AS {c}" for c in ("fidelity_score", "hallucination_rate", "rouge_1", "rouge_2", "rouge_l", "sar_compliance_rate"))
+    + """, total_evaluated, total_evaluated > 0 AND fidelity_score >= 0.8::double AND hallucination_rate <= 0.15::double AND rouge_l >= 0.4::double
+    AND sar_compliance_rate >= 0.9::double AS passed_operational_gate FROM (SELECT """
+    + ", ".join(f"{_MEAN.format(c)} AS {c}" for c in ("fidelity_score", "hallucination_rate", "rouge_1", "rouge_2", "rouge_l"))
+    + ", coalesce(avg(sar_compliant::INT), 0.0::double) AS sar_compliance_rate, count(*) AS total_evaluated FROM evals)", *_EVAL_CTES))
 def narrative_gate(spark, sf):
     return N.narrative_gate(N.narrative_eval(eval_pairs(spark, sf)))
 

@@ -13,7 +13,7 @@ from riskloom.plans.stored import stored
 from riskloom.schemas import FEATURE_CATALOG, FEATURE_TYPES, FEATURES, TXN_DDL, feature_catalog
 from riskloom.session import work_dir
 from riskloom.sources import tables as A
-from riskloom.sources.adapter import raw_transactions, read_table, transactions
+from riskloom.sources.adapter import MIDDLE_US, raw_transactions, read_table, transactions
 from riskloom.streaming import jobs as L
 
 QUERIES = {}
@@ -106,7 +106,7 @@ def publish_online_features(spark, sf):
                        F.unix_micros("expires_at").alias("expires_us"))
 
 
-_LIVE_US = 1_704_067_200_000_000 + (86400 + 6 * 3600) * 1_000_000
+_LIVE_US = MIDDLE_US
 
 
 @query("lookup_online_features", with_features(f"""SELECT t.transaction_id, t.us + 86400000000 > {_LIVE_US} AS found,
@@ -267,12 +267,22 @@ def write_instruction_jsonl(spark, sf):
     return spark.read.schema("id bigint, output string, split string").json(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trained(spark, sf, rounds=10):
-    """A small boosted model over all rows of the stored feature table."""
-    splits = stored(spark, sf, "splits", lambda: TR.stratified_split(
+_MODELS = {}
+
+
+def training_splits(spark, sf):
+    return stored(spark, sf, "splits", lambda: TR.stratified_split(
         E.prepare_xy(features(spark, sf), keep=("transaction_id",)), label="y"))
+
+
+def trained(spark, sf):
+    """The boosted model with the operator's own rounds and depth, fitted once per application and input."""
+    splits = training_splits(spark, sf)
     part = lambda name: splits.where(F.col("split") == name)
-    return TR.train_model(part("train"), part("val"), {"maxDepth": 4}, rounds), splits
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = TR.train_model(part("train"), part("val"))
+    return _MODELS[key], splits
 
 
 @query("train_model")
@@ -294,10 +304,10 @@ def training_metadata(spark, sf):
 
 @query("tune_model")
 def tune_model(spark, sf):
-    _, splits = trained(spark, sf, rounds=1)
-    history = TR.tune_model(splits.where(F.col("split") == "train").drop("split"), k=3, rounds=2,
-                            candidates=[{"maxDepth": 2}, {"maxDepth": 3}])
-    return spark.createDataFrame(history, "maxDepth int, mean_pr_auc double")
+    splits = training_splits(spark, sf)
+    history = TR.tune_model(splits.where(F.col("split") == "train").drop("split"))
+    return spark.createDataFrame(history, "candidate_idx int, stepSize double, maxDepth int, subsamplingRate double, "
+                                 "featureSubsetStrategy string, minInstancesPerNode int, mean_pr_auc double, mean_roc_auc double")
 
 
 # L -----------------------------------------------------------------------------------
@@ -314,7 +324,7 @@ def txn_stream(spark, sf):
 def stream_features(spark, sf):
     from riskloom.sources.streams import read_txn_stream
     root, landing = work_dir(spark, "stream-out"), work_dir(spark, "stream-in")
-    early = F.col("timestamp") < F.timestamp_micros(F.lit(1_704_088_800_000_000))
+    early = F.col("timestamp") < F.timestamp_micros(F.lit(MIDDLE_US))
     for part in (early, ~early):  # land half the rows, run, land the rest, resume
         history(spark, sf).where(part).write.mode("append").parquet(landing)
         L.stream_features(read_txn_stream(spark, "parquet", path=landing), root, root + "-ckpt")
@@ -323,17 +333,17 @@ def stream_features(spark, sf):
 
 
 @query("micro_batch_features", with_features("""SELECT transaction_id, txn_count_24hr, is_new_merchant FROM features JOIN (SELECT transaction_id, us FROM txn) USING (transaction_id)
-  WHERE us >= 1704088800000000"""))
+  WHERE us >= """ + str(MIDDLE_US)))
 def micro_batch_features(spark, sf):
     t = transactions(spark, sf)
-    late = F.col("us") >= 1_704_088_800_000_000
+    late = F.col("us") >= MIDDLE_US
     return L.micro_batch_features(t.where(late), t.where(~late)).select("transaction_id", "txn_count_24hr", "is_new_merchant")
 
 
-@query("stream_device_count", with_txn(f"SELECT transaction_id, device_txn_count FROM (SELECT *, {tcount('device_fingerprint', 3600)} AS device_txn_count FROM txn) WHERE us >= 1704088800000000"))
+@query("stream_device_count", with_txn(f"SELECT transaction_id, device_txn_count FROM (SELECT *, {tcount('device_fingerprint', 3600)} AS device_txn_count FROM txn) WHERE us >= {MIDDLE_US}"))
 def stream_device_count(spark, sf):
     t = transactions(spark, sf)
-    late = F.col("us") >= 1_704_088_800_000_000
+    late = F.col("us") >= MIDDLE_US
     return L.stream_device_count(t.where(late), t.where(~late))
 
 

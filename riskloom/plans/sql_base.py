@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskloom.schemas import CATEGORY_RISK
-from riskloom.sources.adapter import ABROAD, BASE_US, CITIES, PATTERNS
+from riskloom.sources.adapter import ABROAD, BASE_US, CITIES, DAY_US, HOUR_US, PATTERNS
 
 
 def _list(values) -> str:
@@ -20,7 +20,8 @@ TXN_CTE = f"""
 ev AS (
   SELECT event_id, user_id, event_type,
     CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k,
-    {BASE_US} + (epoch_us(ts) - {BASE_US}) // 60 AS us,
+    {BASE_US} + (epoch_us(ts) - {BASE_US}) // {DAY_US} * {DAY_US} + (user_id % 24) * {HOUR_US}
+      + ((epoch_us(ts) - {BASE_US}) % {DAY_US}) // 60 AS us,
     CAST(floor((value - 2.0::double) * 100.0::double + 0.5::double) AS BIGINT) AS cents
   FROM events),
 txn_all AS (
@@ -29,8 +30,10 @@ txn_all AS (
     cents::double / 100.0::double AS amount, 'INR' AS currency,
     CASE WHEN event_type IN ('click', 'view') THEN 'upi' WHEN event_type = 'purchase' THEN 'card'
          WHEN event_type = 'signup' THEN 'imps' WHEN event_type = 'error' THEN 'neft' END AS channel,
-    'dev_' || ((user_id + (k % 3) * 11) % 97) AS device_fingerprint,
-    CASE WHEN k % 17 <> 0 THEN '192.168.' || (user_id % 5) || '.' || (k % 50) END AS ip_address,
+    CASE WHEN user_id % 4 = 0 THEN 'dev_' || ((user_id + (k % 3) * 11) % 97)
+      ELSE 'own_' || user_id || '_' || (k % 3) END AS device_fingerprint,
+    CASE WHEN k % 17 <> 0 THEN CASE WHEN user_id % 4 = 1 THEN '192.168.' || (user_id % 5) || '.' || (k % 50)
+      ELSE '10.' || user_id || '.' || (k % 5) END END AS ip_address,
     {_place(0)} AS location_lat, {_place(1)} AS location_lng,
     {_list(CATEGORY_RISK)}[(k % 10 + 1)::int] AS merchant_category,
     k % 25 = 0 AS is_international, make_timestamp(us) AS timestamp,
@@ -39,7 +42,7 @@ txn_all AS (
     us, cents,
     least(10000, 6 * ((event_id * 7919 + k * 31) % 1000) + CASE WHEN k < 3 THEN 4000 ELSE 0 END)::double
       / 10000.0::double AS risk_score,
-    least(10000, 5 * ((event_id * 6007 + k * 17) % 1000) + CASE WHEN k < 3 THEN 5000 ELSE 0 END)::double
+    least(10000, 7 * ((event_id * 6007 + k * 17) % 1000) + CASE WHEN k < 3 THEN 3000 ELSE 0 END)::double
       / 10000.0::double AS candidate_score,
     ((event_id * 13 + k * 7) % 1200)::double / 100.0::double AS latency_ms,
     event_id, k

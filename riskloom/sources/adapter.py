@@ -12,18 +12,12 @@ from pyspark.sql import functions as F
 from riskloom.schemas import CATEGORY_RISK
 
 BASE_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
+DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
+MIDDLE_US = BASE_US + 15 * DAY_US
 
-# City centres (latitude, longitude) used by user_id % 7.
-CITIES = [
-    (19.0760, 72.8777),
-    (28.6139, 77.2090),
-    (12.9716, 77.5946),
-    (17.3850, 78.4867),
-    (13.0827, 80.2707),
-    (22.5726, 88.3639),
-    (18.5204, 73.8567),
-]
-ABROAD = (51.5074, -0.1278)
+# Home places form a lattice of quarter degrees, by user_id % 7; one place stands for abroad.
+CITIES = [(8.0 + 3.25 * i, 70.0 + 4.5 * i) for i in range(7)]
+ABROAD = (50.5, 1.25)
 PATTERNS = ["velocity_burst", "impossible_travel", "account_takeover"]
 
 
@@ -34,11 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_as_transactions(events: DataFrame) -> DataFrame:
     """TXN columns plus us, cents, risk_score, candidate_score and latency_ms."""
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1).cast("bigint")
-    raw_us = F.unix_micros(F.col("ts").cast("timestamp"))
+    # Days stay as they are; the time of day shrinks to 24 minutes in an hour of the user's own. So bursts survive,
+    # day-long windows expire, and every hour and weekday occurs.
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(BASE_US)
+    day = F.call_function("div", since, F.lit(DAY_US))
+    us = (F.lit(BASE_US) + day * F.lit(DAY_US) + (F.col("user_id") % 24) * F.lit(HOUR_US)
+          + F.call_function("div", since - day * F.lit(DAY_US), F.lit(60).cast("bigint")))
     e = events.select(
         "event_id", "user_id", "event_type", k.alias("k"),
-        (F.lit(BASE_US) + F.call_function("div", raw_us - F.lit(BASE_US), F.lit(60).cast("bigint")))
-        .alias("us"),
+        us.alias("us"),
         F.floor((F.col("value") - F.lit(2.0)) * F.lit(100.0) + F.lit(0.5)).cast("bigint")
         .alias("cents"),
     )
@@ -67,12 +65,15 @@ def events_as_transactions(events: DataFrame) -> DataFrame:
         .when(F.col("event_type") == "purchase", "card")
         .when(F.col("event_type") == "signup", "imps")
         .when(F.col("event_type") == "error", "neft").alias("channel"),
-        F.concat(F.lit("dev_"),
-                 ((F.col("user_id") + (F.col("k") % 3) * 11) % 97).cast("string"))
-        .alias("device_fingerprint"),
-        F.when(F.col("k") % 17 != 0,
-               F.concat(F.lit("192.168."), (F.col("user_id") % 5).cast("string"), F.lit("."),
-                        (F.col("k") % 50).cast("string"))).alias("ip_address"),
+        # One user in four shares devices, another one in four shares addresses.
+        F.when(F.col("user_id") % 4 == 0, F.concat(
+            F.lit("dev_"), ((F.col("user_id") + (F.col("k") % 3) * 11) % 97).cast("string")))
+        .otherwise(F.concat(F.lit("own_"), F.col("user_id").cast("string"), F.lit("_"),
+                            (F.col("k") % 3).cast("string"))).alias("device_fingerprint"),
+        F.when(F.col("k") % 17 != 0, F.when(F.col("user_id") % 4 == 1, F.concat(
+            F.lit("192.168."), (F.col("user_id") % 5).cast("string"), F.lit("."), (F.col("k") % 50).cast("string")))
+            .otherwise(F.concat(F.lit("10."), F.col("user_id").cast("string"), F.lit("."), (F.col("k") % 5).cast("string"))))
+        .alias("ip_address"),
         place("lat", ABROAD[0]).alias("location_lat"),
         place("lng", ABROAD[1]).alias("location_lng"),
         F.element_at(categories, (F.col("k") % 10 + 1).cast("int")).alias("merchant_category"),
@@ -85,7 +86,7 @@ def events_as_transactions(events: DataFrame) -> DataFrame:
         "cents",
         (F.least(F.lit(10000), F.lit(6) * (spread % 1000) + F.lit(4000) * fraud).cast("double")
          / F.lit(10000.0)).alias("risk_score"),
-        (F.least(F.lit(10000), F.lit(5) * (spread_b % 1000) + F.lit(5000) * fraud).cast("double")
+        (F.least(F.lit(10000), F.lit(7) * (spread_b % 1000) + F.lit(3000) * fraud).cast("double")
          / F.lit(10000.0)).alias("candidate_score"),
         (((F.col("event_id") * 13 + F.col("k") * 7) % 1200).cast("double") / F.lit(100.0))
         .alias("latency_ms"),

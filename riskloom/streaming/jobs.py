@@ -65,17 +65,24 @@ def micro_batch_features(batch: DataFrame, history: DataFrame | None,
     return made.where("_new").drop("_new")
 
 
-def _located(df: DataFrame) -> DataFrame:
-    """The last row with a known location per customer."""
+def _located(df: DataFrame, per_hour: bool = False) -> DataFrame:
+    """The last row with a known location per customer, or per customer and hour.
+
+    Hours are kept in the table so that a later batch with older rows still finds the
+    place that was the last one then.
+    """
     rows = df.where(known_location(F.col("location_lat"), F.col("location_lng")))
-    return latest_per_key(rows, ["customer_id"], ["us", "transaction_id"])
+    if not per_hour:
+        return latest_per_key(rows, ["customer_id"], ["us", "transaction_id"])
+    hour = F.floor(F.col("us") / F.lit(3600 * MICROS))
+    return latest_per_key(rows.withColumn("_hour", hour), ["customer_id", "_hour"], ["us", "transaction_id"]).drop("_hour")
 
 
 def stream_features(stream: DataFrame, root: str, checkpoint: str):
     """Runs the feature stream over the available input.
 
     State lies in append-only tables under ``root``, one folder per batch: rows,
-    new (customer, device) and (customer, merchant) pairs, last located rows.
+    new (customer, device) and (customer, merchant) pairs, last located rows by hour.
     A batch reads only the last 25 hours of rows; older ones act through the pair
     and location tables. Every batch overwrites its own folders, so a batch
     repeated after a failure replaces its output.
@@ -96,8 +103,8 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
             start = batch.agg(F.min("us")).scalar()
             live = live_history(rows, start)
             if places is not None:
-                last = _located(places).where(
-                    F.col("us") < start - F.lit(CUSTOMER_TTL_SECONDS * MICROS))
+                # Cut first: a late row's last place is the newest before the live rows.
+                last = _located(places.where(F.col("us") < start - F.lit(CUSTOMER_TTL_SECONDS * MICROS)))
         put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last),
             "features")
         for column, known in pairs.items():
@@ -105,7 +112,7 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
             if known is not None:
                 fresh = fresh.join(known, ["customer_id", column], "left_anti")
             put(fresh, f"pairs_{column}")
-        put(_located(batch), "places")
+        put(_located(batch, per_hour=True), "places")
         put(batch, "history")
 
     return run_available(stream, on_batch, checkpoint)

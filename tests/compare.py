@@ -69,7 +69,7 @@ def main():
 
     sf_dir = sys.argv[1]
     names = sys.argv[2:]
-    spark = build_session("compare", "local[8]", **{
+    spark = build_session("compare", "local[6]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
