@@ -2,12 +2,13 @@
 
 Every distinct shingle set is one node. A node's signature is cut into several trees, each an order of the nodes by
 its own hashes. Nodes that share a prefix of a tree are a region; a region with too many nodes is cut at the next hash,
-deeper and deeper, so the depth follows the crowd. Candidates are a region's nodes and, where a region was cut, one
+deeper and deeper in steps, so the depth follows the crowd. Candidates are a region's nodes and, where a region was cut, one
 node of each part. Signatures then drop pairs that are far from the threshold, and whole texts confirm the rest.
 
 Links come in two rounds. The first confirms a spanning forest of each region, best pairs first, which joins a family
 of copies with one pair per member. The second looks at the regions whose nodes are still in different components and
-confirms every remaining pair between components, so no pair of a region goes unseen.
+compares every remaining pair between components inside bounded blocks, so no pair of a region goes unseen and only
+confirmed links leave a task.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components
-from riskloom.llm.staging import stage
+from riskloom.llm.staging import own_exchange, stage
 from riskloom.llm.textops import Slice, kind_table, lower_ascii, ngrams, run_hashes, runs, slices
 
 #: Words are what stands between spaces and the bytes 0x09 to 0x0D, after lower-casing A-Z.
@@ -41,7 +42,9 @@ class ForestParams:
     trees: int = 16
     depth: int = 8
     least_depth: int = 4
+    step: int = 2
     region: int = 64
+    block: int = 512
     slack: float = 0.12
     seed: int = 5
 
@@ -89,19 +92,24 @@ def signatures(sets: list[np.ndarray], p: ForestParams) -> list[bytes | None]:
 
 
 def sign(docs: DataFrame, p: ForestParams) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set) and signature; the last two null for the empty set."""
+    """doc_id, text_key, n_shingles, node (fingerprint of the set) and signature; the last two null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 sets = shingle_sets(part, p.shingle)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(part.first, part.rows), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column("doc_id").slice(part.first, part.rows), batch.column("text_key").slice(part.first, part.rows),
+                     pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array(signatures(sets, p), pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "signature"])
+                    names=["doc_id", "text_key", "n_shingles", "node", "signature"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node binary, signature binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key().alias("text_key"), "text").mapInArrow(
+        run, "doc_id bigint, text_key bigint, n_shingles bigint, node binary, signature binary")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _prefixes(nodes: DataFrame, p: ForestParams) -> DataFrame:
@@ -133,33 +141,30 @@ def _prefixes(nodes: DataFrame, p: ForestParams) -> DataFrame:
 def regions(nodes: DataFrame, p: ForestParams) -> DataFrame:
     """(region, chunk, chunks, node): the nodes that are candidates for each other.
 
-    Depth is adaptive: a prefix with more than ``region`` nodes is cut at the next hash. One node of each part stays in
+    Depth is adaptive: a prefix with more than ``region`` nodes is cut at the next ``step`` hashes. One node of each part stays in
     a region of the undivided prefix, so neighbours across a cut still meet. At full depth, or where a prefix has that
     many parts, a crowd is dealt into chunks of about ``region`` nodes that all hold the crowd's least node.
     """
     rows = _prefixes(nodes, p)
-    # Counts are written before they are joined: only joins of plain exchanges are split where a region is crowded.
-    shared = stage(rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "shared")
-    open_ = stage(rows.join(shared, "region", "left_semi"), "prefixes")
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    open_ = rows.join(own_exchange(shared, "region"), "region", "left_semi")
     done = []
-    for d in range(p.depth - p.least_depth + 1):
-        counts = stage(open_.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), "counts")
-        counted = open_.join(counts, "region").where("n > 1")
-        if d == p.depth - p.least_depth:
-            done.append(counted.select("region", "node", "n", "least"))
-            break
-        counted = stage(counted, "regions")
-        done.append(counted.where(F.col("n") <= p.region).select("region", "node", "n", "least"))
+    for d in range(0, p.depth - p.least_depth + 1, p.step):
+        # The crowd's table is read by its count, its parts and the next depth.
+        open_ = stage(open_, "prefixes")
+        counts = open_.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        counted = stage(open_.join(own_exchange(counts, "region"), "region").where("n > 1"), "regions")
+        last = d + p.step > p.depth - p.least_depth
+        done.append(counted.where(F.lit(last) | (F.col("n") <= p.region)).select("region", "node", "n", "least"))
         crowd = counted.where(F.col("n") > p.region)
-        if not crowd.take(1):
+        if last or not crowd.take(1):
             break
-        deeper = crowd.select("node", "rest", F.col("region").alias("above"),
-                              F.xxhash64("region", F.get("rest", F.lit(d))).alias("region"))
-        deeper = stage(deeper, "deeper")
-        spine = stage(deeper.groupBy("above", "region").agg(F.min("node").alias("node")).select(
-            F.xxhash64("above", F.lit("spine")).alias("region"), "node"), "spine")
-        sizes = stage(spine.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")), "sizes")
-        done.append(spine.join(sizes, "region").where("n > 1").select("region", "node", "n", "least"))
+        deeper = crowd.select("node", "rest", F.col("region").alias("above"), F.xxhash64(
+            "region", *[F.get("rest", F.lit(d + k)) for k in range(p.step)]).alias("region"))
+        spine = deeper.groupBy("above", "region").agg(F.min("node").alias("node")).select(
+            F.xxhash64("above", F.lit("spine")).alias("region"), "node")
+        sizes = spine.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        done.append(spine.join(own_exchange(sizes, "region"), "region").where("n > 1").select("region", "node", "n", "least"))
         open_ = deeper.drop("above")
     every = done[0]
     for more in done[1:]:
@@ -198,17 +203,15 @@ def _forest(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> list[int]:
     return kept
 
 
-def _group_pairs(rows: DataFrame, p: ForestParams, spanning: bool) -> DataFrame:
-    """Pairs (a < b) of nodes in one group (region, chunk) whose estimate is near the threshold or above.
+def _forest_pairs(rows: DataFrame, p: ForestParams) -> DataFrame:
+    """Pairs (a < b) that span each group (region, chunk), best estimates first, none far below the threshold.
 
-    ``rows`` has region, chunk, node, sketch and comp. ``spanning``: a spanning forest per group; else every pair of
-    different components. Groups hold about ``region`` nodes, or what the second round brings to a chunk.
+    ``rows`` has region, chunk, node and sketch; a group holds about ``region`` nodes.
     """
     least = p.percent / 100 - p.slack
 
-    def pairs(keys: list, nodes: list, sketch: np.ndarray, comp: list) -> Iterator[tuple]:
+    def pairs(keys: list, nodes: list, sketch: np.ndarray) -> Iterator[tuple]:
         bounds = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
-        comps = np.unique(np.array(comp), return_inverse=True)[1]
         pair_i, pair_j = [], []
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a == 2:
@@ -216,26 +219,19 @@ def _group_pairs(rows: DataFrame, p: ForestParams, spanning: bool) -> DataFrame:
                 pair_j.append(np.array([a + 1]))
             elif b - a > 2:
                 for i in range(a, b - 1):
-                    other = np.arange(i + 1, b)
-                    if not spanning:
-                        other = other[comps[i + 1:b] != comps[i]]
-                    pair_i.append(np.full(len(other), i))
-                    pair_j.append(other)
+                    pair_i.append(np.full(b - i - 1, i))
+                    pair_j.append(np.arange(i + 1, b))
         if not pair_i:
             return
         i, j = np.concatenate(pair_i), np.concatenate(pair_j)
-        if not spanning:
-            apart = comps[i] != comps[j]
-            i, j = i[apart], j[apart]
         score = _estimates(sketch, i, j)
         near = score >= least
         i, j, score = i[near], j[near], score[near]
         group = np.searchsorted(bounds, i, "right")
-        if spanning:
-            keep, cuts = [], np.searchsorted(group, np.arange(1, len(bounds) + 1))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                keep += [a] if b - a == 1 else [a + k for k in _forest(i[a:b], j[a:b], score[a:b])] if b > a else []
-            i, j = i[keep], j[keep]
+        keep, cuts = [], np.searchsorted(group, np.arange(1, len(bounds) + 1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            keep += [a] if b - a == 1 else [a + k for k in _forest(i[a:b], j[a:b], score[a:b])] if b > a else []
+        i, j = i[keep], j[keep]
         for x, y in zip(i.tolist(), j.tolist()):
             if nodes[x] != nodes[y]:
                 yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
@@ -245,13 +241,13 @@ def _group_pairs(rows: DataFrame, p: ForestParams, spanning: bool) -> DataFrame:
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-            found = list(pairs([r[0] for r in rows], [r[1] for r in rows], sketch, [r[3] for r in rows])) if rows else []
+            found = list(pairs([r[0] for r in rows], [r[1] for r in rows], sketch)) if rows else []
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()),
                                                pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
 
         for batch in batches:
             held += zip(zip(batch.column("region").to_pylist(), batch.column("chunk").to_pylist()),
-                        batch.column("node").to_pylist(), batch.column("sketch").to_pylist(), batch.column("comp").to_pylist())
+                        batch.column("node").to_pylist(), batch.column("sketch").to_pylist())
             if len(held) < 4000:
                 continue
             cut = len(held)
@@ -263,8 +259,121 @@ def _group_pairs(rows: DataFrame, p: ForestParams, spanning: bool) -> DataFrame:
         yield flush(held)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk", "node")
-            .mapInArrow(run, "a binary, b binary").distinct())
+    return (rows.select("region", "chunk", "node", "sketch").repartition(parts, "region", "chunk")
+            .sortWithinPartitions("region", "chunk", "node").mapInArrow(run, "a binary, b binary").distinct())
+
+
+def _blocks(placed: DataFrame, p: ForestParams) -> DataFrame:
+    """The regions whose nodes are in several components, as blocks in which every pair between components meets.
+
+    ``placed`` has region, node, comp. Of two components at least one is not the region's main one, so each block sets
+    some of all nodes (side 0) against some of those outside the main component (side 1), about ``block`` of each.
+    """
+    members = placed.select("region", "node", "comp").distinct()
+    shares = members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"),
+                                        F.max("n").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = members.join(own_exchange(main, "region"), "region").withColumn("outside", F.col("comp") != F.col("main"))
+    here, there = F.ceil(F.col("n") / p.block).cast("int"), F.ceil((F.col("n") - F.col("most")) / p.block).cast("int")
+    own = F.xxhash64("node")
+    sides = F.concat(
+        F.transform(F.sequence(F.lit(0), there - 1), lambda j: F.struct(
+            F.pmod(own, here).cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+        F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), here - 1), lambda i: F.struct(
+            i.alias("i"), F.pmod(own, there).cast("int").alias("j"), F.lit(1).alias("side")))).otherwise(
+            F.array().cast("array<struct<i:int,j:int,side:int>>")))
+    return rows.select("region", "node", "comp", "outside", F.explode(sides).alias("at")).select(
+        "region", "at.i", "at.j", "at.side", "node", "comp", "outside")
+
+
+def _near(rows: list[dict], p: ForestParams) -> list[tuple[int, int]]:
+    """Places of (side 0, side 1) rows of one block in different components that may reach the threshold, best first."""
+    a = [k for k, r in enumerate(rows) if r["side"] == 0]
+    b = [k for k, r in enumerate(rows) if r["side"] == 1]
+    if not a or not b:
+        return []
+    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+    comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
+    outside = np.array([r["outside"] for r in rows])
+    node = np.unique([r["node"] for r in rows], return_inverse=True)[1]
+    found, right = [], np.array(b)
+    for i in a:
+        j = right[(comp[right] != comp[i]) & (~outside[i] | (node[right] > node[i]))]
+        if len(j):
+            score = (sketch[j] == sketch[i]).mean(axis=1)
+            close = score >= p.percent / 100 - p.slack
+            found += zip(score[close].tolist(), [i] * int(close.sum()), j[close].tolist())
+    found.sort(key=lambda x: (-x[0], x[1], x[2]))
+    return [(i, j) for _, i, j in found]
+
+
+_BLOCK = "region bigint, i int, j int, side int, node binary, comp binary, outside boolean, sketch binary"
+
+
+def _block_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one block after another; the rows come sorted by block."""
+    key, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = (row["region"], row["i"], row["j"])
+            if own != key and held:
+                yield held
+                held = []
+            key = own
+            held.append(row)
+    if held:
+        yield held
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "side", "node")
+
+
+def _block_candidates(rows: DataFrame, p: ForestParams) -> DataFrame:
+    """The rows of the blocks that have a near partner there; pairs stay inside the task."""
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _block_groups(batches):
+            used = sorted({k for pair in _near(group, p) for k in pair})
+            if used:
+                yield pa.RecordBatch.from_pydict({c: [group[k][c] for k in used] for c in names}, schema=_block_schema())
+
+    return _dealt(rows.select(*names)).mapInArrow(select, _BLOCK)
+
+
+def _block_schema() -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _BLOCK.split(", "))])
+
+
+def _block_links(rows: DataFrame, p: ForestParams) -> DataFrame:
+    """Confirmed pairs of the blocks' candidates (with their text) that join components not yet joined in the block."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _block_groups(batches):
+            sets = [s for part in slices(pa.array([r["text"] for r in group], pa.string())) for s in shingle_sets(part, p.shingle)]
+            up: dict[bytes, bytes] = {}
+
+            def root(x: bytes) -> bytes:
+                while x in up:
+                    x = up[x]
+                return x
+
+            found = []
+            for i, j in _near(group, p):
+                a, b = root(group[i]["comp"]), root(group[j]["comp"])
+                if a != b:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= p.percent * (len(sets[i]) + len(sets[j]) - common):
+                        up[max(a, b)] = min(a, b)
+                        found.append((group[i]["node"], group[j]["node"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()),
+                                                  pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    return _dealt(rows).mapInArrow(links, "a binary, b binary")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, p: ForestParams) -> DataFrame:
@@ -325,37 +434,53 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "nodes")
     dealt = regions(nodes, p)
     sketches = _sketches(nodes.join(dealt.select("node").distinct(), "node", "left_semi"))
-    first = stage(_group_pairs(dealt.join(sketches, "node").withColumn("comp", F.col("node")), p, spanning=True), "pairs")
+    first = stage(_forest_pairs(dealt.join(sketches, "node"), p), "pairs")
     texts = _texts(docs, nodes, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p)
     links = stage(confirm(first, texts, p), "confirmed")
     found = connected_components(links)
 
     placed = stage(dealt.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select(
-        "region", "chunks", "chunk", "node", F.coalesce("component", "node").alias("comp")), "placed")
-    shares = placed.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = stage(shares.groupBy("region").agg(
-        F.max_by("comp", "n").alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "main")
-    # Between components at least one side is outside the main one: those visit every chunk.
-    chunk = F.when((F.col("comp") != F.col("main")) & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(
-        F.array("chunk"))
-    unresolved = placed.join(main, "region").select("region", "node", "comp", F.explode(chunk).alias("chunk")).distinct()
-    second = stage(_group_pairs(unresolved.join(sketches, "node"), p, spanning=False).join(first, ["a", "b"], "left_anti"), "pairs")
+        "region", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    second = stage(_block_candidates(_blocks(placed, p).join(sketches, "node"), p), "blocks")
     if second.take(1):
-        known = texts.select("node")
-        missing = second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+        missing = second.select("node").distinct().join(texts.select("node"), "node", "left_anti")
         texts = texts.unionByName(_texts(docs, nodes, missing, p))
-        more = stage(confirm(second, texts, p), "confirmed")
+        more = stage(_block_links(second.join(texts, "node"), p), "confirmed")
         found = connected_components(links.unionByName(more))
 
     roots = nodes.select("node", "doc_id").join(found.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("root"))
-    least = stage(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    named = roots.join(least, "root").select("node", "component_id")
-    linked = signed.where(F.col("node").isNotNull()).join(named, "node", "left").select("doc_id", "n_shingles", "component_id")
-    empty = signed.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = own_exchange(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    named = roots.join(least, "root").select("node", "root", "component_id")
+    columns = ["doc_id", "n_shingles", "component_id", "text_key", "root"]
+    linked = signed.where(F.col("node").isNotNull()).join(named, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")).select(columns)
+    empty = signed.where(F.col("node").isNull()).select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("binary").alias("root"))
     return linked.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def drop_near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFrame:
+    """One document of each component, with its own columns: the least id, then the least text hash.
+
+    Texts without words are linked with nothing and stay, all of them. A document without an id stays only where no
+    document with an id is in its component. Of rows equal in id and text one stays.
+    """
+    found = stage(near_duplicates(docs, p), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_key")
+    again = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_copies"))
+    same = (F.col("doc_id").eqNullSafe(F.col("_doc_id"))) & (F.col("text_key") == F.col("_text_key"))
+    rename = lambda df: df.withColumnsRenamed({"doc_id": "_doc_id", "text_key": "_text_key"})
+    keepers = stage(chosen.join(rename(again), same).select("_doc_id", "_text_key", "_copies"), "keepers")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumn("_key", _text_key()).join(
+        keepers, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
+    once = rows.where("_copies = 1").select(docs.columns)
+    several = rows.where("_copies > 1").dropDuplicates(["_doc_id", "_key"]).select(docs.columns)
+    return once.unionByName(several).unionByName(docs.where(~worded))
+
+
 def _sketches(nodes: DataFrame) -> DataFrame:
     """The low byte of each of a node's minima; equal bytes of unequal minima add 1/256 to an estimate at most."""
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.session import stage, work_dir
 
-__all__ = ["bounded_collect", "fresh_dir", "stage"]
+__all__ = ["bounded_collect", "fresh_dir", "own_exchange", "stage"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -20,3 +21,13 @@ def bounded_collect(df: DataFrame, limit: int) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows")
     return rows
+
+
+def own_exchange(grouped: DataFrame, key: str) -> DataFrame:
+    """``grouped`` (one row per ``key``) such that a later join by the key shuffles it anew.
+
+    A join that reuses the partitioning of an aggregate can't be split by adaptive execution; one between two plain
+    exchanges can, and the other side may have very many rows of one key. The key passes through an expression that
+    leaves its value alone.
+    """
+    return grouped.withColumn(key, F.when(F.rand(0) < 2, F.col(key)))
