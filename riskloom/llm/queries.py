@@ -98,7 +98,8 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return neardup.near_duplicates(docs, neardup.ForestParams(shingle=3, percent=85))
+    return neardup.near_duplicates(docs, neardup.ForestParams(shingle=3, percent=85)).select(
+        "doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
@@ -171,8 +172,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(SQL)
+    import corpus_pipeline
+
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
