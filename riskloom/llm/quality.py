@@ -32,7 +32,7 @@ REPEAT = np.uint64(0x5DEECE66D1234567)
 
 @dataclass
 class FtrlParams:
-    """``max_train`` bounds the labelled rows that are gathered for the fit; scoring covers every row."""
+    """``max_train`` is the expected number of labelled rows gathered for the fit; scoring covers every row."""
 
     bits: int = 18
     orders: tuple[int, ...] = (1, 2)
@@ -124,17 +124,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, train_on: Column, label_co
                   p: FtrlParams | None = None) -> QualityModel:
     """Fits on labelled rows for which ``train_on`` (over the labels) holds.
 
-    At most ``max_train`` of them, the lowest by a hash of the id, are used, and of these as many as have
-    ``max_train_chars`` in all. Null or missing labels and ids are left out; of repeated ids, which row is used
-    is fixed by the text. Only id, text and label are read.
+    A share of them is drawn by a hash of the id, such that ``max_train`` are expected, and of these as many are used,
+    shortest first, as have ``max_train_chars`` in all. Null or missing labels and ids are left out; of repeated ids,
+    which row is used is fixed by the text. Only id, text and label are read.
     """
     p = p or FtrlParams()
-    wanted = (labels.where(train_on & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
-              .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label"))
-              .orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.max_train))
-    sized = (docs.select("doc_id", "text").join(wanted, "doc_id")
+    usable = (labels.where(train_on & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
+              .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label")))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = usable.where(draw < min(1.0, p.max_train / max(usable.count(), 1)))
+    sized = (docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # about max_train ids
              .groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("_label").alias("_label")))
-    rows = bounded_collect(sized, p.max_train)
+    rows = bounded_collect(sized, 2 * p.max_train + 1000)
     rows.sort(key=lambda r: (len(r.text), r.doc_id))
     room = int(np.searchsorted(np.cumsum([len(r.text) for r in rows]), p.max_train_chars, "right"))
     rows = rows[:room]
