@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import round_dp
 from riskloom.operators.trailing import Trailing, trailing
 from riskloom.schemas import CATEGORY_RISK, UNKNOWN_CATEGORY_RISK
+from riskloom.session import stage
 
 
 def category_risk(category: Column) -> Column:
@@ -120,28 +121,47 @@ def identity_edges(df: DataFrame) -> DataFrame:
             .groupBy("kind", "value", "customer_id").agg(F.min("us").alias("first_seen_us")))
 
 
-def _pair_members(pairs: DataFrame, edges: DataFrame, degrees: DataFrame) -> DataFrame:
-    """(dev, ip, customer_id): customers tied to both sides of each given pair.
+def _identity_rows(df: DataFrame) -> DataFrame:
+    """The identifiers of every event, written once: the only reading of ``df`` that the link counts need."""
+    return stage(df.select("transaction_id", "customer_id", "us", F.col("device_fingerprint").alias("dev"),
+                           F.when(_has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip")), "identities")
+
+
+def _sized_edges(rows: DataFrame) -> DataFrame:
+    """(kind, value, customer_id, first, degree): distinct edges with their first sighting and the value's customers.
+
+    Written once; edges are few beside the events, and every branch below reads them instead of the events.
+    """
+    edge = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))
+    edges = (rows.select("customer_id", "us", "transaction_id", F.inline(F.array(edge("device", "dev"), edge("ip", "ip"))))
+             .where(_has_ip(F.col("value"))).groupBy("kind", "value", "customer_id")
+             .agg(F.min(F.struct("us", "transaction_id")).alias("first")))
+    edges = stage(edges, "edges")
+    degrees = edges.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("degree"))
+    return stage(edges.join(degrees, ["kind", "value"]), "sized_edges")
+
+
+def _side(edges: DataFrame, kind: str, name: str) -> DataFrame:
+    """One side's edges: the value, customer_id, first sighting and degree under names of that side."""
+    return edges.where(F.col("kind") == kind).select(
+        F.col("value").alias(name), "customer_id", F.col("first").alias(f"first_{name}"), F.col("degree").alias(f"n_{name}"))
+
+
+def _pair_members(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dev, ip, customer_id, first_dev, first_ip): customers tied to both sides of each given pair.
 
     For each pair the side with fewer customers is expanded and probed against
     the other side's edges, so a heavily shared IP is never expanded for a
     device that few customers use. No customer pairs are formed.
     """
-    def degree(kind: str, name: str) -> DataFrame:
-        return degrees.where(F.col("kind") == kind).select(
-            F.col("value").alias(name), F.col("degree").alias(f"n_{name}"))
-
-    def members(kind: str, name: str) -> DataFrame:
-        return edges.where(F.col("kind") == kind).select(F.col("value").alias(name), "customer_id")
-
-    sized = pairs.join(degree("device", "dev"), "dev").join(degree("ip", "ip"), "ip")
-    by_device = (sized.where(F.col("n_dev") <= F.col("n_ip"))
-                 .join(members("device", "dev"), "dev")
-                 .join(members("ip", "ip"), ["ip", "customer_id"], "left_semi"))
-    by_ip = (sized.where(F.col("n_dev") > F.col("n_ip"))
-             .join(members("ip", "ip"), "ip")
-             .join(members("device", "dev"), ["dev", "customer_id"], "left_semi"))
-    columns = ("dev", "ip", "customer_id")
+    dev, ip = _side(edges, "device", "dev"), _side(edges, "ip", "ip")
+    size = lambda side, name: side.groupBy(name).agg(F.max(f"n_{name}").alias(f"n_{name}"))
+    sized = stage(pairs.join(size(dev, "dev"), "dev").join(size(ip, "ip"), "ip"), "pairs")
+    by_device = (sized.where(F.col("n_dev") <= F.col("n_ip")).select("dev", "ip").join(dev.drop("n_dev"), "dev")
+                 .join(ip.drop("n_ip"), ["ip", "customer_id"]))
+    by_ip = (sized.where(F.col("n_dev") > F.col("n_ip")).select("dev", "ip").join(ip.drop("n_ip"), "ip")
+             .join(dev.drop("n_dev"), ["dev", "customer_id"]))
+    columns = ("dev", "ip", "customer_id", "first_dev", "first_ip")
     return by_device.select(*columns).unionByName(by_ip.select(*columns))
 
 
@@ -151,15 +171,12 @@ def linked_counts(df: DataFrame) -> DataFrame:
     |A or B| = |A| + |B| - |A and B|, less the customer itself, from edge
     degrees: no list of customers is built, whatever the sharing degree.
     """
-    edges = identity_edges(df)
-    degrees = edges.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("degree"))
-    events = df.select("transaction_id", F.col("device_fingerprint").alias("dev"),
-                       F.when(_has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip"))
-    combos = events.select("dev", "ip").distinct()
-    overlap = (_pair_members(combos.where(F.col("ip").isNotNull()), edges, degrees)
+    events = _identity_rows(df)
+    edges = _sized_edges(events)
+    combos = stage(events.select("dev", "ip").distinct(), "combos")
+    overlap = (_pair_members(combos.where(F.col("ip").isNotNull()), edges)
                .groupBy("dev", "ip").agg(F.count(F.lit(1)).alias("both")))
-    side = lambda kind, name: (degrees.where(F.col("kind") == kind)
-                               .select(F.col("value").alias(name), F.col("degree").alias(f"n_{name}")))
+    side = lambda kind, name: _side(edges, kind, name).groupBy(name).agg(F.max(f"n_{name}").alias(f"n_{name}"))
     zero = F.lit(0).cast("bigint")
     counts = (combos.join(side("device", "dev"), "dev", "left")
               .join(side("ip", "ip"), "ip", "left").join(overlap, ["dev", "ip"], "left")
@@ -208,17 +225,11 @@ def linked_counts_as_of(df: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     minus those customers already on both, minus itself.
     """
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    rows = df.select("transaction_id", "customer_id", "us",
-                     F.col("device_fingerprint").alias("dev"),
-                     F.when(_has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip"))
+    rows = _identity_rows(df)
+    edges = _sized_edges(rows)
 
-    def first(col: str) -> DataFrame:
-        return (rows.where(F.col(col).isNotNull()).groupBy("customer_id", col)
-                .agg(F.min(F.struct("us", "transaction_id")).alias(f"first_{col}")))
-
-    def running(col: str) -> DataFrame:
-        marks = first(col).select(F.col(f"first_{col}.transaction_id").alias("transaction_id"),
-                                  one.alias("mark"))
+    def running(col: str, kind: str) -> DataFrame:
+        marks = _side(edges, kind, col).select(F.col(f"first_{col}.transaction_id").alias("transaction_id"), one.alias("mark"))
         seen = rows.where(F.col(col).isNotNull()).join(marks, "transaction_id", "left")
         return trailing(seen.withColumn("mark", F.coalesce("mark", zero)), col,
                         [Trailing(f"n_{col}", "running_sum", "mark")],
@@ -226,12 +237,8 @@ def linked_counts_as_of(df: DataFrame, slice_seconds: int = 3600) -> DataFrame:
 
     # A customer is on both sides of (dev, ip) from the later of its two first sightings.
     pairs = rows.where(F.col("ip").isNotNull()).select("dev", "ip").distinct()
-    edges = identity_edges(df)
-    degrees = edges.groupBy("kind", "value").agg(F.count(one).alias("degree"))
-    both = _pair_members(pairs, edges, degrees)
-    both = (both.join(first("dev"), ["customer_id", "dev"])
-            .join(first("ip"), ["customer_id", "ip"])
-            .select("dev", "ip", F.greatest("first_dev", "first_ip").alias("at"), "customer_id"))
+    both = _pair_members(pairs, edges).select(
+        "dev", "ip", F.greatest("first_dev", "first_ip").alias("at"), "customer_id")
     # Markers sort just before the event that completes the pair (same us and id).
     markers = both.select("dev", "ip", F.col("at.us").alias("us"),
                           F.struct(F.col("at.transaction_id").alias("t"), zero.alias("o"),
@@ -247,8 +254,8 @@ def linked_counts_as_of(df: DataFrame, slice_seconds: int = 3600) -> DataFrame:
                .where(F.col("pos.o") == 1)
                .select(F.col("pos.t").alias("transaction_id"), "n_both"))
     return (rows.select("transaction_id")
-            .join(running("dev"), "transaction_id", "left")
-            .join(running("ip"), "transaction_id", "left")
+            .join(running("dev", "device"), "transaction_id", "left")
+            .join(running("ip", "ip"), "transaction_id", "left")
             .join(overlap, "transaction_id", "left")
             .select("transaction_id",
                     (F.coalesce("n_dev", zero) + F.coalesce("n_ip", zero)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,27 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_AREAS: list[list[str]] = []
+
+
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables staged inside it and removes them at its end.
+
+    Results are lazy, so write (or collect) them inside::
+
+        with staging_area(spark):
+            linked_counts(txns).write.parquet(target)
+    """
+    _AREAS.append([])
+    try:
+        yield
+    finally:
+        for path in _AREAS.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and reads it back.
 
@@ -54,5 +77,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     it is computed once, pruned on read, and outlives lost executors.
     """
     path = work_dir(df.sparkSession, name)
+    if _AREAS:
+        _AREAS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

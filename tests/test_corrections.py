@@ -99,3 +99,32 @@ def test_the_mapped_data_reaches_every_branch():
         "SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"))
     assert count < lifetime / 2  # a day's window expires
     assert "n_txns >=" not in sql["merchant_risk_lookup"]
+
+
+def test_link_counts_read_the_events_once(spark):
+    from riskloom.operators.entities import linked_counts, linked_counts_as_of
+
+    for function, most in ((linked_counts, 8), (linked_counts_as_of, 40)):
+        plan = function(transactions(spark, SF))._jdf.queryExecution().executedPlan().toString()
+        assert "events.parquet" not in plan  # only written tables, far smaller than the events, are read again
+        assert plan.count("Exchange hashpartitioning") <= most, (function.__name__, plan.count("Exchange hashpartitioning"))
+
+
+def test_a_hot_device_and_a_hot_address(spark):
+    from riskloom.operators.entities import linked_counts
+
+    rows = [(f"t{i}", f"c{i}", i, "hot_dev" if i < 400 else f"d{i}", "hot_ip" if i >= 200 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, us bigint, device_fingerprint string, ip_address string")
+    got = {r.transaction_id: r.linked_count for r in linked_counts(df).collect()}
+    assert (got["t0"], got["t300"], got["t500"]) == (399, 599, 399)
+
+
+def test_staged_tables_have_an_owner(spark):
+    import glob
+
+    from riskloom.session import stage, staging_area
+
+    root = spark.conf.get("spark.checkpoint.dir")
+    with staging_area(spark):
+        assert stage(spark.range(5), "owned").count() == 5 and glob.glob(f"{root}/owned-*")
+    assert not glob.glob(f"{root}/owned-*")
