@@ -52,6 +52,13 @@ def reset_to_champion(config: DataFrame) -> DataFrame:
                                "is_active": F.lit(False)})
 
 
+def reset_request(config: DataFrame, us: Column) -> DataFrame:
+    """The split request that sends all traffic back to the champion, as a row of the configuration log."""
+    reset = reset_to_champion(config)
+    return reset.select(us.cast("bigint").alias("us"), F.lit(0).cast("bigint").alias("event_id"), "canary_version",
+                        "canary_percentage", "shadow_mode")
+
+
 def _setting(config: DataFrame, name: str) -> Column:
     return config.select(name).scalar()
 
@@ -81,14 +88,19 @@ def shadow_score(df: DataFrame, config: DataFrame) -> DataFrame:
         "shadow_score": F.when(F.coalesce(on, F.lit(False)), F.col("candidate_score"))})
 
 
+def recent_observations(observations: DataFrame, window: int = 200) -> DataFrame:
+    """The last ``window`` observations of each arm."""
+    return last_n(observations, ["arm"], [F.col("us").desc(), F.col("transaction_id").desc()],
+                  window, F.col("transaction_id"))
+
+
 def canary_health(observations: DataFrame, window: int = 200) -> DataFrame:
     """Health of each arm over its last ``window`` observations.
 
     An arm may hold nearly all rows: the cut to the last ``window`` is made per
     (arm, salt) first, so the final window sees at most 64 x ``window`` rows.
     """
-    recent = last_n(observations, ["arm"], [F.col("us").desc(), F.col("transaction_id").desc()],
-                    window, F.col("transaction_id"))
+    recent = recent_observations(observations, window)
     rate = lambda c: F.avg(F.col(c).cast("double"))
     return recent.groupBy("arm").agg(
         F.count(F.lit(1)).alias("n"),

@@ -340,11 +340,21 @@ def micro_batch_features(spark, sf):
     return L.micro_batch_features(t.where(late), t.where(~late)).select("transaction_id", "txn_count_24hr", "is_new_merchant")
 
 
-@query("stream_device_count", with_txn(f"SELECT transaction_id, device_txn_count FROM (SELECT *, {tcount('device_fingerprint', 3600)} AS device_txn_count FROM txn) WHERE us >= {MIDDLE_US}"))
+def halves(spark, df):
+    """Lands the rows before the middle of the month, then the rest; yields the landing folder after each."""
+    landing = work_dir(spark, "stream-in")
+    early = F.col("us") < MIDDLE_US
+    for part in (early, ~early):
+        df.where(part).write.mode("append").parquet(landing)
+        yield landing
+
+
+@query("stream_device_count", with_txn(f"SELECT transaction_id, {tcount('device_fingerprint', 3600)} AS device_txn_count FROM txn"))
 def stream_device_count(spark, sf):
-    t = transactions(spark, sf)
-    late = F.col("us") >= MIDDLE_US
-    return L.stream_device_count(t.where(late), t.where(~late))
+    t, root = transactions(spark, sf), work_dir(spark, "device-out")
+    for landing in halves(spark, t):
+        L.stream_device_counts(spark.readStream.schema(t.schema).parquet(landing), root, root + "-ckpt")
+    return spark.read.parquet(root + "/counts").select("transaction_id", "device_txn_count")
 
 
 @query("state_ttl", with_txn("SELECT transaction_id FROM txn WHERE us >= (SELECT max(us) FROM txn) - 7200000000"))
@@ -380,20 +390,39 @@ def stream_score_and_flag(spark, sf):
     return _run_to_table(L.stream_score(scored), spark, "alerts").select("key")
 
 
-@query("stream_dual_write", with_features("SELECT transaction_id, 1::BIGINT AS online, 1::BIGINT AS offline FROM features"))
+@query("stream_dual_write", with_features("SELECT transaction_id, 1::BIGINT AS online, 1::BIGINT AS offline, txn_count_1hr FROM features"))
 def stream_dual_write(spark, sf):
-    root = work_dir(spark, "dual")
-    for attempt in range(2):  # a repeated batch replaces its own output
-        L.dual_write(features(spark, sf), 0, root)
-    on, off = (spark.read.parquet(f"{root}/{x}").groupBy("transaction_id").agg(F.count(F.lit(1)).alias(x)) for x in ("online", "offline"))
-    return on.join(off, "transaction_id")
+    root, made = work_dir(spark, "dual"), features(spark, sf)
+    landing = work_dir(spark, "dual-in")
+    made.write.parquet(landing)
+    for attempt in range(2):  # a stream that starts over repeats its batch, which replaces its own output
+        L.stream_dual_write(spark.readStream.schema(made.schema).parquet(landing), root, f"{root}-ckpt{attempt}")
+    on, off = (spark.read.parquet(f"{root}/{x}") for x in ("online", "offline"))
+    count = lambda df, name, *more: df.groupBy("transaction_id").agg(F.count(F.lit(1)).alias(name), *more)
+    value = F.max(F.col("fields")["txn_count_1hr"].cast("bigint")).alias("txn_count_1hr")
+    return count(on, "online", value).join(count(off, "offline"), "transaction_id").select("transaction_id", "online", "offline", "txn_count_1hr")
+
+
+def _canary_sql():
+    from riskloom.plans.governance_queries import SQL as governance
+
+    return governance["rollback_decision"].replace("risk_score >= 0.6::double AS was_flagged FROM txn)",
+                                                   f"risk_score >= 0.6::double AS was_flagged FROM txn WHERE us < {MIDDLE_US})")
 
 
-@query("stream_canary_monitor", with_txn("SELECT 0::BIGINT AS batch, 'candidate_v2' AS canary_version, 'baseline_v1' AS champion_version WHERE (SELECT count(*) FROM txn) > 20"))
+@query("stream_canary_monitor", f"""SELECT 0::BIGINT AS batch, canary_version, champion_version, samples, reason, p99_latency_ms, error_rate,
+  0.0::double AS percentage_after FROM ({_canary_sql()}) WHERE rolled_back""")
 def stream_canary_monitor(spark, sf):
+    """Two batches: the first one trips and resets the split, the second one finds no canary."""
     from riskloom.operators import lifecycle as K
     from riskloom.plans.governance_queries import observations
-    audit = work_dir(spark, "audit")
-    obs = observations(spark, sf).withColumn("is_error", F.lit(True))
-    L.canary_monitor(obs, K.split_config(spark, "candidate_v2", 30.0), audit, 0)
-    return spark.read.parquet(audit).select(F.col("batch").cast("bigint").alias("batch"), "canary_version", "champion_version")
+    root, seen = work_dir(spark, "canary"), observations(spark, sf)
+    first = spark.range(1).select(F.lit(0).cast("bigint").alias("us"), F.lit(0).cast("bigint").alias("event_id"),
+                                  F.lit("candidate_v2").alias("canary_version"), F.lit(30.0).alias("canary_percentage"), F.lit(False).alias("shadow_mode"))
+    first.write.parquet(f"{root}/config/batch=-1")
+    for landing in halves(spark, seen):
+        L.stream_canary_monitor(spark.readStream.schema(seen.schema).parquet(landing), root, root + "-ckpt")
+    after = K.current_split(spark.read.parquet(f"{root}/config"))
+    return spark.read.parquet(f"{root}/audit").select(
+        F.col("batch").cast("bigint").alias("batch"), "canary_version", "champion_version", "samples", "reason", "p99_latency_ms", "error_rate",
+        after.select("canary_percentage").scalar().alias("percentage_after"))

@@ -162,8 +162,69 @@ def stream_device_count(batch: DataFrame, history: DataFrame | None) -> DataFram
     return counted.where("_new").drop("_new")
 
 
-def canary_monitor(observations: DataFrame, config: DataFrame, audit: str, batch_id: int) -> None:
-    """foreachBatch body: health of the latest observations, one audit row per trip."""
-    decision = K.rollback_decision(K.canary_health(observations), config)
-    decision.where("rolled_back").withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(
-        f"{audit}/batch={batch_id}")
+def stream_device_counts(stream: DataFrame, root: str, checkpoint: str):
+    """Trailing hour per device as a stream; each batch keeps its rows for the two hours that later ones need."""
+    spark = stream.sparkSession
+    columns = ["transaction_id", "device_fingerprint", "us"]
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
+        history = _read(spark, f"{root}/history")
+        if history is not None:
+            history = history.where(F.col("batch") < batch_id).drop("batch")
+        stream_device_count(batch, history).write.mode("overwrite").parquet(f"{root}/counts/batch={batch_id}")
+        batch.select(*columns).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id}")
+
+    return run_available(stream, on_batch, checkpoint)
+
+
+def stream_dual_write(features: DataFrame, root: str, checkpoint: str):
+    """The feature stream into the online and the offline store."""
+    return run_available(features, lambda batch, batch_id: dual_write(batch, batch_id, root), checkpoint)
+
+
+def alerts_of(features: DataFrame, model, version: str, names: list[str]) -> DataFrame:
+    """Features to keyed alerts that carry them: model score, tier, flag."""
+    from riskloom.operators.scoring import score
+
+    flagged = risk_tier(score(features, model, version)).where("was_flagged")
+    return flagged_events(flagged.join(features.select("transaction_id", *names), "transaction_id"), names)
+
+
+def stream_alerts(features: DataFrame, model, version: str, names: list[str], root: str, checkpoint: str):
+    """The feature stream through a fitted model into alerts, one folder per batch."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        alerts_of(batch, model, version, names).write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+
+    return run_available(features, on_batch, checkpoint)
+
+
+def canary_monitor(observations: DataFrame, root: str, batch_id: int) -> None:
+    """foreachBatch body: health of the latest observations, an audit row per trip, and the reset it causes.
+
+    ``root``/config is the log of split requests. A trip appends the request that routes everything to the champion, so
+    the next batch finds no canary and cannot trip again. The last observations of each arm are carried over. Every
+    folder is written per batch and read only below the batch's number, so a repeated batch replaces its own output.
+    """
+    spark = observations.sparkSession
+
+    def before(table: str) -> DataFrame | None:
+        df = _read(spark, f"{root}/{table}")
+        return None if df is None else df.where(F.col("batch") < batch_id)
+
+    put = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
+    log = before("config").drop("batch")
+    carried = before("recent")
+    rows = stage(observations, "observations")
+    if carried is not None:
+        rows = rows.unionByName(carried.where(F.col("batch") == batch_id - 1).drop("batch"))
+    config = stage(K.current_split(log), "config")
+    tripped = stage(K.rollback_decision(K.canary_health(rows), config).where("rolled_back"), "tripped")
+    newest = F.greatest(rows.agg(F.max("us")).scalar(), log.agg(F.max("us") + 1).scalar())
+    put(tripped.withColumn("at_us", newest), "audit")
+    put(K.reset_request(config, newest).join(tripped.select("rolled_back"), how="inner", on=F.lit(True)).drop("rolled_back"), "config")
+    put(K.recent_observations(rows), "recent")
+
+
+def stream_canary_monitor(observations: DataFrame, root: str, checkpoint: str):
+    return run_available(observations, lambda batch, batch_id: canary_monitor(batch, root, batch_id), checkpoint)

@@ -128,3 +128,42 @@ def test_staged_tables_have_an_owner(spark):
     with staging_area(spark):
         assert stage(spark.range(5), "owned").count() == 5 and glob.glob(f"{root}/owned-*")
     assert not glob.glob(f"{root}/owned-*")
+
+
+def test_alerts_of_a_stream_carry_their_features(spark):
+    from riskloom.operators import training as TR
+    from riskloom.operators.features import build_feature_vector
+    from riskloom.session import stage
+
+    made = stage(build_feature_vector(transactions(spark, SF), keep=("is_fraud",)), "made")
+    xy = E.prepare_xy(made)
+    model = TR.train_model(xy, xy, {"maxDepth": 4, "stepSize": 0.5}, rounds=5)
+    landing, root = work_dir(spark, "made-in"), work_dir(spark, "alerts-out")
+    made.write.parquet(landing)
+    stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", "1").parquet(landing)
+    L.stream_alerts(stream, model, "gbt_v1", FEATURES, root, root + "-ckpt")
+    got = {(r.key, r.value) for r in spark.read.parquet(root + "/alerts").select("key", "value").collect()}
+    want = {(r.key, r.value) for r in L.alerts_of(made, model, "gbt_v1", FEATURES).collect()}
+    assert got == want and len(want) > 0
+    assert all('"features":{"txn_count_1min":' in value for _, value in want)
+
+
+def test_training_is_repeatable_and_better_than_chance(spark):
+    from riskloom.operators import evaluation as H
+    from riskloom.operators import training as TR
+    from riskloom.operators.features import build_feature_vector
+    from riskloom.session import stage
+
+    made = build_feature_vector(transactions(spark, SF), keep=("is_fraud", "k"))
+    made = made.withColumn("is_fraud", (F.col("hour_of_day") >= 5).cast("int"))  # a label that the features explain
+    splits = stage(TR.stratified_split(E.prepare_xy(made, keep=("transaction_id",)), label="y"), "splits")
+    part = lambda s: splits.where(F.col("split") == s)
+    fits = [TR.train_model(part("train"), part("val"), {"maxDepth": 3}, rounds=10) for _ in range(2)]
+    first, second = ([tuple(r) for r in TR.predict(m, part("test"), "transaction_id").orderBy("transaction_id").collect()] for m in fits)
+    assert first == second
+    assert H.roc_auc(TR.predict(fits[0], part("test"))).head()["auc_roc"] > 0.8
+    row = TR.training_metadata(fits[0], splits, "v").head()
+    assert row.train_samples + row.val_samples + row.test_samples == splits.count()
+    history = TR.tune_model(part("train").drop("split"), k=2, candidates=[{"maxDepth": 1}, {"maxDepth": 3}], rounds=4)
+    assert [h["mean_pr_auc"] for h in history] == sorted((h["mean_pr_auc"] for h in history), reverse=True)
+    assert {h["candidate_idx"] for h in history} == {0, 1} and all("mean_roc_auc" in h for h in history)
