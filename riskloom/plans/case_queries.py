@@ -430,7 +430,22 @@ def rouge_2(spark, sf):
         "rouge_2", round_dp(F.col("rouge_2"), 4))
 
 
-@query("rouge_l")
+# One step per token of the first text: the table row of the longest common subsequence, as running maxima.
+_LCS = f"""WITH RECURSIVE p AS (
+  SELECT c.conv_id, c.turn, {_TOKS.format('c.text')} AS x, {_TOKS.format('n.text')} AS y
+  FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1),
+l AS (
+  SELECT conv_id, turn, 0 AS i, list_transform(y, lambda v: 0) AS best FROM p
+  UNION ALL
+  SELECT conv_id, turn, i + 1, list_transform(range(1, len(step) + 1), lambda j: list_max(step[1:j])) FROM (
+    SELECT l.conv_id, l.turn, l.i, list_transform(range(1, len(y) + 1), lambda j: greatest(best[j],
+      CASE WHEN j > 1 THEN best[j - 1] ELSE 0 END + (x[l.i + 1] = y[j])::INT)) AS step
+    FROM l JOIN p USING (conv_id, turn) WHERE l.i < len(x)))
+SELECT conv_id, turn, {_R1} AS rouge_l FROM (
+  SELECT conv_id, turn, coalesce(best[len(y)], 0) AS o, len(x) AS c, len(y) AS r FROM l JOIN p USING (conv_id, turn) WHERE i = len(x))"""
+
+
+@query("rouge_l", _LCS)
 def rouge_l(spark, sf):
     """Consecutive turns of every conversation, whole texts."""
     c = read_table(spark, sf, "conversations")

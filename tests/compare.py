@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -69,7 +70,7 @@ def main():
 
     sf_dir = sys.argv[1]
     names = sys.argv[2:]
-    spark = build_session("compare", "local[6]", **{
+    spark = build_session("compare", f"local[{os.environ.get('COMPARE_CPUS', '8')}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
