@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.geo import known_location
@@ -19,7 +19,7 @@ from riskloom.operators.features import build_feature_vector, with_micros
 from riskloom.operators.ranking import latest_per_key
 from riskloom.operators.scoring import flagged_events, publish_online, risk_tier
 from riskloom.operators.trailing import MICROS, trailing_count
-from riskloom.session import stage
+from riskloom.session import stage, staging_area
 from riskloom.sources.tables import feature_snapshots
 
 CUSTOMER_TTL_SECONDS, DEVICE_TTL_SECONDS, ONLINE_TTL_SECONDS = 90_000, 7_200, 86_400
@@ -34,6 +34,31 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _hour(us: Column) -> Column:
+    return F.floor(us / F.lit(3600 * MICROS))
+
+
+def write_hours(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Appends a batch to a table in folders of event hours; a repeated batch replaces its own part of each."""
+    (rows.withColumns({"hour": _hour(F.col("us")), "batch": F.lit(batch_id)}).repartition("hour").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path))
+
+
+def read_hours(spark: SparkSession, path: str, low_us: int, high_us: int) -> DataFrame | None:
+    """The rows of the event hours from ``low_us`` to ``high_us``.
+
+    Only the folders of those hours are listed and read, so the cost does not grow with the age of the table.
+    """
+    conf, files = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    store = files.Path(path).getFileSystem(conf)
+    hours = range(low_us // (3600 * MICROS), high_us // (3600 * MICROS) + 1)
+    there = [folder for folder in (f"{path}/hour={h}" for h in hours) if store.exists(files.Path(folder))]
+    if not there:
+        return None
+    return spark.read.option("basePath", path).parquet(*there).where(
+        F.col("us").between(low_us, high_us)).drop("hour")
+
+
 def live_history(history: DataFrame, newest_us, ttl_seconds: int = CUSTOMER_TTL_SECONDS) -> DataFrame:
     """State expiry: only rows that a trailing window can still reach."""
     return history.where(F.col("us") >= newest_us - F.lit(ttl_seconds * MICROS))
@@ -74,18 +99,17 @@ def _located(df: DataFrame, per_hour: bool = False) -> DataFrame:
     rows = df.where(known_location(F.col("location_lat"), F.col("location_lng")))
     if not per_hour:
         return latest_per_key(rows, ["customer_id"], ["us", "transaction_id"])
-    hour = F.floor(F.col("us") / F.lit(3600 * MICROS))
-    return latest_per_key(rows.withColumn("_hour", hour), ["customer_id", "_hour"], ["us", "transaction_id"]).drop("_hour")
+    return latest_per_key(rows.withColumn("_hour", _hour(F.col("us"))), ["customer_id", "_hour"], ["us", "transaction_id"]).drop("_hour")
 
 
 def stream_features(stream: DataFrame, root: str, checkpoint: str):
     """Runs the feature stream over the available input.
 
-    State lies in append-only tables under ``root``, one folder per batch: rows,
-    new (customer, device) and (customer, merchant) pairs, last located rows by hour.
-    A batch reads only the last 25 hours of rows; older ones act through the pair
-    and location tables. Every batch overwrites its own folders, so a batch
-    repeated after a failure replaces its output.
+    State lies in append-only tables under ``root``: rows by event hour and batch, and one
+    folder per batch of new (customer, device) and (customer, merchant) pairs and last located
+    rows by hour. A batch reads the hours from 25 before its first row to its last; older rows
+    act through the pair and location tables. Every batch overwrites its own folders, so a batch
+    repeated after a failure replaces its output. Tables staged for a batch go with it.
     """
     spark = stream.sparkSession
 
@@ -94,17 +118,24 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
         return None if df is None else df.where(F.col("batch") != batch_id).drop("batch")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        with staging_area(spark):
+            one_batch(batch, batch_id)
+
+    def one_batch(batch: DataFrame, batch_id: int) -> None:
         batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
         put = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
-        rows, places = earlier("history", batch_id), earlier("places", batch_id)
+        ends = batch.agg(F.min("us").alias("first"), F.max("us").alias("last")).head()
+        if ends["first"] is None:
+            return
+        low = ends["first"] - CUSTOMER_TTL_SECONDS * MICROS
+        rows, places = read_hours(spark, f"{root}/history", low, ends["last"]), earlier("places", batch_id)
         pairs = {c: earlier(f"pairs_{c}", batch_id) for c in ("device_fingerprint", "merchant_id")}
-        live = last = None
-        if rows is not None:
-            start = batch.agg(F.min("us")).scalar()
-            live = live_history(rows, start)
-            if places is not None:
-                # Cut first: a late row's last place is the newest before the live rows.
-                last = _located(places.where(F.col("us") < start - F.lit(CUSTOMER_TTL_SECONDS * MICROS)))
+        live = None if rows is None else rows.where(F.col("batch") != batch_id).drop("batch")
+        last = None
+        if places is not None:
+            # Cut first: a late row's last place is the newest before the live rows.
+            last = _located(places.where(F.col("us") < low))
+            live = last.limit(0) if live is None else live
         put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last),
             "features")
         for column, known in pairs.items():
@@ -113,7 +144,7 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
                 fresh = fresh.join(known, ["customer_id", column], "left_anti")
             put(fresh, f"pairs_{column}")
         put(_located(batch, per_hour=True), "places")
-        put(batch, "history")
+        write_hours(batch, f"{root}/history", batch_id)
 
     return run_available(stream, on_batch, checkpoint)
 

@@ -130,6 +130,17 @@ def test_staged_tables_have_an_owner(spark):
     assert not glob.glob(f"{root}/owned-*")
 
 
+def test_a_batch_reads_only_its_hours(spark):
+    hour, path = 3_600_000_000, work_dir(spark, "hours")
+    rows = spark.range(24 * 30).select(F.col("id").alias("n"), (F.col("id") * hour + 5).alias("us"))
+    for batch in range(3):
+        L.write_hours(rows.where(F.col("n") % 3 == batch), path, batch)
+    L.write_hours(rows.where(F.col("n") % 3 == 2), path, 2)  # a repeated batch
+    got = L.read_hours(spark, path, 100 * hour, 126 * hour)
+    assert sorted(r.n for r in got.collect()) == list(range(100, 126)) and len(got.inputFiles()) == 27
+    assert L.read_hours(spark, path, 10_000 * hour, 10_001 * hour) is None
+
+
 def test_alerts_of_a_stream_carry_their_features(spark):
     from riskloom.operators import training as TR
     from riskloom.operators.features import build_feature_vector
