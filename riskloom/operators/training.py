@@ -137,12 +137,6 @@ def tune_model(rows: DataFrame, k: int = 3, candidates: list[dict] | None = None
     return sorted(history, key=lambda h: (-h["mean_pr_auc"], h["candidate_idx"]))
 
 
-def prepared_splits(features: DataFrame, seed: int = 42) -> DataFrame:
-    """Prepared matrix with its split, staged once for the passes of training."""
-    xy = prepare_xy(features, keep=("transaction_id",))
-    return stage(stratified_split(xy, label="y", seed=seed), "splits")
-
-
 def training_metadata(model, splits: DataFrame, version: str) -> DataFrame:
     """One row: sizes, class weight, chosen cut-off, test metrics and cost."""
     part = lambda name: splits.where(F.col("split") == name)

@@ -72,8 +72,3 @@ def feature_violations(features: DataFrame) -> DataFrame:
 
 def validate_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(feature_violations(features))
-
-
-def parse_time(x: Column) -> Column:
-    """ISO text or epoch seconds to a timestamp (null when neither)."""
-    return F.coalesce(F.try_to_timestamp(x), F.timestamp_seconds(x.try_cast("double")))

@@ -64,16 +64,22 @@ def write_transactions(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("amount"))).alias("cents"))
 
 
-@query("append_new_transactions", with_txn("SELECT transaction_id FROM txn_all WHERE cents <= 0"))
+@query("append_new_transactions", with_txn("SELECT transaction_id, 1::BIGINT AS n, cents > 0 AS was_stored FROM txn_all"))
 def append_new_transactions(spark, sf):
-    batch = raw_transactions(spark, sf)
-    return A.new_transactions(batch.unionByName(batch), transactions(spark, sf)).select("transaction_id")
+    """Stores the valid rows, then appends all rows twice over: each is there once."""
+    path, batch = work_dir(spark, "appended"), raw_transactions(spark, sf)
+    A.append_new(batch.where("cents > 0"), path)
+    A.append_new(batch.unionByName(batch), path)
+    return spark.read.parquet(path).groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("cents") > 0).alias("was_stored"))
 
 
 @query("write_feature_snapshots", with_features("SELECT transaction_id, '1.0.0' AS feature_version, txn_count_24hr::double AS txn_count_24hr, "
                                                 "amount_zscore, is_new_device::INT::double AS is_new_device FROM features"))
 def write_feature_snapshots(spark, sf):
-    snaps = A.feature_snapshots(features(spark, sf))
+    path = work_dir(spark, "snapshots")
+    A.write_feature_snapshots(features(spark, sf), path)
+    snaps = spark.read.parquet(path)
     get = lambda f: F.get_json_object("features", f"$.{f}").cast("double").alias(f)
     return snaps.select("transaction_id", "feature_version", *[get(f) for f in ("txn_count_24hr", "amount_zscore", "is_new_device")])
 

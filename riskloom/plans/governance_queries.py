@@ -12,6 +12,7 @@ from riskloom.operators.features import build_feature_vector
 from riskloom.plans.stored import stored
 from riskloom.plans.sql_base import rdp, with_features, with_txn
 from riskloom.schemas import FEATURES, FEATURE_TYPES
+from riskloom.session import work_dir
 from riskloom.sources.adapter import BASE_US, read_table, transactions
 
 QUERIES = {}
@@ -415,8 +416,9 @@ def drift_summary(spark, sf):
     {rdp('avg(psi)', 4)} AS drift_score, count(*) AS n_details FROM psi""", DRIFT))
 def drift_snapshot_append(spark, sf):
     rows, summary = J.drift_report(*halves(spark, sf))
-    record = J.drift_snapshot(rows, summary, "risk_gbt")
-    return record.select("model_name", "snapshot_type", "drift_detected", "drift_score",
+    path = work_dir(spark, "drift")
+    J.append_drift(rows, summary, path, "risk_gbt")
+    return spark.read.parquet(path).select("model_name", "snapshot_type", "drift_detected", "drift_score",
                          F.json_array_length("details").cast("bigint").alias("n_details"))
 
 
