@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes of runs that are hashed at once.
+HASH_BYTES = 1 << 21
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -104,14 +106,19 @@ def _powers(n: int) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of the bytes of each run; long inputs in parts, so the work arrays stay small."""
     lengths = words.ends - words.starts
-    total = int(lengths.sum())
+    ends = np.cumsum(lengths)
+    cuts = np.searchsorted(ends, np.arange(HASH_BYTES, int(ends[-1]) if len(ends) else 0, HASH_BYTES))
+    bounds = np.unique([0, *cuts.tolist(), len(lengths)])
+    parts = [_hash_part(data, words.starts[i:j], lengths[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _hash_part(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     offsets = np.cumsum(lengths) - lengths
-    place = np.arange(total, dtype=np.int64) - np.repeat(offsets, lengths)
-    index = place + np.repeat(words.starts, lengths)
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(offsets, lengths)
+    index = place + np.repeat(starts, lengths)
     terms = (data[index].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
     return mix(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64) * _STEP)
 
