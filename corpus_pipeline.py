@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontaminate, neardup, quality, secrets
 from riskloom.llm.queries import id_fold, table
-from riskloom.llm.staging import stage
+from riskloom.llm.staging import bounded_batches, stage
 
 QUALITY_THRESHOLD = 0.3
 
@@ -28,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    bounded_batches(spark)
     return neardup.drop_near_duplicates(docs, neardup.ForestParams(shingle=5, percent=80))
 
 
@@ -38,6 +39,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; n_chars follows a text that changed."""
+    bounded_batches(spark)
     masked = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -47,6 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of the ids and of the bytes that they decode to."""
+    bounded_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
     return bpe.decode(encoded, ranks, pattern).select(

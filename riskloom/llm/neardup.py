@@ -286,25 +286,32 @@ def _blocks(placed: DataFrame, p: ForestParams) -> DataFrame:
         "region", "at.i", "at.j", "at.side", "node", "comp", "outside")
 
 
-def _near(rows: list[dict], p: ForestParams) -> list[tuple[int, int]]:
-    """Places of (side 0, side 1) rows of one block in different components that may reach the threshold, best first."""
+def _near(rows: list[dict], p: ForestParams) -> tuple[np.ndarray, np.ndarray]:
+    """Places of side 0 and side 1 rows of one block in different components that may reach the threshold, best first."""
     a = [k for k, r in enumerate(rows) if r["side"] == 0]
     b = [k for k, r in enumerate(rows) if r["side"] == 1]
+    none = np.zeros(0, np.int32)
     if not a or not b:
-        return []
+        return none, none
     sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
     comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
     outside = np.array([r["outside"] for r in rows])
     node = np.unique([r["node"] for r in rows], return_inverse=True)[1]
-    found, right = [], np.array(b)
+    left, found, scores, right = [], [], [], np.array(b)
     for i in a:
         j = right[(comp[right] != comp[i]) & (~outside[i] | (node[right] > node[i]))]
         if len(j):
             score = (sketch[j] == sketch[i]).mean(axis=1)
             close = score >= p.percent / 100 - p.slack
-            found += zip(score[close].tolist(), [i] * int(close.sum()), j[close].tolist())
-    found.sort(key=lambda x: (-x[0], x[1], x[2]))
-    return [(i, j) for _, i, j in found]
+            if close.any():
+                found.append(j[close].astype(np.int32))
+                left.append(np.full(len(found[-1]), i, np.int32))
+                scores.append(score[close].astype(np.float32))
+    if not found:
+        return none, none
+    i, j = np.concatenate(left), np.concatenate(found)
+    order = np.lexsort((j, i, -np.concatenate(scores)))
+    return i[order], j[order]
 
 
 _BLOCK = "region bigint, i int, j int, side int, node binary, comp binary, outside boolean, sketch binary"
@@ -336,7 +343,7 @@ def _block_candidates(rows: DataFrame, p: ForestParams) -> DataFrame:
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _block_groups(batches):
-            used = sorted({k for pair in _near(group, p) for k in pair})
+            used = np.unique(np.concatenate(_near(group, p))).tolist()
             if used:
                 yield pa.RecordBatch.from_pydict({c: [group[k][c] for k in used] for c in names}, schema=_block_schema())
 
@@ -362,7 +369,7 @@ def _block_links(rows: DataFrame, p: ForestParams) -> DataFrame:
                 return x
 
             found = []
-            for i, j in _near(group, p):
+            for i, j in zip(*_near(group, p)):
                 a, b = root(group[i]["comp"]), root(group[j]["comp"])
                 if a != b:
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spans, token_files, toxicity, vectors
+from riskloom.llm.staging import bounded_batches
 
 QUERIES = {}
 SQL = {}
@@ -18,6 +19,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import stage, work_dir
 
-__all__ = ["bounded_collect", "fresh_dir", "own_exchange", "stage"]
+__all__ = ["bounded_batches", "bounded_collect", "fresh_dir", "own_exchange", "stage"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -15,6 +15,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return work_dir(spark, name)
 
 
+#: Rows that a Python task receives at once; a batch of the default size may hold tens of megabytes of text.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_ROWS`` rows, which bounds the buffers on both sides of a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def bounded_collect(df: DataFrame, limit: int) -> list:
     """Rows of a table whose size the caller bounds; more than ``limit`` rows is an error, never a cut."""
     rows = df.take(limit + 1)
