@@ -147,37 +147,44 @@ def _join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _count_pairs(table: pa.Table, p: CollisionParams) -> pa.Table:
-    """Links of one pair of blocks: per node its links here (copies counted) and a node it is connected with."""
+    """Links of one pair of blocks: per node its links here (copies counted) and a node it is connected with.
+
+    Vectors of the lower block are the queries and those of the higher one their partners; in a block with itself the
+    partners are the later vectors.
+    """
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     place = table.column("place").to_numpy()
-    order = np.lexsort((table.column("node").to_numpy(), place))
-    place = place[order]
+    side = table.column("side").to_numpy()
+    order = np.lexsort((table.column("node").to_numpy(), place, side))
+    place, side = place[order], side[order]
     node, copies = table.column("node").to_numpy()[order], table.column("copies").to_numpy()[order]
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(order), -1)[order]
     raw = b"".join(table.column("counted").to_pylist())
-    counted = np.frombuffer(raw, "<i2").reshape(len(order), -1)[order].T.astype(np.int16)
-    least = p.least_count(len(counted))
-    side = table.column("side").to_numpy()[order]
+    # As unsigned numbers, a gap within the half window on either side is a single comparison.
+    counted = np.ascontiguousarray(np.frombuffer(raw, "<i2").reshape(len(order), -1)[order].T).view(np.uint16)
+    half, least = np.uint16(STEPS + 1), p.least_count(len(counted))
     links, root = np.zeros(len(node), np.int64), np.arange(len(node))
-    ends = np.searchsorted(place, place + p.order_window, "right")
-    for at in range(0, len(node), 128):
-        stop = min(at + 128, len(node))
-        begin, end = at + 1, int(ends[stop - 1])
+    queries = len(node) if low == high else int((side == 0).sum())
+    base = 0 if low == high else queries
+    ends = base + np.searchsorted(place[base:], place[:queries] + p.order_window, "right")
+    for at in range(0, queries, 64):
+        stop = min(at + 64, queries)
+        begin, end = at + 1 if low == high else base, int(ends[stop - 1])
         if begin >= end:
             continue
         hits = np.zeros((stop - at, end - begin), np.uint8)
+        gap, near = np.empty(hits.shape, np.uint16), np.empty(hits.shape, bool)
         for row in counted:
-            gap = row[None, begin:end] - row[at:stop, None]
-            hits += (gap <= STEPS + 1) & (gap >= -STEPS - 1)
-        # Of two vectors the later one in the order; in two blocks, one of each.
-        apart = np.arange(begin, end)[None, :] - np.arange(at, stop)[:, None]
-        near = (hits >= least) & (apart > 0) & (np.arange(begin, end)[None, :] < ends[at:stop, None])
-        if low != high:
-            near &= side[at:stop, None] != side[None, begin:end]
+            np.subtract(row[None, begin:end] + half, row[at:stop, None], out=gap)
+            np.less_equal(gap, 2 * half, out=near)
+            np.add(hits, near.view(np.uint8), out=hits)
+        np.greater_equal(hits, least, out=near)
         i, j = np.nonzero(near)
+        i, j = i + at, j + begin
+        inside = (j < ends[i]) & ((j > i) if low == high else True)
+        i, j = i[inside], j[inside]
         if not len(i):
             continue
-        i, j = i + at, j + begin
         if len(i) * 8 > near.size:
             cosine = (unit[at:stop] @ unit[begin:end].T)[i - at, j - begin]
         else:
