@@ -1,8 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; long ones are cut again after words that their hash marks, so that the cuts follow the
-words and not their place. Every run of several consecutive sentences is hashed, runs are joined globally, and the
-sentences that any repeated run covers are removed everywhere but where the run comes first.
+A text is cut into sentences, and these again after words whose hash is the least of a window of words, so that the
+cuts follow the words and not their place. Every run of several consecutive pieces is hashed, runs are joined globally,
+and the pieces that any repeated run covers are removed everywhere but where the run comes first.
+
+Two copies agree on a cut that is ``window`` words inside the passage, and no piece is longer than ``window``. So a passage
+of 6 * window - 2 words (46) holds a common run whatever stands around it and however it is punctuated.
 """
 
 from __future__ import annotations
@@ -28,8 +31,7 @@ class SpanParams:
 
     least_sentences: int = 3
     least_words: int = 15
-    mark_every: int = 16  # one word in so many ends a piece of a sentence
-    longest: int = 32  # words of a piece at most
+    window: int = 8  # of so many consecutive words of a row, at least one ends a piece
 
 
 @dataclass
@@ -43,8 +45,24 @@ class Sentences:
     row_starts: np.ndarray
 
 
+def _least(hashes: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
+    """Words that are the least, the last of equal ones, of some ``window`` consecutive words of their row."""
+    n = len(hashes)
+    before, after = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    down, up = np.ones(n, bool), np.ones(n, bool)
+    for k in range(1, window):
+        same, greater = row[k:] == row[:-k], hashes[k:] > hashes[:-k]
+        up[:-k] &= same & greater
+        up[-k:] = False
+        down[k:] &= same & ~greater
+        down[:k] = False
+        after += up
+        before += down
+    return before + after + 1 >= window
+
+
 def sentences(part: Slice, p: SpanParams) -> Sentences:
-    """Sentences end with a word that ends in a full stop, exclamation or question mark, or before a line feed."""
+    """Pieces end with a word that ends in a full stop, exclamation or question mark, before a line feed, or with a least word."""
     data = lower_ascii(part.data)
     words = runs(part, KINDS[data])
     n = len(words)
@@ -56,12 +74,9 @@ def sentences(part: Slice, p: SpanParams) -> Sentences:
     stop = (last == 46) | (last == 33) | (last == 63)
     feeds = np.concatenate([[0], np.cumsum(data == 10)])
     stop[:-1] |= feeds[words.starts[1:]] > feeds[words.ends[:-1]]
-    stop |= hashes % np.uint64(p.mark_every) == 0
+    stop |= _least(hashes, words.row, p.window)
     begins = np.concatenate([[True], stop[:-1]])
     begins[words.row_starts[:-1][np.diff(words.row_starts) > 0]] = True
-    at = np.flatnonzero(begins)
-    place = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-    begins |= place % p.longest == 0
     first = np.flatnonzero(begins)
     place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     total = np.add.reduceat(mix(hashes + (place + 1).astype(np.uint64) * _STEP), first)

@@ -158,6 +158,34 @@ def test_long_sentences_have_runs():
     assert set(value[row == 0]) & set(value[row == 1])
 
 
+def test_passages_in_mid_sentence_have_runs():
+    import pyarrow as pa
+
+    from riskloom.llm.textops import slices
+
+    p = spans.SpanParams()
+    for seed in range(400):
+        rng = random.Random(seed)
+        size, every = rng.choice((46, 51, 60, 80)), rng.choice((7, 25, 999))
+        draw = lambda k: [f"w{rng.randrange(rng.choice((12, 9999)))}" for _ in range(k)]
+        passage = [w + "." * (k % every == every - 1) for k, w in enumerate(draw(size))]
+        texts = [" ".join(draw(rng.randrange(60)) + passage + draw(rng.randrange(60))) for _ in range(2)]
+        value, row, _, _ = spans.spans(spans.sentences(next(slices(pa.array(texts))), p), p)
+        assert set(value[row == 0]) & set(value[row == 1]), (seed, size, every)
+
+
+def test_a_passage_in_mid_sentence_is_removed(spark):
+    rng = random.Random(6)
+    draw = lambda k: [f"w{rng.randrange(9999)}" for _ in range(k)]
+    for_seed = [(draw(51), draw(30), draw(30), draw(30), draw(30)) for _ in range(40)]
+    rows = [(2 * k + c, " ".join([*t[1 + c], *t[0], *t[3 + c]])) for k, t in enumerate(for_seed) for c in (0, 1)]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, t in enumerate(for_seed):
+        left = got[2 * k + 1].text.split()
+        assert got[2 * k].text == rows[2 * k][1] and len(left) <= 111 - 21
+        assert left[:30] == t[2] and left[-30:] == t[4]
+
+
 def check_shards(rows, shards=8):
     n = Counter(r.shard for r in rows)
     assert max(n.values()) - min(n.values() if len(n) == shards else [0]) <= 1
