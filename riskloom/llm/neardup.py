@@ -6,9 +6,9 @@ deeper and deeper in steps, so the depth follows the crowd. Candidates are a reg
 node of each part. Signatures then drop pairs that are far from the threshold, and whole texts confirm the rest.
 
 Links come in two rounds. The first confirms a spanning forest of each region, best pairs first, which joins a family
-of copies with one pair per member. The second looks at the regions whose nodes are still in different components and
-compares every remaining pair between components inside bounded blocks, so no pair of a region goes unseen and only
-confirmed links leave a task.
+of copies with one pair per member. The second looks at the undivided regions of the least depth whose nodes are still
+in different components and compares every remaining pair between components inside bounded blocks, so no pair of a
+region goes unseen, whatever cuts and chunks came between, and only confirmed links leave a task.
 """
 
 from __future__ import annotations
@@ -138,22 +138,24 @@ def _prefixes(nodes: DataFrame, p: ForestParams) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(run, "node binary, region bigint, rest array<int>")
 
 
-def regions(nodes: DataFrame, p: ForestParams) -> DataFrame:
-    """(region, chunk, chunks, node): the nodes that are candidates for each other.
+def regions(nodes: DataFrame, p: ForestParams) -> tuple[DataFrame, DataFrame]:
+    """(region, chunk, chunks, node): the nodes that are candidates for each other; and (region, node) at the least depth.
 
     Depth is adaptive: a prefix with more than ``region`` nodes is cut at the next ``step`` hashes. One node of each part stays in
     a region of the undivided prefix, so neighbours across a cut still meet. At full depth, or where a prefix has that
-    many parts, a crowd is dealt into chunks of about ``region`` nodes that all hold the crowd's least node.
+    many parts, a crowd is dealt into chunks of about ``region`` nodes that all hold the crowd's least node. A pair that a
+    cut or a chunk separates is still one of the undivided region.
     """
     rows = _prefixes(nodes, p)
     shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
     open_ = rows.join(own_exchange(shared, "region"), "region", "left_semi")
-    done = []
+    done, whole = [], None
     for d in range(0, p.depth - p.least_depth + 1, p.step):
         # The crowd's table is read by its count, its parts and the next depth.
         open_ = stage(open_, "prefixes")
         counts = open_.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
         counted = stage(open_.join(own_exchange(counts, "region"), "region").where("n > 1"), "regions")
+        whole = counted.select("region", "node") if whole is None else whole
         last = d + p.step > p.depth - p.least_depth
         done.append(counted.where(F.lit(last) | (F.col("n") <= p.region)).select("region", "node", "n", "least"))
         crowd = counted.where(F.col("n") > p.region)
@@ -173,7 +175,7 @@ def regions(nodes: DataFrame, p: ForestParams) -> DataFrame:
     dealt = every.select("region", "node", chunks.alias("chunks"), F.when(
         F.col("node") == F.col("least"), F.sequence(F.lit(0), chunks - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), chunks).cast("int"))).alias("chunk"))
-    return stage(dealt.select("region", "chunks", "node", F.explode("chunk").alias("chunk")), "chunks")
+    return stage(dealt.select("region", "chunks", "node", F.explode("chunk").alias("chunk")), "chunks"), whole
 
 
 def _estimates(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -439,14 +441,14 @@ def near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> DataFr
     signed = stage(sign(docs, p), "signed")
     nodes = stage(signed.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "nodes")
-    dealt = regions(nodes, p)
-    sketches = _sketches(nodes.join(dealt.select("node").distinct(), "node", "left_semi"))
+    dealt, whole = regions(nodes, p)
+    sketches = _sketches(nodes.join(whole.select("node").distinct(), "node", "left_semi"))
     first = stage(_forest_pairs(dealt.join(sketches, "node"), p), "pairs")
     texts = _texts(docs, nodes, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), p)
     links = stage(confirm(first, texts, p), "confirmed")
     found = connected_components(links)
 
-    placed = stage(dealt.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select(
+    placed = stage(whole.join(found.select(F.col("id").alias("node"), "component"), "node", "left").select(
         "region", "node", F.coalesce("component", "node").alias("comp")), "placed")
     second = stage(_block_candidates(_blocks(placed, p).join(sketches, "node"), p), "blocks")
     if second.take(1):

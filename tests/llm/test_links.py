@@ -97,6 +97,23 @@ def test_near_duplicates_equal_all_pairs(spark):
         check_near(rows, neardup.near_duplicates(docs, p).collect(), n, percent)
 
 
+def test_pairs_of_a_crowd_below_the_threshold_meet(spark):
+    rng = random.Random(9)
+    core, rows = [f"c{k}" for k in range(154)], []
+    for k in range(200):  # similarity 0.77 in the family, 0.806 within a pair
+        shared = [f"s{k}_{j}" for j in range(4)]
+        for c in (0, 1):
+            w = core + shared + [f"o{k}_{c}_{j}" for j in range(19)]
+            rng.shuffle(w)
+            rows.append((2 * k + c, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    p = neardup.ForestParams(shingle=1, percent=80, trees=4, slack=0.3)  # few trees, so that every tree counts
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, p).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    missed = sum(got[2 * k] != got[2 * k + 1] for k in range(200))
+    assert missed < 200 * 0.2, missed  # (1 - 0.806 ** 4) ** 4 is 0.11, (1 - 0.806 ** 8) ** 4 is 0.46
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     docs = awkward(spark).withColumn("node", F.lit(1)).withColumn("component_id", F.lit("x"))
     check_near([r[:2] for r in awkward_rows()], neardup.near_duplicates(docs).collect(), 5, 80)
