@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spans, token_files, toxicity, vectors
+from riskloom.llm import bpe, decontaminate, neardup, pieces, quality, secrets, sharding, spans, token_files, toxicity, vectors
 from riskloom.llm.staging import bounded_batches
 
 QUERIES = {}
@@ -188,6 +188,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (id_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, model, check="agrees").drop("text")
+    return pieces.decode(encoded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "agrees")
+
+
 def queries():
     import corpus_pipeline
 
