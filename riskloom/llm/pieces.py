@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ from riskloom.llm.textops import Slice, slices
 
 SPACE = "▁"
 SLICE_BYTES = 1 << 21
-#: Texts that one library call decodes or checks.
+#: Texts that are decoded at once.
 CALL_ROWS = 200
 #: Words of up to so many characters are merged side by side, one merge of each per step; longer ones by a heap of their own.
 SHORT = 48
 #: Words whose ids a worker remembers, and at most 16 times as many ids.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 500_000
 NONE = np.int64(1) << 30
 
 
@@ -162,12 +163,12 @@ class MergeVocabulary:
         self.known = np.zeros(0, np.int32)
         self.begin = self.count = np.zeros(0, np.int64)
 
-    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each word's ids begin, their counts) for distinct words, of which new ones are merged first."""
+    def remembered(self, words: pa.Array) -> np.ndarray:
+        """The rows of distinct words; new ones are merged first."""
         if len(self.rows) > MEMORY_WORDS or len(self.known) > 16 * MEMORY_WORDS:
             self.forget()
         keys = words.to_pylist()
-        row = np.fromiter((self.rows.get(k, -1) for k in keys), np.int64, len(keys))
+        row = np.array(list(map(self.rows.get, keys, repeat(-1))), np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
             ids, counts = self.words_ids(words.take(pa.array(new)))
@@ -176,7 +177,7 @@ class MergeVocabulary:
             self.begin = np.append(self.begin, len(self.known) + np.cumsum(counts) - counts)
             self.count = np.append(self.count, counts)
             self.known = np.append(self.known, ids)
-        return self.known, self.begin[row], self.count[row]
+        return row
 
     def words_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words, one after another; a symbol outside the vocabulary becomes its bytes or the unknown id."""
@@ -220,18 +221,17 @@ class MergeVocabulary:
         return [self.bytes[b] for b in char.encode("utf-8")]
 
     def encode_slice(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the normalised texts of a slice, row after row; every new word is merged once."""
+        """(ids, offsets) of the normalised texts of a slice, row after row."""
         starts = word_starts(part) if self.by_words else part.starts[:-1][np.diff(part.starts) > 0]
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(part.rows + 1, np.int64)
         bounds = np.append(starts, len(part.data)).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(part.data)])
         coded = words.dictionary_encode()
-        flat, begin, count = self.remembered(coded.dictionary)
-        which = coded.indices.to_numpy()
-        lengths = count[which]
+        row = self.remembered(coded.dictionary)[coded.indices.to_numpy()]
+        lengths = self.count[row]
         ends = np.cumsum(lengths)
-        ids = flat[np.repeat(begin[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        ids = self.known[np.repeat(self.begin[row] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
         offsets = np.append(0, ends)[np.searchsorted(starts, part.starts)]
         return (ids, offsets) if self.bytes else self._merge_unknown(ids, offsets)
 
@@ -259,42 +259,45 @@ def vocabulary(model_file: str) -> MergeVocabulary:
     return MergeVocabulary(model_file)
 
 
-def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, offsets) of slices of the texts; null counts as empty, and an empty text has no ids."""
+def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the texts; null counts as empty, and an empty text has no ids."""
     plain = pa.array([vocab.library.normalize(t) if t else "" for t in texts], pa.large_string())
-    for part in slices(plain, SLICE_BYTES):
-        yield vocab.encode_slice(part)
+    parts = [vocab.encode_slice(part) for part in slices(plain, SLICE_BYTES)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(offsets) for _, offsets in parts]])
+    return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]), np.append(0, np.cumsum(sizes))
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
+def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> None:
+    """Raises where the library encodes a whole text to other ids."""
+    found = vocab.library.encode([t or "" for t in texts], out_type=int, num_threads=1)
+    for k, own in enumerate(found):
+        if not np.array_equal(own, ids[offsets[k]:offsets[k + 1]]):
+            raise ValueError(f"the library encodes this text otherwise: {texts[k][:200]!r}")
+
+
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 8) -> DataFrame:
     """Adds the ids of every whole text as an array column ``out``; no begin or end ids, no sampling.
 
-    With ``check``, a boolean column of that name tells whether the library encodes the text to the same ids; the ids are
-    the agenda's either way. Null and empty texts get an empty array. All other columns stay; columns of the two names are
-    replaced. Rows are independent: nothing is shuffled, and a lost task is run again. ``model_file`` must be readable
-    at the same place on every executor.
+    The library encodes the whole texts of one slice (2 MB) in ``check_every`` of a task too, from the first one on, and
+    other ids are an error; 1 checks every text, 0 none. Null and empty texts get an empty array. All other
+    columns stay; a column named as ``out`` is replaced. Rows are independent: nothing is shuffled, and a lost task is
+    run again. ``model_file`` must be readable at the same place on every executor.
     """
-    made = [out] + ([check] if check else [])
-    kept = [c for c in docs.columns if c not in made]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
-                          + ([T.StructField(check, T.BooleanType(), False)] if check else []))
+    kept = [c for c in docs.columns if c != out]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_file)
+        vocab, n = vocabulary(model_file), 0
         for batch in batches:
-            texts = batch.column(text_col)
-            for at in range(0, batch.num_rows, CALL_ROWS):
-                part = batch.slice(at, CALL_ROWS)
-                rows = texts.slice(at, CALL_ROWS).to_pylist()
-                pieces = list(encode_texts(vocab, rows))
-                ids = np.concatenate([i for i, _ in pieces])
-                sizes = np.concatenate([np.diff(o) for _, o in pieces])
-                offsets = np.append(0, np.cumsum(sizes))
-                columns = [part.column(c) for c in kept] + [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
-                if check:
-                    columns.append(pa.array([np.array_equal(ids[a:b], vocab.library.encode(t or "", out_type=int))
-                                             for t, a, b in zip(rows, offsets[:-1], offsets[1:])], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
+            for piece in slices(batch.column(text_col), SLICE_BYTES):
+                part = batch.slice(piece.first, piece.rows)
+                texts = part.column(text_col).to_pylist()
+                ids, offsets = encode_texts(vocab, texts)
+                if check_every and n % check_every == 0:
+                    check_texts(vocab, texts, ids, offsets)
+                n += 1
+                made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [made], names=[*kept, out])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
