@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, neardup, pieces, quality, secrets, sharding, spans, token_files, toxicity, vectors
+from riskloom.llm import bpe, decontaminate, neardup, pieces, quality, secrets, sharding, spans, token_files, toxicity, trie, vectors
 from riskloom.llm.staging import bounded_batches
 
 QUERIES = {}
@@ -199,6 +199,39 @@ def op11_agenda_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.share_heads(trie.order_turns(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op13_prefix_trie"] = """
+WITH steps AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))),
+turns AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'c': content, 'n': n_bytes} ORDER BY turn NULLS FIRST, content) AS l FROM turns GROUP BY conv_id),
+headed AS (SELECT conv_id, l, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(
+      range(1, length(conv_id::VARCHAR) + 1), lambda i: ord((conv_id::VARCHAR)[i]))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM own, steps),
+rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS r
+  FROM headed a LEFT JOIN own b ON b.conv_id = a.base),
+pre AS (SELECT conv_id AS member, d, list_transform(r[1:d], lambda x: x.c) AS k, coalesce(r[d].n, 0) AS n_bytes, len(r) AS n_turns
+  FROM rebuilt, unnest(range(0, len(r) + 1)) x(d)),
+named AS (SELECT member, d, n_turns, n_bytes, min(member) OVER (PARTITION BY d, k) AS conv_id FROM pre),
+nodes AS (SELECT conv_id, d, count(*) AS n_convs, max(n_bytes) AS n_bytes,
+    string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (d = n_turns) AS ends FROM named GROUP BY conv_id, d),
+up AS (SELECT n.conv_id, n.d, p.conv_id AS parent FROM nodes n JOIN named p ON p.member = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM up GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (conv_id, d)),
+sums AS (SELECT p.conv_id, p.d, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.n_bytes) AS saved
+  FROM valued v JOIN named p ON p.member = v.conv_id AND p.d <= v.d GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, up.parent AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN sums USING (conv_id, d) LEFT JOIN up USING (conv_id, d)
+"""
+
+
 def queries():
     import corpus_pipeline
 
