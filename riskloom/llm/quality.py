@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.staging import bounded_collect
+from riskloom.llm.staging import stage
 from riskloom.llm.textops import Slice, ngrams, run_hashes, runs, slices
 
 
@@ -32,7 +32,7 @@ REPEAT = np.uint64(0x5DEECE66D1234567)
 
 @dataclass
 class FtrlParams:
-    """``max_train`` is the expected number of labelled rows gathered for the fit; scoring covers every row."""
+    """``max_train`` labelled rows and ``max_train_chars`` characters are expected in the sample; scoring covers every row."""
 
     bits: int = 18
     orders: tuple[int, ...] = (1, 2)
@@ -74,29 +74,44 @@ def hashed_grams(part: Slice, p: FtrlParams) -> Iterator[tuple[np.ndarray, np.nd
         yield (grams >> np.uint64(64 - p.bits)).astype(np.int64), row
 
 
-def examples(texts: list[str | None], p: FtrlParams) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse rows (slots, values); values are the counts by which ``QualityModel.score`` multiplies weights."""
+def sparse_rows(part: Slice, p: FtrlParams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, counts) of the n-grams of every row of a slice, 32 bits each."""
+    grams = list(hashed_grams(part, p))
+    index = np.concatenate([g for g, _ in grams])
+    row = np.concatenate([r for _, r in grams])
+    keys, counts = np.unique(row * (1 << p.bits) + index, return_counts=True)
+    bounds = np.searchsorted(keys, np.arange(part.rows + 1) << p.bits)
     out = []
-    for part in slices(pa.array(texts, pa.string())):
-        grams = list(hashed_grams(part, p))
-        index = np.concatenate([g for g, _ in grams])
-        row = np.concatenate([r for _, r in grams])
-        keys, counts = np.unique(row * (1 << p.bits) + index, return_counts=True)
-        bounds = np.searchsorted(keys, np.arange(part.rows + 1) << p.bits)
-        for i in range(part.rows):
-            c = counts[bounds[i]:bounds[i + 1]]
-            out.append((keys[bounds[i]:bounds[i + 1]] & ((1 << p.bits) - 1),
-                        p.scale / 4 * c / np.sqrt(max(c.sum(), 1))))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        out.append(((keys[a:b] & ((1 << p.bits) - 1)).astype(np.int32), counts[a:b].astype(np.int32)))
     return out
 
 
+def values(counts: np.ndarray, p: FtrlParams) -> np.ndarray:
+    """What ``QualityModel.score`` multiplies the weights by."""
+    return p.scale / 4 * counts / np.sqrt(max(counts.sum(), 1))
+
+
+def examples(texts: list[str | None], p: FtrlParams) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, values) of each text."""
+    return [(slot, values(c, p)) for slot, c in _sparse_texts(texts, p)]
+
+
+def _sparse_texts(texts: list[str | None], p: FtrlParams) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [row for part in slices(pa.array(texts, pa.string())) for row in sparse_rows(part, p)] if texts else []
+
+
 def fit(texts: list[str | None], labels: list[int], p: FtrlParams | None = None) -> QualityModel:
-    """Per-coordinate FTRL-proximal over the examples in a seeded order. No examples: every score is 0.5."""
+    """The model of a few texts; ``train_quality`` fits one of tables."""
     p = p or FtrlParams()
+    return fit_sparse(_sparse_texts(texts, p), labels, p)
+
+
+def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], p: FtrlParams) -> QualityModel:
+    """Per-coordinate FTRL-proximal over sparse rows (slots, counts) in a seeded order. No rows: every score is 0.5."""
     size = 1 << p.bits
     z, n = np.zeros(size), np.zeros(size)
     zb = nb = 0.0
-    rows = examples(texts, p) if texts else []
     order = np.random.default_rng(p.seed)
 
     def weights(zi, ni):
@@ -107,7 +122,7 @@ def fit(texts: list[str | None], labels: list[int], p: FtrlParams | None = None)
 
     for _ in range(p.epochs):
         for i in order.permutation(len(rows)):
-            slot, value = rows[i]
+            slot, value = rows[i][0], values(rows[i][1], p)
             w = weights(z[slot], n[slot])
             g = 1 / (1 + np.exp(-(bias() + w @ value))) - labels[i]
             step = g * value
@@ -120,26 +135,42 @@ def fit(texts: list[str | None], labels: list[int], p: FtrlParams | None = None)
     return QualityModel(float(bias()), weights(z, n), p)
 
 
+def _sparse(sample: DataFrame, p: FtrlParams) -> DataFrame:
+    """doc_id, label, and slots and counts of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                rows, own = sparse_rows(part, p), batch.slice(part.first, part.rows)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("label"), pa.array([s.tobytes() for s, _ in rows], pa.binary()),
+                     pa.array([c.tobytes() for _, c in rows], pa.binary())], names=["doc_id", "label", "slots", "counts"])
+
+    return sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(
+        run, "doc_id string, label int, slots binary, counts binary")
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, train_on: Column, label_col: str = "quality",
                   p: FtrlParams | None = None) -> QualityModel:
     """Fits on labelled rows for which ``train_on`` (over the labels) holds.
 
-    A share of them is drawn by a hash of the id, such that ``max_train`` are expected, and of these as many are used,
-    shortest first, as have ``max_train_chars`` in all. Null or missing labels and ids are left out; of repeated ids,
-    which row is used is fixed by the text. Only id, text and label are read.
+    A share of them is drawn by a hash of the id, whatever the length of their texts, such that ``max_train`` rows are
+    expected; where these have more than ``max_train_chars`` in all, a share of them is drawn by a second hash. Texts are
+    hashed where they lie; the driver receives sparse rows, partition by partition. Null or missing labels and ids are left
+    out; of repeated ids, which row is used is fixed by the text. Only id, text and label are read.
     """
     p = p or FtrlParams()
     usable = (labels.where(train_on & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
-              .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("_label")))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = usable.where(draw < min(1.0, p.max_train / max(usable.count(), 1)))
-    sized = (docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # about max_train ids
-             .groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("_label").alias("_label")))
-    rows = bounded_collect(sized, 2 * p.max_train + 1000)
-    rows.sort(key=lambda r: (len(r.text), r.doc_id))
-    room = int(np.searchsorted(np.cumsum([len(r.text) for r in rows]), p.max_train_chars, "right"))
-    rows = rows[:room]
-    return fit([r.text for r in rows], [r._label for r in rows], p)
+              .groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label")))
+    draw = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = usable.where(draw(p.seed) < min(1.0, p.max_train / max(usable.count(), 1)))
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # about max_train ids
+                   .groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label")), "sample")
+    chars = sample.agg(F.sum(F.length("text"))).head()[0] or 0
+    drawn = sample.where(draw(p.seed + 1) < min(1.0, p.max_train_chars / max(chars, 1)))
+    rows = sorted(_sparse(drawn, p).toLocalIterator(), key=lambda r: r.doc_id)
+    sparse = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.counts, np.int32)) for r in rows]
+    return fit_sparse(sparse, [r.label for r in rows], p)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float, score_col: str = "score",

@@ -119,3 +119,15 @@ def test_frames_of_awkward_rows(spark, kind):
     assert len(rows) == len(awkward_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= (0.3 if kind == "quality" else 0.7)) for r in rows)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "predicted"]
     assert none.collect() == []
+
+
+def test_quality_trains_on_long_texts_too(spark):
+    """The draw is by hash whatever the length; a sample beyond the characters wanted is thinned, not cut by length."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 4000 if i % 2 else 3) + (" zzz" if i % 2 else " qqq"), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, y int")
+    p = quality.FtrlParams(max_train_chars=sum(len(r[1]) for r in rows) // 2)
+    model = quality.train_quality(docs, labels, F.lit(True), "y", p)
+    out = {r.doc_id: r.predicted for r in quality.score_quality(docs, model, 0.5).collect()}
+    assert sum(out[i] == y for i, _, y in rows) >= 76
