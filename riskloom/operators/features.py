@@ -192,6 +192,11 @@ def build_feature_vector(df: DataFrame, baselines: DataFrame | None = None,
     else:
         wide = wide.withColumns({"baseline_mean": F.lit(None).cast("double"),
                                  "baseline_std": F.lit(None).cast("double")})
+    return finished_features(wide, profiles, keep)
+
+
+def finished_features(wide: DataFrame, profiles: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 17 features from rows that carry their trailing aggregates, novelty, places and baselines."""
     wide = merchant_risk(wide, profiles).withColumn("_km", raw_haversine_km(
         F.col("last_place.lat"), F.col("last_place.lng"), F.col("place.lat"), F.col("place.lng")))
     one = F.lit(1).cast("bigint")

@@ -156,7 +156,11 @@ def live_online(store: DataFrame, as_of: Column) -> DataFrame:
 def lookup_online(ids: DataFrame, store: DataFrame, as_of: Column) -> DataFrame:
     """Live online rows of the wanted ids, cast back with per-field defaults."""
     live = live_online(store, as_of).select("transaction_id", "fields")
-    found = ids.select("transaction_id").join(live, "transaction_id", "left")
+    return online_values(ids.select("transaction_id").join(live, "transaction_id", "left"))
+
+
+def online_values(found: DataFrame) -> DataFrame:
+    """transaction_id and ``fields`` (null where nothing is stored) to typed features, with per-field defaults."""
     columns = []
     for name in FEATURES:
         raw = F.coalesce(F.col("fields")[name], F.lit(ONLINE_DEFAULTS[name]))

@@ -20,12 +20,15 @@ from riskloom.operators.ranking import latest_per_key
 from riskloom.operators.scoring import flagged_events, publish_online, risk_tier
 from riskloom.operators.trailing import MICROS, trailing_count
 from riskloom.session import stage, staging_area
+from riskloom.sources.commits import commit, committed
+from riskloom.sources.online_store import merge_online
 from riskloom.sources.tables import feature_snapshots
 
 CUSTOMER_TTL_SECONDS, DEVICE_TTL_SECONDS, ONLINE_TTL_SECONDS = 90_000, 7_200, 86_400
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing is stored yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
@@ -114,7 +117,7 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
     spark = stream.sparkSession
 
     def earlier(table: str, batch_id: int) -> DataFrame | None:
-        df = _read(spark, f"{root}/{table}")
+        df = read_stored(spark, f"{root}/{table}")
         return None if df is None else df.where(F.col("batch") != batch_id).drop("batch")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -168,6 +171,25 @@ def dual_write(features: DataFrame, batch_id: int, root: str) -> None:
     feature_snapshots(features).write.mode("overwrite").parquet(f"{root}/offline/batch={batch_id}")
 
 
+def atomic_dual_write(features: DataFrame, batch_id: int, root: str, now: Column) -> None:
+    """Online upsert and offline rows of one batch, visible together by one commit record.
+
+    Readers are :func:`riskloom.sources.online_store.read_live` or ``lookup`` on ``root`` and :func:`read_offline`. What a
+    failed attempt has written before the record stays unseen, and the repeated batch replaces it.
+    """
+    if batch_id in committed(features.sparkSession, root):
+        return
+    feature_snapshots(features).write.mode("overwrite").parquet(f"{root}/offline/batch={batch_id}")
+    online = merge_online(publish_online(features, now, ONLINE_TTL_SECONDS), root, batch_id, now)
+    commit(online, root, batch_id)
+
+
+def read_offline(spark: SparkSession, root: str) -> DataFrame | None:
+    """The offline rows of committed batches; None before the first one."""
+    paths = [f"{root}/offline/batch={batch}" for batch in committed(spark, root)]
+    return spark.read.option("basePath", f"{root}/offline").parquet(*paths) if paths else None
+
+
 def stream_score(scored: DataFrame) -> DataFrame:
     """Scored stream (transaction_id, risk_score, ...) to keyed JSON alerts; stateless."""
     return flagged_events(risk_tier(scored))
@@ -200,7 +222,7 @@ def stream_device_counts(stream: DataFrame, root: str, checkpoint: str):
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
-        history = _read(spark, f"{root}/history")
+        history = read_stored(spark, f"{root}/history")
         if history is not None:
             history = history.where(F.col("batch") < batch_id).drop("batch")
         stream_device_count(batch, history).write.mode("overwrite").parquet(f"{root}/counts/batch={batch_id}")
@@ -240,7 +262,7 @@ def canary_monitor(observations: DataFrame, root: str, batch_id: int) -> None:
     spark = observations.sparkSession
 
     def before(table: str) -> DataFrame | None:
-        df = _read(spark, f"{root}/{table}")
+        df = read_stored(spark, f"{root}/{table}")
         return None if df is None else df.where(F.col("batch") < batch_id)
 
     put = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")
