@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.staging import stage
+from riskloom.llm.staging import set_aside, stage
 from riskloom.llm.textops import Slice, kind_table, lower_ascii, run_hashes, runs, slices
 
 #: Bytes between words (after lower-casing): 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F.
@@ -272,4 +272,5 @@ def _columns(got: dict, before: list[dict] | None) -> list[pa.Array]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that share no window with any item, with their own columns."""
-    return match_documents(docs, benchmark, window).where("n_hit = 0").select(*docs.columns)
+    rows, own = set_aside(docs, MATCH_NAMES)
+    return match_documents(rows, benchmark, window).where("n_hit = 0").select(own)

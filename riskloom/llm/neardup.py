@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.components import connected_components
-from riskloom.llm.staging import own_exchange, stage
+from riskloom.llm.staging import own_exchange, set_aside, stage
 from riskloom.llm.textops import Slice, kind_table, lower_ascii, ngrams, run_hashes, runs, slices
 
 #: Words are what stands between spaces and the bytes 0x09 to 0x0D, after lower-casing A-Z.
@@ -475,6 +475,7 @@ def drop_near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> D
     Texts without words are linked with nothing and stay, all of them. A document without an id stays only where no
     document with an id is in its component. Of rows equal in id and text one stays.
     """
+    docs, own = set_aside(docs, ["_key", "_copies", "_doc_id", "_text_key"])
     found = stage(near_duplicates(docs, p), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     chosen = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.text_key")
@@ -487,7 +488,7 @@ def drop_near_duplicates(docs: DataFrame, p: ForestParams = ForestParams()) -> D
         keepers, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
     once = rows.where("_copies = 1").select(docs.columns)
     several = rows.where("_copies > 1").dropDuplicates(["_doc_id", "_key"]).select(docs.columns)
-    return once.unionByName(several).unionByName(docs.where(~worded))
+    return once.unionByName(several).unionByName(docs.where(~worded)).select(own)
 
 
 def _sketches(nodes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.staging import stage
+from riskloom.llm.staging import set_aside, stage
 
 
 @dataclass(frozen=True)
@@ -126,6 +126,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -
 
     Overlapping spans become one mask. Null and clean texts stay as they are.
     """
+    docs, own = set_aside(docs, ["findings", "_blob", "_f", "blob", "part"])
     rows = findings_by_row(docs, update_ledger(docs, None, rules), rules)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -139,7 +140,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -
         return F.concat(acc["out"], F.col("text").substr(acc["at"].cast("int") + 1, F.length("text")))
 
     clean = F.when(F.size("findings") > 0, F.aggregate("findings", start, step, finish)).otherwise(F.col("text"))
-    return rows.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).select(own)
 
 
 def span_digest() -> Column:

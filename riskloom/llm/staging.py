@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import stage, work_dir
 
-__all__ = ["bounded_batches", "bounded_collect", "fresh_dir", "own_exchange", "stage"]
+__all__ = ["bounded_batches", "bounded_collect", "fresh_dir", "own_exchange", "set_aside", "stage"]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -32,6 +32,20 @@ def bounded_collect(df: DataFrame, limit: int) -> list:
     return rows
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with other names for those of its columns that are called as one of ``names``, and the list that selects all
+    columns under their own names again; so an operator's own columns never meet those of its input."""
+    taken = {c.lower() for c in [*df.columns, *names]}
+    inner = {}
+    for c in df.columns:
+        new = c
+        while new.lower() in taken and c.lower() in {n.lower() for n in names}:
+            new += "_"
+        taken.add(new.lower())
+        inner[c] = new
+    return df.withColumnsRenamed(inner), [F.col(f"`{inner[c]}`").alias(c) for c in df.columns]
+
+
 def own_exchange(grouped: DataFrame, key: str) -> DataFrame:
     """``grouped`` (one row per ``key``) such that a later join by the key shuffles it anew.
 

@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, p: TokenFileParams =
 
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_file, p)
-    folder = fresh_dir(spark, "tokens")
+    folder = _qualified(spark, fresh_dir(spark, "tokens"))
     _make_folder(spark, folder)
     schema = "shard string, docs bigint, tokens bigint"
 
@@ -257,6 +257,13 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, p: TokenFileParams =
     return stage(ordered.mapInArrow(run, schema), "shards"), folder, dictionary
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of the store that Spark takes it from, so that workers write to the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def _make_folder(spark: SparkSession, folder: str) -> None:
     """An empty table file makes the folder on whatever store Spark writes to."""
     spark.createDataFrame([(0,)], "version int").write.mode("append").json(f"{folder}/_about")
@@ -279,7 +286,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str, dictio
     """Reads the files back: doc_id, start (ids before the document), n_tokens, ids_crc32 and, if asked, ids.
 
     ``ids_crc32`` covers the ids as little-endian unsigned 32-bit integers. A file that is cut short, of another
-    dictionary or with an entry that doesn't fit its frame is an error. ``start`` adds the ids of the shards before
+    dictionary or with an entry that doesn't fit its frame is an error, and so is a shard of the table whose file is gone. ``start`` adds the ids of the shards before
     (a running sum over one row per file) to the place within the file.
     """
     import zstandard
@@ -317,6 +324,10 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str, dictio
 
     files = (spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
              .option("pathGlobFilter", "shard-*.tokens").load(folder).select("path", "content"))
+    there = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"))
+    gone = shards.select("shard").join(there, "shard", "left_anti").take(1)
+    if gone:
+        raise FileNotFoundError(f"{folder}/{gone[0].shard} is named in the shard table and is not there")
     # One row per file; the ungrouped window is bounded by the number of files.
     before = shards.select("shard", F.coalesce(F.sum("tokens").over(
         Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
