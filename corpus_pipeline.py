@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontaminate, neardup, quality, secrets
 from riskloom.llm.queries import id_fold, table
-from riskloom.llm.staging import bounded_batches, stage
+from riskloom.llm.staging import bounded_batches, set_aside, stage
 
 QUALITY_THRESHOLD = 0.3
 
@@ -22,8 +22,8 @@ QUALITY_THRESHOLD = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones outside the held-out fold."""
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"), id_fold(5) != 0)
-    scored = quality.score_quality(docs, model, QUALITY_THRESHOLD, "_score", "_accepted")
-    return scored.where("_accepted = 1").select(docs.columns)
+    rows, own = set_aside(docs, ["_score", "_accepted"])
+    return quality.score_quality(rows, model, QUALITY_THRESHOLD, "_score", "_accepted").where("_accepted = 1").select(own)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
