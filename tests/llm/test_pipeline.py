@@ -48,7 +48,7 @@ def test_stages_take_awkward_and_empty_tables(spark):
 
 def test_registered_queries_cover_their_tables(spark):
     registered = queries.queries()
-    assert "pipeline" in registered and sorted({int(n[2:].split("_")[0]) for n in registered if n.startswith("op")}) == list(range(1, 11))
+    assert "pipeline" in registered and sorted({int(n[2:].split("_")[0]) for n in registered if n.startswith("op")}) == list(range(1, 14))
     docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id"]).num_rows
     for name in ("op1_toxicity", "op10_quality"):
         rows = registered[name](spark, SF).collect()
