@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word's input is the sum of a word vector (hashed) and the mean vector of its character n-grams (hashed, with marks for
-where a word begins and ends). Texts are scored by all their overlapping windows; a text's logit is its worst window's,
-calibrated with the number of windows. Training follows the same rule: the gradient flows through the worst window.
+where a word begins and ends). Texts are scored by all their overlapping windows, one beginning at every word from which a
+whole window fits (a text of fewer words is one window); a text's logit is its worst window's, calibrated with the number
+of windows. Training follows the same rule: the gradient flows through the worst window.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.llm.quality import KINDS as BYTE_KINDS
-from riskloom.llm.staging import bounded_collect
+from riskloom.llm.staging import bounded_collect, stage
 from riskloom.llm.textops import Slice, Words, lower_ascii, mix, run_hashes, runs, slices
 
 #: Only letters make words here.
@@ -26,8 +27,8 @@ KINDS = (BYTE_KINDS == 1).astype(np.uint8)
 
 @dataclass(frozen=True)
 class GruParams:
-    """``max_positive`` and ``max_negative`` bound the labelled rows gathered for the fit, ``max_chars`` their length;
-    scoring covers every row and whole texts."""
+    """``max_positive`` and ``max_negative`` labelled rows, and ``max_train_chars`` characters of them, are expected in the
+    sample for the fit; scoring covers every row and whole texts. ``window`` is a number of words."""
 
     width: int = 8
     hidden: int = 8
@@ -35,14 +36,13 @@ class GruParams:
     word_bits: int = 16
     gram_bits: int = 17
     grams: tuple[int, ...] = (3, 4, 5, 6)
-    window: int = 32
-    stride: int = 24
+    window: int = 8
     epochs: int = 4
     batch: int = 64
     rate: float = 0.01
     max_positive: int = 1500
     max_negative: int = 3000
-    max_chars: int = 5000
+    max_train_chars: int = 8_000_000
     seed: int = 23
 
 
@@ -123,13 +123,12 @@ class KnownWords:
 
 
 def windows(row_starts: np.ndarray, p: GruParams) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, row) of all windows: every ``stride`` words, and one that ends with the row."""
+    """(first word, row) of all windows in the order of words: one from every word, as far as it fits into the row."""
     n = np.diff(row_starts)
-    count = np.where(n == 0, 0, 1 + np.maximum(-(-(n - p.window) // p.stride), 0))
+    count = np.where(n == 0, 0, 1 + np.maximum(n - p.window, 0))
     row = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    first = row_starts[row] + np.minimum(k * p.stride, np.maximum(n[row] - p.window, 0))
-    return first, row
+    return row_starts[row] + k, row
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -228,13 +227,60 @@ class ToxicityNet:
             d_x += d_gates @ self.w[f"in_{side}"].T
         return grad, d_x
 
-    def window_logits(self, t: WordTable, first: np.ndarray, row: np.ndarray, x: np.ndarray, block: int = 4096) -> np.ndarray:
+    def window_logits(self, t: WordTable, first: np.ndarray, row: np.ndarray, x: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Logits of the windows of ``windows``, ``block`` at a time; only texts shorter than a window need a mask."""
         out = np.empty(len(first), np.float32)
-        for at in range(0, len(first), block):
-            index, mask = self.window_words(t, first[at:at + block], row[at:at + block])
-            out[at:at + block] = self.forward(x, index, mask)
+        whole = t.row_starts[1:][row] - first >= self.p.window
+        short = np.flatnonzero(~whole)
+        for at in range(0, len(short), block):
+            pick = short[at:at + block]
+            out[pick] = self.forward(x, *self.window_words(t, first[pick], row[pick]))
+        whole = np.flatnonzero(whole)
+        gates = [x @ self.w[f"in_{side}"] + self.w[f"in0_{side}"] for side in "fb"]
+        for at in range(0, len(whole), block):
+            pick = whole[at:at + block]
+            begin, end = first[pick[0]], first[pick[-1]] + self.p.window
+            # Windows across the end of a row are computed along with the others and not used.
+            place = t.place[begin:end]
+            out[pick] = self.run_logits([np.ascontiguousarray(g[place].T) for g in gates])[first[pick] - begin]
         return out
 
+    def run_logits(self, gates: list[np.ndarray]) -> np.ndarray:
+        """Logits of the windows that begin at every word of a run; ``gates``: per side, 3h rows, a column per word.
+
+        Step t of all windows is a slice of the gates, so the inputs are shared. sigmoid(v) = (1 + tanh(v / 2)) / 2.
+        """
+        h, steps = self.p.hidden, self.p.window
+        n = gates[0].shape[1] - steps + 1
+        states = {}
+        for side, g in zip("fb", gates):
+            half = np.repeat(np.array([0.5, 1], np.float32), [2 * h, h])
+            g, re = g * half[:, None], np.ascontiguousarray((self.w[f"re_{side}"] * half).T)
+            state = np.zeros((h, n), np.float32)
+            for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+                u = re @ state
+                rz = np.add(g[:2 * h, t:t + n], u[:2 * h])
+                np.tanh(rz, out=rz)
+                rz += 1
+                rz *= np.float32(0.5)
+                new = np.multiply(rz[:h], u[2 * h:], out=u[2 * h:])
+                new += g[2 * h:, t:t + n]
+                np.tanh(new, out=new)
+                state = state - new
+                state *= rz[h:]
+                state += new
+                states[side, t] = state
+        att, out = self.w["att"].T, self.w["out"]
+        score, value = np.empty((steps, n), np.float32), np.empty((steps, n), np.float32)
+        for t in range(steps):
+            both = np.concatenate([states["f", t], states["b", t]])
+            lit = att @ both
+            lit += self.w["att0"][:, None]
+            score[t] = self.w["pick"] @ np.tanh(lit, out=lit)
+            value[t] = out @ both
+        weight = np.exp(score - score.max(axis=0))
+        return (weight * value).sum(axis=0) / weight.sum(axis=0) + self.w["out0"]
+
     def window_words(self, t: WordTable, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = first[:, None] + np.arange(self.p.window)
         mask = word < t.row_starts[1:][row][:, None]
@@ -289,8 +335,6 @@ def fit(texts: list[str | None], labels: list[int], p: GruParams = GruParams(),
                   if len(o) else np.zeros(0, np.int64) for o in own]
     net.w["word"][:, 0] = _odds([word_slots[i] for i in train], y[train], 1 << p.word_bits)
     net.w["gram"][:, 0] = _odds([gram_slots[i] for i in train], y[train], 1 << p.gram_bits)
-    first, row = windows(t.row_starts, p)
-    bounds = np.searchsorted(row, np.arange(len(y) + 1))
     draw = np.random.default_rng(p.seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     turn = 0
@@ -299,19 +343,15 @@ def fit(texts: list[str | None], labels: list[int], p: GruParams = GruParams(),
         order = draw.permutation(train)
         for at in range(0, len(order), p.batch):
             rows = order[at:at + p.batch]
-            picks = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in rows])
             words, place = np.unique(np.concatenate([t.place[t.row_starts[i]:t.row_starts[i + 1]] for i in rows]), return_inverse=True)
-            small = _part_table(t, words)
+            starts = np.append(0, np.cumsum((t.row_starts[1:] - t.row_starts[:-1])[rows]))
+            small = _part_table(t, words, place, starts)
             x = net.inputs(small)
-            remap = np.zeros(len(t.word), np.int64)
-            remap[words] = np.arange(len(words))
-            index, mask = net.window_words(t, first[picks], row[picks])
-            logit = net.forward(x, remap[index], mask)
-            worst = []
-            for i in rows:
-                mine = np.flatnonzero(row[picks] == i)
-                worst.append(mine[np.argmax(logit[mine])])
-            index, mask = remap[index[worst]], mask[worst]
+            first, row = windows(starts, p)
+            logit = net.window_logits(small, first, row, x)
+            bounds = np.searchsorted(row, np.arange(len(rows) + 1))
+            worst = [a + int(np.argmax(logit[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+            index, mask = net.window_words(small, first[worst], row[worst])
             logit, saved = net.forward(x, index, mask, keep=True)
             error = ((_sigmoid(logit) - y[rows]) * balance[rows] / len(rows)).astype(np.float32)
             grad, d_x = net.backward(x, index, mask, saved, error)
@@ -325,11 +365,12 @@ def fit(texts: list[str | None], labels: list[int], p: GruParams = GruParams(),
     return net
 
 
-def _part_table(t: WordTable, words: np.ndarray) -> WordTable:
+def _part_table(t: WordTable, words: np.ndarray, place: np.ndarray, row_starts: np.ndarray) -> WordTable:
+    """The table of some of the words, with rows of its own."""
     size = np.diff(t.gram_starts)[words]
     starts = np.concatenate([[0], np.cumsum(size)])
     take = np.arange(starts[-1]) - np.repeat(starts[:-1], size) + np.repeat(t.gram_starts[words], size)
-    return WordTable(t.word[words], t.grams[take], starts, t.place, t.row_starts)
+    return WordTable(t.word[words], t.grams[take], starts, place, row_starts)
 
 
 def _adam(w: dict, moment: dict, grad: dict, turn: int, rate: float) -> None:
@@ -367,19 +408,23 @@ def _calibrate(net: ToxicityNet, logit: np.ndarray, count: np.ndarray, y: np.nda
 def train_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, label_col: str = "toxic", p: GruParams = GruParams()) -> ToxicityNet:
     """Fits on labelled rows for which ``train_on`` (over the labels) holds.
 
-    Of each class a share is drawn by a hash of the id, such that about ``max_positive`` and ``max_negative`` rows
-    are expected; texts beyond ``max_chars`` take no part in the fit. Null labels, ids and texts are left out.
+    Of each class a share is drawn by a hash of the id, whatever the length of the texts, such that ``max_positive`` and
+    ``max_negative`` rows are expected; where these have more than ``max_train_chars`` in all, a share of them is drawn by a
+    second hash. The rows drawn are used as whole texts, all windows of them. Null labels, ids and texts are left out.
     """
     usable = (labels.where(train_on & F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
               .groupBy("doc_id").agg((F.max(label_col) > 0).cast("int").alias("_label")))
     sizes = {r["_label"]: r["n"] for r in usable.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = {0: p.max_negative, 1: p.max_positive}
     share = {c: min(1.0, room[c] / max(sizes.get(c, 0), 1)) for c in room}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    wanted = usable.where(draw < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
-    rows = (docs.select("doc_id", "text").where(F.length("text") <= p.max_chars).join(F.broadcast(wanted), "doc_id")
-            .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label")))
-    rows = bounded_collect(rows, 2 * (p.max_negative + p.max_positive) + 1000)
+    draw = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    wanted = usable.where(draw(p.seed) < F.when(F.col("_label") == 1, share[1]).otherwise(share[0]))
+    sample = stage(docs.select("doc_id", "text").where("text IS NOT NULL")
+                   .join(F.broadcast(wanted), "doc_id")  # about max_positive + max_negative ids
+                   .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("_label")), "toxic_sample")
+    chars = sample.agg(F.sum(F.length("text"))).head()[0] or 0
+    sample = sample.where(draw(p.seed + 1) < min(1.0, p.max_train_chars / max(chars, 1)))
+    rows = bounded_collect(sample, 2 * (p.max_negative + p.max_positive) + 1000)
     rows.sort(key=lambda r: r.doc_id)
     got = [sum(r["_label"] == c for r in rows) for c in (0, 1)]
     stands = tuple(sizes.get(c, 0) / max(got[c], 1) for c in (0, 1))

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ def test_quality_score_is_the_sparse_dot_product():
 
 
 def test_toxicity_gradient_matches_differences():
-    p = toxicity.GruParams(width=3, hidden=2, attention=3, word_bits=4, gram_bits=4, window=5, stride=3)
+    p = toxicity.GruParams(width=3, hidden=2, attention=3, word_bits=4, gram_bits=4, window=5)
     net = toxicity.ToxicityNet(p)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     g = np.random.default_rng(0)
@@ -73,15 +74,52 @@ def test_toxicity_gradient_matches_differences():
         assert d_x[at] == pytest.approx(slope(x, at), abs=2e-3)
 
 
-def test_windows_overlap_and_reach_the_end():
-    p = toxicity.GruParams(window=8, stride=5)
+def test_windows_begin_at_every_word():
+    p = toxicity.GruParams(window=8)
     starts = np.array([0, 0, 3, 11, 31, 32])
     first, row = toxicity.windows(starts, p)
-    seen = [set() for _ in range(5)]
-    for f, r in zip(first, row):
-        seen[r] |= set(range(f, min(f + 8, starts[r + 1])))
-    assert seen == [set(range(a, b)) for a, b in zip(starts[:-1], starts[1:])]
-    assert list(first[row == 3]) == [11, 16, 21, 23]
+    assert list(zip(first, row)) == [(0, 1), (3, 2)] + [(k, 3) for k in range(11, 24)] + [(31, 4)]
+
+
+def test_runs_of_windows_equal_single_windows():
+    net = toxicity.ToxicityNet(toxicity.GruParams(word_bits=8, gram_bits=8, window=5))
+    starts = np.array([0, 3, 3, 60, 65, 66, 300])
+    g = np.random.default_rng(4)
+    none = np.zeros(0, np.int64)
+    t = toxicity.WordTable(none, none, none, g.integers(0, 40, 300), starts)
+    x = g.standard_normal((40, 8)).astype(np.float32)
+    first, row = toxicity.windows(starts, net.p)
+    one_by_one = net.forward(x, *net.window_words(t, first, row))
+    for block in (7, 64, 10_000):
+        assert np.allclose(net.window_logits(t, first, row, x, block), one_by_one, atol=1e-5)
+
+
+def test_toxic_phrases_are_found_at_every_offset():
+    """A text's logit is at least that of any window, so a phrase counts the same wherever it stands."""
+    rng = random.Random(6)
+    phrase = "you zonk of a blarg".split()
+    net = toxicity.fit(*zip(*[(r[1], r[2]) for r in labelled(rng, 600, lambda r: r.choice(["zonk", "blarg"]))]), SMALL)
+    clean = words(rng, 120).split()
+    texts = [" ".join(clean[:k] + phrase + clean[k:]) for k in range(121)] + [" ".join(clean)]
+    score = np.concatenate([net.score(s, toxicity.KnownWords(net)) for s in slices(pa.array(texts))])
+    assert score[:-1].min() > 0.7 and score[-1] < 0.3
+
+
+def test_toxicity_trains_on_long_texts_too(spark):
+    """The draw is by hash whatever the length; a sample beyond the characters wanted is thinned, not cut by length."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        w = words(rng, 1500).split()
+        w.insert(rng.randrange(len(w)), "zonk" if i % 2 else "plain")
+        rows.append((i, " ".join(w), i % 2))
+    assert min(len(r[1]) for r in rows) > 5000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, y int")
+    p = replace(SMALL, epochs=40, batch=16, max_train_chars=sum(len(r[1]) for r in rows) * 2 // 3)
+    net = toxicity.train_toxicity(docs, labels, F.lit(True), "y", p)
+    out = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, net, 0.5).collect()}
+    assert sum(out[i] == y for i, _, y in rows) >= 110
 
 
 def test_toxicity_learns_words_and_letters():
