@@ -275,11 +275,11 @@ def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray
             raise ValueError(f"the library encodes this text otherwise: {texts[k][:200]!r}")
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 8) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 1) -> DataFrame:
     """Adds the ids of every whole text as an array column ``out``; no begin or end ids, no sampling.
 
-    The library encodes the whole texts of one slice (2 MB) in ``check_every`` of a task too, from the first one on, and
-    other ids are an error; 1 checks every text, 0 none. Null and empty texts get an empty array. All other
+    The library encodes every whole text too, slice by slice (2 MB), and other ids are an error. A caller may set
+    ``check_every`` to check one slice in so many of a task, from the first one on, or 0 for none. Null and empty texts get an empty array. All other
     columns stay; a column named as ``out`` is replaced. Rows are independent: nothing is shuffled, and a lost task is
     run again. ``model_file`` must be readable at the same place on every executor.
     """
