@@ -261,7 +261,7 @@ def vocabulary(model_file: str) -> MergeVocabulary:
 
 def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts; null counts as empty, and an empty text has no ids."""
-    plain = pa.array([vocab.library.normalize(t) if t else "" for t in texts], pa.large_string())
+    plain = pa.array(vocab.library.normalize([t or "" for t in texts]), pa.large_string())
     parts = [vocab.encode_slice(part) for part in slices(plain, SLICE_BYTES)]
     sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(offsets) for _, offsets in parts]])
     return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]), np.append(0, np.cumsum(sizes))
@@ -270,8 +270,8 @@ def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.nd
 def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> None:
     """Raises where the library encodes a whole text to other ids."""
     found = vocab.library.encode([t or "" for t in texts], out_type=int, num_threads=1)
-    for k, own in enumerate(found):
-        if not np.array_equal(own, ids[offsets[k]:offsets[k + 1]]):
+    for k, other in enumerate(found):
+        if other != ids[offsets[k]:offsets[k + 1]].tolist():
             raise ValueError(f"the library encodes this text otherwise: {texts[k][:200]!r}")
 
 
