@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import canary_bucket
@@ -186,3 +186,68 @@ def promotion_event(gate1: DataFrame, gate2: DataFrame, model_name: str, version
     passed = F.col("passed") & gate2.select("is_promotable").scalar()
     return gate1.select(F.lit(model_name).alias("model_name"), F.lit(version).alias("version"),
                         F.lit("promote").alias("action"), passed.alias("gate_passed"))
+
+
+SLICE_US = 3_600_000_000
+
+
+def _neighbour(df: DataFrame, value: str, order: tuple[str, ...], out: str, ahead: bool = False) -> DataFrame:
+    """Adds the nearest non-null ``value`` strictly before each row (behind it with ``ahead``) among its model's rows.
+
+    A model may hold most of a log, so rows are compared inside hours, and hours by one row each.
+    """
+    direct = (lambda c: F.col(c).desc()) if ahead else F.col
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    df = df.withColumn("_slice", F.floor(F.col("us") / F.lit(SLICE_US)))
+    inside = Window.partitionBy("model_name", "_slice").orderBy(*map(direct, order)).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("model_name").orderBy(direct("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.min_by if ahead else F.max_by
+    hours = df.groupBy("model_name", "_slice").agg(edge(value, known).alias("_edge")).select(
+        "model_name", "_slice", F.last("_edge", ignorenulls=True).over(across).alias("_carried"))
+    return (df.withColumn("_inside", F.last(value, ignorenulls=True).over(inside)).join(hours, ["model_name", "_slice"])
+            .withColumn(out, F.coalesce("_inside", "_carried")).drop("_slice", "_inside", "_carried"))
+
+
+def production_intervals(log: DataFrame) -> DataFrame:
+    """Times in production: model_name, version, from_us, event_id (what began it) and to_us (null: still in production).
+
+    A promotion whose gates passed and every rollback put a version into production until another version follows;
+    naming the present one again changes nothing. Of changes in one microsecond the last by event_id holds, the others
+    have from_us = to_us. Rows without model, version, time or event id take no part.
+    """
+    takes = (((F.col("action") == "promote") & F.coalesce("gate_passed", F.lit(False))) | (F.col("action") == "rollback"))
+    named = log.where(takes).select("model_name", "version", "us", "event_id").dropna().dropDuplicates()
+    order = ("us", "event_id")
+    began = _neighbour(named, "version", order, "_before").where("_before IS NULL OR _before <> version")
+    began = began.drop("_before").withColumn("_at", F.col("us"))
+    return _neighbour(began, "_at", order, "to_us", ahead=True).select(
+        "model_name", "version", F.col("us").alias("from_us"), "event_id", "to_us")
+
+
+def version_drift(log: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Per version that was in production: its times there and the drift snapshots taken meanwhile.
+
+    ``snapshots``: model_name, snapshot_type (feature_drift or prediction_drift), drift_detected, drift_score, us,
+    event_id. Each counts for the version in production at its time; those before the first one, and those without model
+    or time, count for none. The latest of each type decides: drifted, stable, or unknown where there is none.
+    """
+    began = production_intervals(log)
+    # A change in the same microsecond comes before the snapshot.
+    changes = began.select("model_name", "version", F.col("from_us").alias("us"), "event_id", F.lit(0).alias("_kind"))
+    taken = snapshots.select("model_name", "snapshot_type", "drift_detected", "drift_score", "us", "event_id",
+                             F.lit(1).alias("_kind")).where("model_name IS NOT NULL AND us IS NOT NULL")
+    rows = _neighbour(changes.unionByName(taken, allowMissingColumns=True), "version", ("us", "_kind", "event_id"), "_in_production")
+    at = F.struct("us", "event_id")
+    latest = lambda kind: F.max_by(F.coalesce("drift_detected", F.lit(False)), F.when(F.col("snapshot_type") == kind, at))
+    seen = rows.where("_kind = 1 AND _in_production IS NOT NULL").groupBy("model_name", F.col("_in_production").alias("version")).agg(
+        F.count(F.lit(1)).alias("snapshots"), F.count_if("drift_detected").alias("drifted_snapshots"),
+        latest("feature_drift").alias("feature_drift_detected"), latest("prediction_drift").alias("prediction_drift_detected"),
+        F.max_by("drift_score", at).alias("drift_score"))
+    times = began.groupBy("model_name", "version").agg(
+        F.count(F.lit(1)).alias("times_in_production"), F.min("from_us").alias("first_us"),
+        F.coalesce(F.sum(F.col("to_us") - F.col("from_us")), F.lit(0)).alias("closed_us"),
+        F.max(F.col("to_us").isNull()).alias("is_production"))
+    drifted = F.coalesce("feature_drift_detected", F.lit(False)) | F.coalesce("prediction_drift_detected", F.lit(False))
+    return times.join(seen, ["model_name", "version"], "left").withColumns({
+        "snapshots": F.coalesce("snapshots", F.lit(0)), "drifted_snapshots": F.coalesce("drifted_snapshots", F.lit(0)),
+        "drift_status": F.when(F.col("snapshots").isNull(), "unknown").when(drifted, "drifted").otherwise("stable")})

@@ -553,3 +553,45 @@ def model_registry(spark, sf):
 @query("current_production", "WITH " + _REGISTRY + " SELECT model_name, p AS version FROM prod")
 def current_production(spark, sf):
     return K.current_production(registry_log(spark, sf))
+
+
+_INTERVALS = _REGISTRY + """,
+chg AS (SELECT *, lag(version) OVER (PARTITION BY model_name ORDER BY us, event_id) AS prev FROM eff WHERE takes),
+iv AS (SELECT model_name, version, us AS from_us, event_id,
+  lead(us) OVER (PARTITION BY model_name ORDER BY us, event_id) AS to_us FROM chg WHERE prev IS DISTINCT FROM version)"""
+
+
+@query("production_intervals", "WITH " + _INTERVALS + " SELECT * FROM iv")
+def production_intervals(spark, sf):
+    return K.production_intervals(registry_log(spark, sf))
+
+
+def registry_snapshots(spark, sf):
+    """Events without a registry action read as drift snapshots of the three models."""
+    e = read_table(spark, sf, "events").where("event_type NOT IN ('purchase', 'error', 'click')")
+    score = (F.col("user_id") % 50) / F.lit(100.0)
+    return e.select(
+        F.concat(F.lit("model_"), (F.col("user_id") % 3).cast("string")).alias("model_name"),
+        F.when(F.col("event_id") % 2 == 0, "feature_drift").otherwise("prediction_drift").alias("snapshot_type"),
+        (score >= 0.25).alias("drift_detected"), score.alias("drift_score"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+
+
+@query("version_drift", "WITH " + _INTERVALS + """,
+snap AS (SELECT 'model_' || (user_id % 3) AS model_name, event_id % 2 = 0 AS is_feature, (user_id % 50) / 100.0 >= 0.25 AS hit,
+  CAST(user_id % 50 AS DOUBLE) / 100.0 AS score, epoch_us(ts) AS us, event_id
+  FROM events WHERE event_type NOT IN ('purchase', 'error', 'click')),
+seen AS (SELECT model_name, version, count(*) AS snapshots, count(*) FILTER (hit) AS drifted_snapshots,
+  arg_max(hit, (s.us, s.event_id)) FILTER (is_feature) AS feature_drift_detected,
+  arg_max(hit, (s.us, s.event_id)) FILTER (NOT is_feature) AS prediction_drift_detected,
+  arg_max(score, (s.us, s.event_id)) AS drift_score
+  FROM snap s JOIN iv USING (model_name) WHERE s.us >= from_us AND (to_us IS NULL OR s.us < to_us) GROUP BY ALL),
+times AS (SELECT model_name, version, count(*) AS times_in_production, min(from_us) AS first_us,
+  CAST(coalesce(sum(to_us - from_us), 0) AS BIGINT) AS closed_us, bool_or(to_us IS NULL) AS is_production FROM iv GROUP BY ALL)
+  SELECT t.*, coalesce(snapshots, 0) AS snapshots, coalesce(drifted_snapshots, 0) AS drifted_snapshots,
+    feature_drift_detected, prediction_drift_detected, drift_score,
+    CASE WHEN snapshots IS NULL THEN 'unknown' WHEN feature_drift_detected OR prediction_drift_detected THEN 'drifted'
+      ELSE 'stable' END AS drift_status
+  FROM times t LEFT JOIN seen USING (model_name, version)""")
+def version_drift(spark, sf):
+    return K.version_drift(registry_log(spark, sf), registry_snapshots(spark, sf))
