@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.hashing import canary_bucket
@@ -181,11 +181,25 @@ def current_production(log: DataFrame) -> DataFrame:
     return registry_state(log).where(F.col("status") == "production").select("model_name", "version")
 
 
-def promotion_event(gate1: DataFrame, gate2: DataFrame, model_name: str, version: str) -> DataFrame:
+def promotion_event(gate1: DataFrame, gate2: DataFrame, model_name: str, version: str, us: int, event_id: int) -> DataFrame:
     """A registry log row whose gate flag comes from the two evaluated gates."""
-    passed = F.col("passed") & gate2.select("is_promotable").scalar()
+    passed = F.coalesce(F.col("passed") & gate2.select("is_promotable").scalar(), F.lit(False))
     return gate1.select(F.lit(model_name).alias("model_name"), F.lit(version).alias("version"),
-                        F.lit("promote").alias("action"), passed.alias("gate_passed"))
+                        F.lit("promote").alias("action"), passed.alias("gate_passed"),
+                        F.lit(us).cast("bigint").alias("us"), F.lit(event_id).cast("bigint").alias("event_id"))
+
+
+def rollback_event(spark: SparkSession, model_name: str, version: str, us: int, event_id: int) -> DataFrame:
+    """A registry log row that puts a version into production without gates."""
+    return spark.range(1).select(
+        F.lit(model_name).alias("model_name"), F.lit(version).alias("version"), F.lit("rollback").alias("action"),
+        F.lit(None).cast("boolean").alias("gate_passed"), F.lit(us).cast("bigint").alias("us"),
+        F.lit(event_id).cast("bigint").alias("event_id"))
+
+
+def append_registry(event: DataFrame, path: str) -> None:
+    """Adds rows to the registry log; the log is never rewritten."""
+    event.write.mode("append").parquet(path)
 
 
 SLICE_US = 3_600_000_000

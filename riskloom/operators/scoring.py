@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.numeric import clip, round_dp
@@ -92,6 +92,16 @@ def fraud_scores(scored: DataFrame) -> DataFrame:
                          zero("feature_fetch_latency_ms"))
 
 
+def append_scores(scored: DataFrame, path: str, batch_id: int) -> None:
+    """Adds the scores of a batch to the audit table; a repeated batch replaces its own rows and no others."""
+    fraud_scores(scored).write.mode("overwrite").parquet(f"{path}/batch={int(batch_id)}")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The audit table with the ``batch`` of each row."""
+    return spark.read.parquet(path)
+
+
 def tier_counts(scores: DataFrame) -> DataFrame:
     return scores.groupBy("risk_label", "model_version").agg(F.count(F.lit(1)).alias("n"))
 

@@ -145,8 +145,12 @@ def write_flagged_stream(spark, sf):
   CASE WHEN risk_score < 0.3::double THEN 0.3::double WHEN risk_score < 0.85::double THEN 0.6::double ELSE 0.85::double END AS threshold_used,
   risk_score >= 0.6::double AS was_flagged, latency_ms AS scoring_latency_ms, 0.0::double AS feature_fetch_latency_ms FROM txn"""))
 def append_fraud_scores(spark, sf):
+    """Three batches are appended, the second one twice; the audit table is read back."""
     t = transactions(spark, sf).withColumns({"model_version": F.lit("baseline_v1"), "scoring_latency_ms": F.col("latency_ms")})
-    return E.fraud_scores(E.risk_tier(t))
+    path, batch = work_dir(spark, "scores"), F.pmod(F.xxhash64("transaction_id"), F.lit(3))
+    for number in (0, 1, 2, 1):
+        E.append_scores(E.risk_tier(t.where(batch == number)), path, number)
+    return E.read_scores(spark, path).drop("batch")
 
 
 # B -----------------------------------------------------------------------------------

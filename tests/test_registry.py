@@ -3,6 +3,7 @@
 import random
 
 from riskloom.operators import lifecycle as K
+from riskloom.operators.scoring import append_scores, read_scores
 
 LOG = "model_name string, version string, action string, gate_passed boolean, us bigint, event_id bigint"
 SNAP = "model_name string, snapshot_type string, drift_detected boolean, drift_score double, us bigint, event_id bigint"
@@ -52,3 +53,28 @@ def test_snapshots_count_for_the_version_of_their_time(spark):
     assert (b.snapshots, b.drift_status, b.prediction_drift_detected, b.is_production) == (1, "stable", None, True)
     assert (z.snapshots, z.drift_status, z.is_production) == (0, "unknown", True)
     assert K.version_drift(log.limit(0), snaps).count() == 0
+
+
+def test_promotions_and_rollbacks_are_appended(spark, tmp_path):
+    gate = lambda ok: spark.createDataFrame([(ok,)], "passed boolean")
+    better = lambda ok: spark.createDataFrame([(ok,)], "is_promotable boolean")
+    path = str(tmp_path / "log")
+    K.append_registry(K.promotion_event(gate(True), better(True), "m", "v1", 10, 1), path)
+    K.append_registry(K.promotion_event(gate(True), better(None), "m", "v2", 20, 2), path)
+    K.append_registry(K.promotion_event(gate(True), better(True), "m", "v3", 30, 3), path)
+    K.append_registry(K.rollback_event(spark, "m", "v1", 40, 4), path)
+    log = spark.read.parquet(path)
+    assert [tuple(r) for r in K.production_intervals(log).orderBy("from_us").collect()] == [
+        ("m", "v1", 10, 1, 30), ("m", "v3", 30, 3, 40), ("m", "v1", 40, 4, None)]
+    assert [tuple(r) for r in K.current_production(log).collect()] == [("m", "v1")]
+
+
+def test_a_repeated_batch_of_scores_replaces_itself(spark, tmp_path):
+    made = lambda ids, p: spark.createDataFrame(
+        [(i, "v1", p, "low", 0.3, False) for i in ids],
+        "transaction_id string, model_version string, risk_score double, risk_label string, threshold_used double, was_flagged boolean")
+    path = str(tmp_path / "scores")
+    for ids, p, batch in (("ab", 0.1, 0), ("cd", 0.2, 1), ("cd", 0.3, 1), ("a", 0.4, 2)):
+        append_scores(made(ids, p), path, batch)
+    got = sorted((r.transaction_id, r.risk_score, r.scoring_latency_ms) for r in read_scores(spark, path).collect())
+    assert got == [("a", 0.1, 0.0), ("a", 0.4, 0.0), ("b", 0.1, 0.0), ("c", 0.3, 0.0), ("d", 0.3, 0.0)]
