@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.numeric import round_dp
 from riskloom.operators import evaluation as H
 from riskloom.operators.ranking import hash_rank
 from riskloom.operators.scoring import prepare_xy
 from riskloom.schemas import FEATURES
-from riskloom.session import stage
+from riskloom.session import owned_dir, stage
 
 # Default boosting parameters and the three search candidates.
 DEFAULTS = {"stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20}
@@ -115,25 +116,49 @@ def predict(model, rows: DataFrame, *keep: str) -> DataFrame:
     return model.transform(rows).select(*keep, "y", vector_to_array("probability")[1].alias("p"))
 
 
-def tune_model(rows: DataFrame, k: int = 3, candidates: list[dict] | None = None, rounds: int = 80,
-               seed: int = 42) -> list[dict]:
-    """Candidate index, parameters and mean PR-AUC and ROC-AUC over k stratified folds, best PR-AUC first.
+def fold_scores(rows: DataFrame, k: int = 3, candidates: list[dict] | None = None, rounds: int = 80, seed: int = 42,
+                parallelism: int = 3, fit=train_model) -> DataFrame:
+    """candidate_idx, fold, y, p: every row scored by every candidate fitted on the other folds.
 
-    A model search is a driver loop over fits; every fit and every score is a
-    distributed job, and only one number per fold returns.
+    ``parallelism`` fits run side by side, so small late rounds of one fit do not leave the cluster idle. Each writes
+    its scores; no score reaches the driver. ``fit(train, held_out, params, rounds, seed=seed)`` returns an MLlib model.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark.util import inheritable_thread_target
+
+    spark = rows.sparkSession
     folded = stage(stratified_kfold(rows, k, seed, label="y"), "folds")
-    history = []
-    for index, params in enumerate(candidates or CANDIDATES):
-        scores, areas = [], []
-        for fold in range(k):
-            train, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-            model = train_model(train, held, params, rounds, seed=seed)
-            made = stage(predict(model, held), "fold_scores")
-            scores.append(H.average_precision(made).head()["pr_auc"])
-            areas.append(H.roc_auc(made).head()["auc_roc"])
-        history.append({"candidate_idx": index, **params, "mean_pr_auc": round(sum(scores) / k, 4),
-                        "mean_roc_auc": round(sum(areas) / k, 4)})
+    path = owned_dir(spark, "fold_scores")
+
+    def one(index: int, params: dict, fold: int):
+        train, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        model = fit(train, held, params, rounds, seed=seed)
+        predict(model, held).write.mode("overwrite").parquet(f"{path}/candidate_idx={index}/fold={fold}")
+
+    wrapped = inheritable_thread_target(spark)(one)
+    tasks = [(index, params, fold) for index, params in enumerate(candidates or CANDIDATES) for fold in range(k)]
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        pool.starmap(wrapped, tasks, chunksize=1)
+    return spark.read.schema("y int, p double, candidate_idx int, fold int").parquet(path)
+
+
+def tuning_history(scores: DataFrame) -> DataFrame:
+    """candidate_idx, mean_pr_auc, mean_roc_auc over the folds of each candidate, one grouped pass over all scores."""
+    by = ["candidate_idx", "fold"]
+    areas = H.average_precision(scores, by).join(H.roc_auc(scores, by), by)
+    mean = lambda c: round_dp(F.sum(c) / F.count(F.lit(1)), 4)
+    return areas.groupBy("candidate_idx").agg(mean("pr_auc").alias("mean_pr_auc"), mean("auc_roc").alias("mean_roc_auc"))
+
+
+def tune_model(rows: DataFrame, k: int = 3, candidates: list[dict] | None = None, rounds: int = 80,
+               seed: int = 42, parallelism: int = 3, fit=train_model) -> list[dict]:
+    """Candidate index, parameters and mean PR-AUC and ROC-AUC over k stratified folds, best PR-AUC first."""
+    candidates = candidates or CANDIDATES
+    # One row per candidate.
+    means = tuning_history(fold_scores(rows, k, candidates, rounds, seed, parallelism, fit)).collect()
+    history = [{"candidate_idx": m.candidate_idx, **candidates[m.candidate_idx], "mean_pr_auc": m.mean_pr_auc,
+                "mean_roc_auc": m.mean_roc_auc} for m in means]
     return sorted(history, key=lambda h: (-h["mean_pr_auc"], h["candidate_idx"]))
 
 

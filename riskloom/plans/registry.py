@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import case_queries, data_queries, feature_queries, governance_queries, state_queries
+from riskloom.plans import case_queries, data_queries, feature_queries, governance_queries, model_queries, state_queries
 
-MODULES = [feature_queries, governance_queries, case_queries, data_queries, state_queries]
+MODULES = [feature_queries, governance_queries, case_queries, data_queries, state_queries, model_queries]
 
 
 def queries():

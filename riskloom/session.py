@@ -70,14 +70,20 @@ def staging_area(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def owned_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that goes with the innermost staging area, where there is one."""
+    path = work_dir(spark, name)
+    if _AREAS:
+        _AREAS[-1].append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once and reads it back.
 
     Used where several branches of a plan need the same expensive intermediate:
     it is computed once, pruned on read, and outlives lost executors.
     """
-    path = work_dir(df.sparkSession, name)
-    if _AREAS:
-        _AREAS[-1].append(path)
+    path = owned_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

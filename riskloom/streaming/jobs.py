@@ -23,6 +23,7 @@ from riskloom.session import stage, staging_area
 from riskloom.sources.commits import commit, committed
 from riskloom.sources.online_store import merge_online
 from riskloom.sources.tables import feature_snapshots
+from riskloom.streaming.first_seen import add_pairs, known_pairs
 
 CUSTOMER_TTL_SECONDS, DEVICE_TTL_SECONDS, ONLINE_TTL_SECONDS = 90_000, 7_200, 86_400
 
@@ -108,10 +109,10 @@ def _located(df: DataFrame, per_hour: bool = False) -> DataFrame:
 def stream_features(stream: DataFrame, root: str, checkpoint: str):
     """Runs the feature stream over the available input.
 
-    State lies in append-only tables under ``root``: rows by event hour and batch, and one
-    folder per batch of new (customer, device) and (customer, merchant) pairs and last located
-    rows by hour. A batch reads the hours from 25 before its first row to its last; older rows
-    act through the pair and location tables. Every batch overwrites its own folders, so a batch
+    State lies in tables under ``root``: rows by event hour and batch, the (customer, device) and
+    (customer, merchant) pairs seen (:mod:`first_seen`), and last located rows by hour. A batch reads
+    the hours from 25 before its first row to its last, and the pairs of its customers' buckets; older
+    rows act through the pair and location tables. Every batch overwrites its own folders, so a batch
     repeated after a failure replaces its output. Tables staged for a batch go with it.
     """
     spark = stream.sparkSession
@@ -132,7 +133,7 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
             return
         low = ends["first"] - CUSTOMER_TTL_SECONDS * MICROS
         rows, places = read_hours(spark, f"{root}/history", low, ends["last"]), earlier("places", batch_id)
-        pairs = {c: earlier(f"pairs_{c}", batch_id) for c in ("device_fingerprint", "merchant_id")}
+        pairs = {c: known_pairs(batch, c, f"{root}/pairs_{c}", batch_id) for c in ("device_fingerprint", "merchant_id")}
         live = None if rows is None else rows.where(F.col("batch") != batch_id).drop("batch")
         last = None
         if places is not None:
@@ -141,11 +142,8 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
             live = last.limit(0) if live is None else live
         put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last),
             "features")
-        for column, known in pairs.items():
-            fresh = batch.select("customer_id", column).distinct()
-            if known is not None:
-                fresh = fresh.join(known, ["customer_id", column], "left_anti")
-            put(fresh, f"pairs_{column}")
+        for column in pairs:
+            add_pairs(batch, column, f"{root}/pairs_{column}", batch_id)
         put(_located(batch, per_hour=True), "places")
         write_hours(batch, f"{root}/history", batch_id)
 
@@ -216,17 +214,20 @@ def stream_device_count(batch: DataFrame, history: DataFrame | None) -> DataFram
 
 
 def stream_device_counts(stream: DataFrame, root: str, checkpoint: str):
-    """Trailing hour per device as a stream; each batch keeps its rows for the two hours that later ones need."""
+    """Trailing hour per device as a stream; each batch keeps its rows by event hour and reads the two hours it needs."""
     spark = stream.sparkSession
     columns = ["transaction_id", "device_fingerprint", "us"]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
-        history = read_stored(spark, f"{root}/history")
-        if history is not None:
-            history = history.where(F.col("batch") < batch_id).drop("batch")
-        stream_device_count(batch, history).write.mode("overwrite").parquet(f"{root}/counts/batch={batch_id}")
-        batch.select(*columns).write.mode("overwrite").parquet(f"{root}/history/batch={batch_id}")
+        with staging_area(spark):
+            batch = stage(with_micros(batch).dropDuplicates(["transaction_id"]), "batch")
+            ends = batch.agg(F.min("us").alias("first"), F.max("us").alias("last")).head()
+            if ends["first"] is None:
+                return
+            rows = read_hours(spark, f"{root}/history", ends["first"] - DEVICE_TTL_SECONDS * MICROS, ends["last"])
+            history = None if rows is None else rows.where(F.col("batch") < batch_id).drop("batch")
+            stream_device_count(batch, history).write.mode("overwrite").parquet(f"{root}/counts/batch={batch_id}")
+            write_hours(batch.select(*columns), f"{root}/history", batch_id)
 
     return run_available(stream, on_batch, checkpoint)
 
@@ -252,6 +253,90 @@ def stream_alerts(features: DataFrame, model, version: str, names: list[str], ro
     return run_available(features, on_batch, checkpoint)
 
 
+def saved_models(folder: str) -> Callable[[str], object]:
+    """A loader of MLlib pipelines saved under ``folder``/version."""
+    from pyspark.ml import PipelineModel
+
+    return lambda version: PipelineModel.load(f"{folder}/{version}")
+
+
+def serving_config(spark: SparkSession, model_name: str, registry: str, split_log: str) -> DataFrame:
+    """The routing in force now: the registry's production version as champion, the last accepted split request.
+
+    Without a production version the default champion serves; without a request, or with a canary that has become
+    the champion, all traffic is the champion's.
+    """
+    log, requests = read_stored(spark, registry), read_stored(spark, split_log)
+    rows = [] if log is None else K.current_production(log).where(F.col("model_name") == model_name).head(1)
+    champion = rows[0]["version"] if rows else K.CHAMPION
+    if requests is None:
+        return K.split_config(spark, None, 0.0, champion=champion)
+    config = K.current_split(K.split_log(requests)[0], champion=champion)
+    same = F.col("canary_version") == F.col("champion_version")
+    return config.withColumns({
+        "canary_percentage": F.when(same, 0.0).otherwise(F.col("canary_percentage")),
+        "shadow_mode": F.when(same, False).otherwise(F.col("shadow_mode")),
+        "is_active": F.when(same, False).otherwise(F.col("is_active"))})
+
+
+def score_routed(features: DataFrame, config: DataFrame, load: Callable[[str], object], names: list[str]) -> DataFrame:
+    """Every row scored by the version that its customer is routed to, with tier and ``payload`` (the named features).
+
+    In shadow mode the champion decides and ``shadow_score`` is the candidate's. Each model sees only its own rows.
+    """
+    from riskloom.operators.scoring import score
+
+    setting = config.head()
+    keep = ("transaction_id", "customer_id", "is_canary", "payload")
+    routed = K.canary_route(features, config).withColumn("payload", F.struct(*names))
+    by = lambda version, rows: score(rows, load(version), version, keep)
+    champion = by(setting["champion_version"], routed.where(~F.col("is_canary")))
+    if not setting["is_active"] or not setting["canary_version"]:
+        return risk_tier(champion.withColumn("shadow_score", F.lit(None).cast("double")))
+    if setting["shadow_mode"]:
+        other = by(setting["canary_version"], routed).select("transaction_id", F.col("risk_score").alias("shadow_score"))
+        return risk_tier(champion.join(other, "transaction_id", "left"))
+    canary = by(setting["canary_version"], routed.where("is_canary"))
+    return risk_tier(champion.unionByName(canary).withColumn("shadow_score", F.lit(None).cast("double")))
+
+
+def stream_versioned_alerts(features: DataFrame, load: Callable[[str], object], model_name: str, registry: str, split_log: str,
+                            names: list[str], root: str, checkpoint: str):
+    """The feature stream into scores and alerts, by the versions that registry and split log name when a batch starts.
+
+    A promotion or a new split so reaches the running stream with its next batch. The choice is written before the
+    batch is scored, and a repeated batch takes it from there: it scores with the same versions and replaces its own
+    folders. ``features`` has customer_id and one row per transaction.
+    """
+    from riskloom.operators.scoring import append_scores
+
+    spark, loaded = features.sparkSession, {}
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        with staging_area(spark):
+            choice = f"{root}/choices/batch={batch_id}"
+            if read_stored(spark, choice) is None:
+                serving_config(spark, model_name, registry, split_log).coalesce(1).write.mode("overwrite").parquet(choice)
+            config = read_stored(spark, choice)
+            setting = config.head()
+            used = {setting["champion_version"], setting["canary_version"]}
+            for version in set(loaded) - used:  # versions out of service leave the driver
+                del loaded[version]
+
+            def cached(version: str):
+                if version not in loaded:
+                    loaded[version] = load(version)
+                return loaded[version]
+
+            scored = stage(score_routed(stage(batch, "batch"), config, cached, names), "scored")
+            append_scores(scored, f"{root}/scores", batch_id)
+            alerts = flagged_events(scored, ["payload.*"])
+            routes = scored.select(F.col("transaction_id").alias("key"), "model_version", "is_canary")
+            alerts.join(routes, "key").write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+
+    return run_available(features, on_batch, checkpoint)
+
+
 def canary_monitor(observations: DataFrame, root: str, batch_id: int) -> None:
     """foreachBatch body: health of the latest observations, an audit row per trip, and the reset it causes.
 
@@ -259,6 +344,11 @@ def canary_monitor(observations: DataFrame, root: str, batch_id: int) -> None:
     the next batch finds no canary and cannot trip again. The last observations of each arm are carried over. Every
     folder is written per batch and read only below the batch's number, so a repeated batch replaces its own output.
     """
+    with staging_area(observations.sparkSession):
+        _canary_monitor(observations, root, batch_id)
+
+
+def _canary_monitor(observations: DataFrame, root: str, batch_id: int) -> None:
     spark = observations.sparkSession
 
     def before(table: str) -> DataFrame | None:
