@@ -65,6 +65,16 @@ def customer_baselines(df: DataFrame) -> DataFrame:
         round_dp(F.sqrt(spread.cast("double")) / n / F.lit(100.0), 4).alias("std_amount"))
 
 
+def customer_profiles(df: DataFrame, home: str) -> DataFrame:
+    """Profile of each customer for case contexts: spend, home (``home`` of the earliest row) and months since that row."""
+    age = F.floor((F.max("us") - F.min("us")) / F.lit(30 * 86_400 * 1_000_000)).cast("int")
+    known = df.groupBy("customer_id").agg(
+        F.min_by(home, F.struct("us", "transaction_id")).alias("home_city"), age.alias("account_age_months"))
+    spend = customer_baselines(df)
+    return known.join(spend, "customer_id").select(
+        "customer_id", F.col("mean_amount").alias("avg_amount"), "std_amount", "home_city", "account_age_months")
+
+
 def with_baseline(df: DataFrame, baselines: DataFrame) -> DataFrame:
     """Left lookup of floored baselines; unknown customers keep nulls."""
     return df.join(register_baselines(baselines), "customer_id", "left")

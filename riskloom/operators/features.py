@@ -144,21 +144,32 @@ def zscore(amount: Column, mean_1hr: Column, base_mean: Column, base_std: Column
     return round_dp((amount - mu) / F.greatest(F.lit(MIN_SIGMA), sigma), 3)
 
 
+#: A row may bring its own baseline in these columns; it counts where both are known, without floors.
+EVENT_BASELINE = ("event_baseline_mean", "event_baseline_std")
+
+
+def _baseline(df: DataFrame) -> tuple[Column, Column]:
+    """Mean and spread: the row's own where it has both, else the registered ones."""
+    if not set(EVENT_BASELINE) <= set(df.columns):
+        return F.col("baseline_mean"), F.col("baseline_std")
+    own = F.col(EVENT_BASELINE[0]).isNotNull() & F.col(EVENT_BASELINE[1]).isNotNull()
+    return tuple(F.when(own, F.col(a)).otherwise(F.col(b)) for a, b in zip(EVENT_BASELINE, ("baseline_mean", "baseline_std")))
+
+
 def amount_zscore(df: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
-    """C7 alone. ``baselines``: customer_id, baseline_mean, baseline_std (floored)."""
+    """C7 alone. ``baselines``: customer_id, baseline_mean, baseline_std (floored); rows may bring EVENT_BASELINE."""
     df = with_micros(df)
+    own = [c for c in EVENT_BASELINE if c in df.columns]
     hour = trailing(df, "customer_id", [Trailing("s", "sum", "cents", 3600),
                                         Trailing("n", "count", None, 3600)],
-                    keep=["customer_id", "amount"])
+                    keep=["customer_id", "amount", *own])
     if baselines is not None:
         hour = hour.join(baselines, "customer_id", "left")
     else:
         hour = hour.withColumns({"baseline_mean": F.lit(None).cast("double"),
                                  "baseline_std": F.lit(None).cast("double")})
     mean_1hr = F.col("s").cast("double") / (F.col("n").cast("double") * F.lit(100.0))
-    return hour.select("transaction_id", zscore(
-        F.col("amount"), mean_1hr, F.col("baseline_mean"), F.col("baseline_std"))
-        .alias("amount_zscore"))
+    return hour.select("transaction_id", zscore(F.col("amount"), mean_1hr, *_baseline(hour)).alias("amount_zscore"))
 
 
 def build_feature_vector(df: DataFrame, baselines: DataFrame | None = None,
@@ -205,8 +216,7 @@ def finished_features(wide: DataFrame, profiles: DataFrame | None = None, keep:
     made = {
         "avg_amount_1hr": mean_of_cents(total, n),
         "max_amount_24hr": F.col("max_amount_24hr").cast("double") / F.lit(100.0),
-        "amount_zscore": zscore(F.col("amount"), mean_1hr, F.col("baseline_mean"),
-                                F.col("baseline_std")),
+        "amount_zscore": zscore(F.col("amount"), mean_1hr, *_baseline(wide)),
         "is_new_device": F.coalesce("is_new_device", F.lit(False)),
         "is_new_merchant": F.coalesce("is_new_merchant", F.lit(False)),
         "distance_from_last_txn": round_dp(F.col("_km"), 3),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.numeric import round_dp
 from riskloom.operators import cases as CS
 from riskloom.operators import narrative as N
-from riskloom.operators.entities import linked_accounts
+from riskloom.operators.entities import customer_profiles, linked_accounts
 from riskloom.operators.scoring import risk_tier
-from riskloom.plans.feature_queries import _EDGES, _LINKED
+from riskloom.plans.feature_queries import _BASELINES, _EDGES, _LINKED
 from riskloom.plans.governance_queries import LABEL, features
 from riskloom.plans.stored import stored
 from riskloom.plans.sql_base import RISK_MAP, rdp, with_features, with_txn
-from riskloom.schemas import FEATURES, FEATURE_TYPES
+from riskloom.schemas import FEATURES, FEATURE_TYPES, SNAPSHOT_FEATURES
 from riskloom.sources.adapter import read_table, transactions
 
 QUERIES = {}
@@ -106,6 +106,23 @@ def case_context(spark, sf):
         *[F.col(f"context.feature_snapshot.{f}").alias(f"s_{f}") for f in FEATURES])
 
 
+@query("case_context_profiles", with_features(f"""
+  SELECT transaction_id, CASE WHEN known THEN mean_amount ELSE amount END AS avg_amount,
+    CASE WHEN known THEN b.std_amount ELSE greatest(10.0::double, amount * 0.4::double) END AS std_amount,
+    CASE WHEN known THEN home ELSE 'Unknown' END AS home_city, CASE WHEN known THEN months ELSE 6 END AS account_age_months, dist
+  FROM (SELECT *, k >= 0 AND customer_id < 'cust_6' AS known FROM ctx) c JOIN baselines b USING (customer_id)
+  JOIN (SELECT customer_id, arg_min(merchant_id, (us, transaction_id)) AS home, floor((max(us) - min(us))::double / 2592000000000.0::double)::INT AS months
+    FROM txn GROUP BY 1) USING (customer_id)""", *_CTX_CTES, _BASELINES))
+def case_context_profiles(spark, sf):
+    """Profiles of some customers, from their history; the others get the defaults."""
+    t = transactions(spark, sf)
+    flagged = risk_tier(t).where("was_flagged")
+    profiles = customer_profiles(t, "merchant_id").where(F.col("customer_id") < "cust_6")
+    c = CS.case_context(flagged, features(spark, sf), linked_accounts(t, flagged), profiles)
+    return c.select("transaction_id", *[f"context.customer_profile.{f}" for f in ("avg_amount", "std_amount", "home_city", "account_age_months")],
+                    F.col("context.geographic_signals.distance_from_last_txn_km").alias("dist"))
+
+
 _CASE_ID = "'case_' || substr(md5(transaction_id), 1, 16)"
 _CASES = f"""cases AS (SELECT {_CASE_ID} AS id, transaction_id, risk_score, us AS created_us, k, event_id, is_international
   FROM txn WHERE risk_score >= 0.6::double)"""
@@ -180,6 +197,40 @@ def feedback_labels(spark, sf):
                          F.col("created_at").alias("created_us"))
 
 
+def whole_cases(spark, sf):
+    """Cases opened from the whole context bundles."""
+    return CS.open_cases(contexts(spark, sf), F.lit(None).cast("bigint"))
+
+
+def _at(path, kind):
+    return F.get_json_object("case_context", f"$.{path}").cast(kind)
+
+
+@query("open_cases_context", with_features(f"""SELECT {_CASE_ID} AS id, customer_id, amount, channel, device_fingerprint, ip_address, ts_text, risk_label,
+  linked, array_to_string(list_sort(ids), ',') AS ids, merchant_id, risk_rate, dist, location_lat, {', '.join('s_' + f for f in FEATURES)} FROM ctx""", *_CTX_CTES))
+def open_cases_context(spark, sf):
+    """Every section of the stored context, read back from its JSON."""
+    kind = lambda f: "int" if FEATURE_TYPES[f] == "boolean" else "double"
+    info = [_at(f"transaction_info.{f}", "double" if f == "amount" else "string").alias(f)
+            for f in ("customer_id", "amount", "channel", "device_fingerprint", "ip_address")]
+    ids = F.from_json(F.get_json_object("case_context", "$.linked_accounts_graph.linked_customer_ids"), "array<string>")
+    return whole_cases(spark, sf).select(
+        "id", *info, _at("transaction_info.timestamp", "string").alias("ts_text"), _at("scoring_info.risk_label", "string").alias("risk_label"),
+        _at("linked_accounts_graph.shared_device_or_ip_count", "int").alias("linked"), F.array_join(F.array_sort(ids), ",").alias("ids"),
+        _at("merchant_profile.merchant_id", "string").alias("merchant_id"), _at("merchant_profile.category_fraud_rate", "double").alias("risk_rate"),
+        _at("geographic_signals.distance_from_last_txn_km", "double").alias("dist"), _at("geographic_signals.location_lat", "double").alias("location_lat"),
+        *[_at(f"feature_snapshot.{f}", kind(f)).alias(f"s_{f}") for f in FEATURES])
+
+
+@query("feedback_label_snapshots", with_features(f"""SELECT c.transaction_id, c.risk_score, CASE WHEN decision = 'rejected' THEN 'fraud' ELSE 'legitimate' END AS analyst_label,
+  decided_at AS created_us, {', '.join(f's_{f}::double AS {f}' for f in FEATURES)} FROM ctx c JOIN fb USING (transaction_id)""", *_CTX_CTES, _FB))
+def feedback_label_snapshots(spark, sf):
+    """Label rows with the feature snapshot of their case, as training reads them."""
+    labels = CS.apply_feedback(whole_cases(spark, sf), feedback_rows(spark, sf))[1]
+    made = labels.withColumn("f", F.from_json("features", SNAPSHOT_FEATURES))
+    return made.select("transaction_id", "risk_score", "analyst_label", F.col("created_at").alias("created_us"), "f.*")
+
+
 @query("unmatched_feedback", with_txn("""
   SELECT case_ref, decision FROM fb WHERE transaction_id NOT IN (SELECT transaction_id FROM cases)""", _CASES, _FB))
 def unmatched_feedback(spark, sf):

@@ -194,6 +194,32 @@ def validate_features(spark, sf):
     return V.validate_features(features(spark, sf))[0].select("transaction_id")
 
 
+def broken_features(spark, sf):
+    """The feature table with values that no build would give on some rows."""
+    key = F.substring("transaction_id", 5, 20).cast("bigint")
+    return features(spark, sf).withColumns({
+        "hour_of_day": F.when(key % 5 == 0, F.lit(24).cast("bigint")).otherwise(F.col("hour_of_day")),
+        "txn_count_1hr": F.when(key % 7 == 0, -F.col("txn_count_1hr")).otherwise(F.col("txn_count_1hr")),
+        "amount_zscore": F.when(key % 11 == 0, F.lit(float("nan"))).otherwise(F.col("amount_zscore")),
+        "merchant_fraud_rate": F.when(key % 13 == 0, F.col("merchant_fraud_rate") + 1).otherwise(F.col("merchant_fraud_rate"))})
+
+
+@query("rejected_features", with_features("""SELECT transaction_id, reasons FROM (SELECT transaction_id, list_filter([
+  CASE WHEN i % 5 = 0 THEN 'hour_of_day out of range' END, CASE WHEN i % 7 = 0 THEN 'txn_count_1hr is negative' END,
+  CASE WHEN i % 11 = 0 THEN 'amount_zscore is not finite' END, CASE WHEN i % 13 = 0 AND merchant_fraud_rate > 0 THEN 'merchant_fraud_rate out of range' END],
+  lambda x: x IS NOT NULL).list_sort().array_to_string('; ') AS reasons FROM (SELECT *, substr(transaction_id, 5)::BIGINT AS i FROM features)) WHERE reasons <> ''"""))
+def rejected_features(spark, sf):
+    return V.validate_features(broken_features(spark, sf))[1].select(
+        "transaction_id", F.array_join(F.array_sort("violations"), "; ").alias("reasons"))
+
+
+@query("build_features_from_history", with_features(
+    "SELECT f.transaction_id, is_fraud, " + ", ".join(f"f.{x}" for x in FEATURES) + " FROM features f JOIN (SELECT transaction_id, is_fraud FROM txn) USING (transaction_id)"))
+def build_features_from_history(spark, sf):
+    """A table without the feature columns: they are built first."""
+    return TR.build_features(transactions(spark, sf)).select("transaction_id", "is_fraud", *FEATURES)
+
+
 @query("feature_catalog", with_features("WITH_CATALOG"))
 def catalog(spark, sf):
     """The catalog with the number of rows at each feature's default value."""

@@ -84,6 +84,23 @@ def amount_zscore(spark, sf):
     return C.amount_zscore(t, E.register_baselines(E.customer_baselines(t)))
 
 
+@query("amount_zscore_event_baseline", with_features(f"""
+  SELECT b.transaction_id, {rdp("""(b.amount - CASE WHEN k % 3 = 0 THEN 120.0::double WHEN k % 2 = 0 THEN greatest(10.0::double, l.mean_amount) ELSE mean_1hr END)
+    / greatest(10.0::double, CASE WHEN k % 3 = 0 THEN 40.0::double WHEN k % 2 = 0 THEN greatest(5.0::double, l.std_amount)
+      ELSE greatest(10.0::double, mean_1hr * 0.5::double) END)""", 3)} AS amount_zscore, merchant_fraud_rate
+  FROM (SELECT *, sum_1hr::double / (txn_count_1hr::double * 100.0::double) AS mean_1hr FROM base_features) b
+  JOIN baselines l USING (customer_id) JOIN (SELECT transaction_id, merchant_fraud_rate FROM features) USING (transaction_id)""", _BASELINES)
+    .replace("k % 2 = 0", "customer_id < 'cust_5'"))
+def amount_zscore_event_baseline(spark, sf):
+    """Rows with their own baseline, customers with a registered one, and cold starts, in one feature build."""
+    t = transactions(spark, sf)
+    own = F.col("k") % 3 == 0
+    mixed = t.withColumns({"event_baseline_mean": F.when(own, 120.0),
+                           "event_baseline_std": F.when(own, 40.0).when(F.col("k") % 3 == 1, F.lit(None).cast("double")).otherwise(9.0)})
+    known = E.register_baselines(E.customer_baselines(t.where(F.col("customer_id") < "cust_5")))
+    return C.build_feature_vector(mixed, known).select("transaction_id", "amount_zscore", "merchant_fraud_rate")
+
+
 @query("amount_zscore_cold_start",
        with_features("SELECT transaction_id, amount_zscore FROM features"))
 def amount_zscore_cold_start(spark, sf):
