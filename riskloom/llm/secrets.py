@@ -6,6 +6,7 @@ version, however many paths and versions hold it, and never again while the ledg
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,6 +101,23 @@ def update_ledger(history: DataFrame, ledger: DataFrame | None = None,
     return fresh if ledger is None else ledger.unionByName(fresh)
 
 
+def ledger_of(increments: Iterable[DataFrame], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger after one increment of the history after another: each scans only the pairs that those before it lack."""
+    ledger = None
+    for part in increments:
+        ledger = update_ledger(part, ledger, rules)
+    if ledger is None:
+        raise ValueError("no increment")
+    return ledger
+
+
+def halves(history: DataFrame) -> list[DataFrame]:
+    """The history in two increments, by the middle of its ids; rows without id come with the second one."""
+    middle = history.agg((F.min("doc_id") + F.max("doc_id")) / 2).scalar()
+    early = F.coalesce(F.col("doc_id") < middle, F.lit(False))
+    return [history.where(early), history.where(~early)]
+
+
 def findings_by_row(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``history`` with ``findings``: (start, end, kind) by start, then kind in the order of the rules.
 

@@ -60,6 +60,20 @@ def test_ledger_scans_each_blob_and_rule_version_once(spark):
     assert all(spans(r) == brute(r.text) for r in secrets.findings_by_row(later, both).collect())
 
 
+def test_increments_scan_only_what_is_new(spark, monkeypatch):
+    docs = frame(spark, TEXTS[:9] + TEXTS[2:12]).unionByName(frame(spark, [TEXTS[3]]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    scans, scan = [], secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda *a: scans.append(scan(*a)) or scans[-1])
+    parts = secrets.halves(docs)
+    ledger = secrets.ledger_of(parts)
+    first, second = ({r.text or "" for r in part.collect()} for part in parts)
+    assert [s.select("blob").distinct().count() for s in scans] == [len(first), len(second - first)]
+    assert ledger.count() == ledger.select("blob", "rule").distinct().count() == 3 * len(first | second)
+    got = secrets.findings_by_row(docs, ledger).collect()
+    assert len(got) == 20 and all(spans(r) == brute(r.text) for r in got)
+    assert secrets.ledger_of(secrets.halves(empty(spark))).count() == 0
+
+
 def test_redaction_masks_each_secret_and_leaves_the_rest(spark):
     docs = frame(spark).withColumn("source", F.lit("s"))
     out = secrets.redact(docs)
