@@ -269,10 +269,9 @@ def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.nd
 
 def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> None:
     """Raises where the library encodes a whole text to other ids."""
-    found = vocab.library.encode([t or "" for t in texts], out_type=int, num_threads=1)
-    for k, other in enumerate(found):
-        if other != ids[offsets[k]:offsets[k + 1]].tolist():
-            raise ValueError(f"the library encodes this text otherwise: {texts[k][:200]!r}")
+    for k, text in enumerate(texts):
+        if vocab.library.encode(text or "", out_type=int) != ids[offsets[k]:offsets[k + 1]].tolist():
+            raise ValueError(f"the library encodes this text otherwise: {(text or str())[:200]!r}")
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 1) -> DataFrame:
@@ -302,6 +301,13 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str =
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def id_lists(column: pa.ListArray) -> list[list[int]]:
+    """The ids of each row, converted all at once; none for null."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that the library decodes the ids to; a null array decodes to an empty text."""
     kept = [c for c in rows.columns if c != out]
@@ -312,7 +318,7 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, CALL_ROWS):
                 part = batch.slice(at, CALL_ROWS)
-                texts = [library.decode(ids) if ids else "" for ids in part.column(ids_col).to_pylist()]
+                texts = [library.decode(ids) if ids else "" for ids in id_lists(part.column(ids_col))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, out])
 

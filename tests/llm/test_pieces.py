@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,9 @@ def test_query_agrees_with_the_library_on_every_document(spark):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_id_lists_skip_nulls_and_follow_slices():
+    rows = pa.array([[1, 2], None, [], [3]], pa.list_(pa.int32()))
+    assert pieces.id_lists(rows) == [[1, 2], [], [], [3]] and pieces.id_lists(rows.slice(1)) == [[], [], [3]]
+    assert pieces.id_lists(rows.slice(0, 0)) == []
