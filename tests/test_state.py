@@ -71,3 +71,10 @@ def test_late_rows_are_kept_and_a_repeated_batch_replaces_its_own(spark):
     assert late() == ["t0004"]
     S.late_rows(spark.readStream.schema(df.schema).parquet(landing), root, root + "-ckpt-new", HOUR)
     assert late() == ["t0004"]  # starts over as batch 0, which has no mark before it; batch 1 stays
+
+
+def test_rows_share_entries_of_the_state(spark):
+    rows = [txn(i, START + i * 60_000_000, device=f"d{i % 3}", merchant=f"m{i % 40}") for i in range(160)]
+    emitted, progress = feed(spark, [rows[:120:2], rows[1:120:2], rows[120:]], "10 days")
+    same_as_batch(spark, emitted, rows)
+    assert progress[-1][-1].stateOperators[0].numRowsTotal < 40  # an entry per row and per first sight made over 200
