@@ -113,7 +113,7 @@ def merchant_profiles_as_of(df: DataFrame, seconds: int = 86400) -> DataFrame:
         .alias("merchant_fraud_before"))
 
 
-def _has_ip(ip: Column) -> Column:
+def has_ip(ip: Column) -> Column:
     return ip.isNotNull() & (ip != "")
 
 
@@ -127,25 +127,36 @@ def identity_edges(df: DataFrame) -> DataFrame:
     laid_out = df.select(
         "customer_id", "us",
         F.inline(F.array(edge("device", "device_fingerprint"), edge("ip", "ip_address"))))
-    return (laid_out.where(_has_ip(F.col("value")))
+    return (laid_out.where(has_ip(F.col("value")))
             .groupBy("kind", "value", "customer_id").agg(F.min("us").alias("first_seen_us")))
 
 
+def _identities(df: DataFrame) -> DataFrame:
+    return df.select("transaction_id", "customer_id", "us", F.col("device_fingerprint").alias("dev"),
+                     F.when(has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip"))
+
+
 def _identity_rows(df: DataFrame) -> DataFrame:
     """The identifiers of every event, written once: the only reading of ``df`` that the link counts need."""
-    return stage(df.select("transaction_id", "customer_id", "us", F.col("device_fingerprint").alias("dev"),
-                           F.when(_has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip")), "identities")
+    return stage(_identities(df), "identities")
 
 
-def _sized_edges(rows: DataFrame) -> DataFrame:
+def _sized_edges(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(kind, value, customer_id, first, degree): distinct edges with their first sighting and the value's customers.
 
+    With ``wanted`` rows only the edges of their values, without first sightings.
+
     Written once; edges are few beside the events, and every branch below reads them instead of the events.
     """
     edge = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))
-    edges = (rows.select("customer_id", "us", "transaction_id", F.inline(F.array(edge("device", "dev"), edge("ip", "ip"))))
-             .where(_has_ip(F.col("value"))).groupBy("kind", "value", "customer_id")
-             .agg(F.min(F.struct("us", "transaction_id")).alias("first")))
+    laid_out = lambda own, *more: own.select(*more, F.inline(F.array(edge("device", "dev"), edge("ip", "ip")))).where(
+        has_ip(F.col("value")))
+    if wanted is None:
+        edges = (laid_out(rows, "customer_id", "us", "transaction_id").groupBy("kind", "value", "customer_id")
+                 .agg(F.min(F.struct("us", "transaction_id")).alias("first")))
+    else:
+        edges = (laid_out(rows, "customer_id").distinct().join(laid_out(wanted).distinct(), ["kind", "value"], "left_semi")
+                 .withColumn("first", F.lit(None).cast("struct<us:bigint,transaction_id:string>")))
     edges = stage(edges, "edges")
     degrees = edges.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("degree"))
     return stage(edges.join(degrees, ["kind", "value"]), "sized_edges")
@@ -175,14 +186,14 @@ def _pair_members(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return by_device.select(*columns).unionByName(by_ip.select(*columns))
 
 
-def linked_counts(df: DataFrame) -> DataFrame:
-    """Other customers that ever shared the event's device or IP, per transaction.
+def linked_counts(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Other customers that ever shared the event's device or IP, per (``wanted``) transaction.
 
     |A or B| = |A| + |B| - |A and B|, less the customer itself, from edge
     degrees: no list of customers is built, whatever the sharing degree.
     """
-    events = _identity_rows(df)
-    edges = _sized_edges(events)
+    events = _identity_rows(df if wanted is None else wanted)
+    edges = _sized_edges(events) if wanted is None else _sized_edges(_identities(df), events)
     combos = stage(events.select("dev", "ip").distinct(), "combos")
     overlap = (_pair_members(combos.where(F.col("ip").isNotNull()), edges)
                .groupBy("dev", "ip").agg(F.count(F.lit(1)).alias("both")))
@@ -191,9 +202,9 @@ def linked_counts(df: DataFrame) -> DataFrame:
     counts = (combos.join(side("device", "dev"), "dev", "left")
               .join(side("ip", "ip"), "ip", "left").join(overlap, ["dev", "ip"], "left")
               .select(F.col("dev").alias("c_dev"), F.col("ip").alias("c_ip"),
-                      (F.coalesce("n_dev", zero) + F.coalesce("n_ip", zero)
-                       - F.coalesce("both", zero) - F.lit(1)).alias("linked_count")))
-    match = (F.col("dev") == F.col("c_dev")) & F.col("ip").eqNullSafe(F.col("c_ip"))
+                      F.greatest(F.coalesce("n_dev", zero) + F.coalesce("n_ip", zero)
+                                 - F.coalesce("both", zero) - F.lit(1), zero).alias("linked_count")))
+    match = F.col("dev").eqNullSafe(F.col("c_dev")) & F.col("ip").eqNullSafe(F.col("c_ip"))
     return events.join(counts, match, "left").select("transaction_id", "linked_count")
 
 
@@ -208,7 +219,13 @@ def linked_accounts(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame
     rows = df if wanted is None else wanted
     rows = rows.select("transaction_id", "customer_id",
                        F.col("device_fingerprint").alias("dev"),
-                       F.when(_has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip"))
+                       F.when(has_ip(F.col("ip_address")), F.col("ip_address")).alias("ip"))
+    return with_linked_ids(rows, df).select("transaction_id", "customer_id", "linked_customer_ids",
+                                            F.size("linked_customer_ids").cast("bigint").alias("linked_count"))
+
+
+def with_linked_ids(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds linked_customer_ids to rows of customer_id, dev and ip: the customers of ``df`` on either, sorted, without the own."""
     edges = identity_edges(df)
 
     def members(kind: str, name: str) -> DataFrame:
@@ -222,9 +239,7 @@ def linked_accounts(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame
               .join(members("ip", "ip"), "ip", "left"))
     others = F.array_remove(F.array_union(F.coalesce("m_dev", empty), F.coalesce("m_ip", empty)),
                             F.col("customer_id"))
-    return (joined.withColumn("linked_customer_ids", F.array_sort(others))
-            .select("transaction_id", "customer_id", "linked_customer_ids",
-                    F.size("linked_customer_ids").cast("bigint").alias("linked_count")))
+    return joined.withColumn("linked_customer_ids", F.array_sort(others)).drop("m_dev", "m_ip")
 
 
 def linked_counts_as_of(df: DataFrame, slice_seconds: int = 3600) -> DataFrame:
