@@ -122,10 +122,11 @@ METRICS = ["auc_roc", "pr_auc", "threshold", "precision", "recall", "f1_score",
            "true_negatives", "false_negatives", "total_samples"]
 
 
-def all_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
-    """The 13 metrics, one row per group."""
+def all_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), points: DataFrame | None = None) -> DataFrame:
+    """The 13 metrics, one row per group. ``points``: the :func:`score_points` of ``df`` where they are there already."""
     by = list(by)
-    both = precision_recall_f1(_curve_summary(score_points(df, by), by, threshold=threshold))
+    points = score_points(df, by) if points is None else points
+    both = precision_recall_f1(_curve_summary(points, by, threshold=threshold))
     return both.select(
         *by,
         round_dp(F.col("auc_roc"), 4).alias("auc_roc"), round_dp(F.col("pr_auc"), 4).alias("pr_auc"),

@@ -53,13 +53,8 @@ def running_totals(ordered: DataFrame, group: Sequence[str], value: str, sums: S
     return ordered.join(carry, [*group, "_part"]).select(*kept, *columns)
 
 
-def hash_rank(df: DataFrame, label: str | None, id_col: str, seed: int) -> DataFrame:
-    """Adds ``_rank`` (1-based, hash order within the label) and ``_n`` (label size).
-
-    Ranks come from a two-step sum: sizes of 2^16 hash prefixes per label, then a
-    window inside each prefix. Even one label that holds every row is ranked by
-    65,536 independent groups, and the order is reproducible from id and seed.
-    """
+def _prefix_ranks(df: DataFrame, label: str | None, id_col: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_key`` and ``_prefix``, per label and prefix: its size, the rows before it, the label's size)."""
     keys = [label] if label else []
     rows = df.withColumn("_key", shuffle_key(F.col(id_col), seed)).withColumn(
         "_prefix", F.substring("_key", 1, 4))
@@ -69,15 +64,43 @@ def hash_rank(df: DataFrame, label: str | None, id_col: str, seed: int) -> DataF
     else:
         per_label = Window.partitionBy(F.lit(0))  # at most 65,536 prefix rows
     before = per_label.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.select(*keys, "_prefix",
-                         F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
-                         F.sum("_m").over(per_label).alias("_n"))
+    return rows, sizes.select(*keys, "_prefix", "_m",
+                              F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"),
+                              F.sum("_m").over(per_label).alias("_n"))
+
+
+def hash_rank(df: DataFrame, label: str | None, id_col: str, seed: int) -> DataFrame:
+    """Adds ``_rank`` (1-based, hash order within the label) and ``_n`` (label size).
+
+    Ranks come from a two-step sum: sizes of 2^16 hash prefixes per label, then a
+    window inside each prefix. Even one label that holds every row is ranked by
+    65,536 independent groups, and the order is reproducible from id and seed.
+    """
+    keys = [label] if label else []
+    rows, carry = _prefix_ranks(df, label, id_col, seed)
     inside = Window.partitionBy(*keys, "_prefix").orderBy("_key", id_col)
-    return (rows.join(carry, [*keys, "_prefix"])
+    return (rows.join(carry.drop("_m"), [*keys, "_prefix"])
             .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
             .drop("_key", "_prefix", "_before"))
 
 
+def hash_edges(df: DataFrame, label: str, id_col: str, seed: int, cuts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows at given ranks in the order of :func:`hash_rank`: per label one struct (key, id) for each of ``names``.
+
+    ``cuts``: the label and a rank in each column of ``names``; no row has rank 0, so its struct is null. Only the
+    prefixes that hold a wanted rank are sorted, and only label and id are read.
+    """
+    rows, carry = _prefix_ranks(df.select(label, id_col).where(F.col(id_col).isNotNull()), label, id_col, seed)
+    at = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(n).cast("bigint").alias("_at")) for n in names]))
+    wanted = (cuts.select(label, at).join(carry, label)
+              .where((F.col("_at") > F.col("_before")) & (F.col("_at") <= F.col("_before") + F.col("_m"))))
+    inside = Window.partitionBy(label, "_name").orderBy("_key", id_col)
+    found = (rows.join(F.broadcast(wanted), [label, "_prefix"]).withColumn("_r", F.row_number().over(inside))
+             .where(F.col("_before") + F.col("_r") == F.col("_at")))
+    edges = found.groupBy(label).agg(*[F.max(F.when(F.col("_name") == n, F.struct("_key", id_col))).alias(n) for n in names])
+    return cuts.select(label).join(edges, label, "left")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the last by ``order``.
 

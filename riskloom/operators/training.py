@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.hashing import shuffle_key
 from riskloom.functions.numeric import round_dp
 from riskloom.operators import evaluation as H
-from riskloom.operators.ranking import hash_rank
+from riskloom.operators.ranking import hash_edges, hash_rank
 from riskloom.operators.scoring import prepare_xy
 from riskloom.schemas import FEATURES
 from riskloom.session import owned_dir, stage
@@ -39,13 +40,13 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
     """Adds ``split``: exact shares per label and in total.
 
     Cut points are rounded on the running total over the labels, so the totals are
-    exact and every label is within one row of its share.
+    exact and every label is within one row of its share. Rows compare themselves with the
+    row at each cut point of their label, so ``df`` is read three times and not shuffled.
     """
     if abs(train + val + test - 1.0) > 1e-8:
         raise ValueError(f"ratios must sum to 1, got {train + val + test}")
     if label not in df.columns:
         raise KeyError(f"target column {label!r} not found")
-    ranked = hash_rank(df, label, id_col, seed)
     # One row per label value.
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_m"))
     upto = Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
@@ -54,9 +55,11 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
         label,
         (_cut(F.col("_end"), train) - _cut(F.col("_end") - F.col("_m"), train)).alias("_c1"),
         (_cut(F.col("_end"), train + val) - _cut(F.col("_end") - F.col("_m"), train + val)).alias("_c2"))
-    split = (F.when(F.col("_rank") <= F.col("_c1"), "train")
-             .when(F.col("_rank") <= F.col("_c2"), "val").otherwise("test"))
-    return ranked.join(cuts, label).withColumn("split", split).drop("_rank", "_n", "_c1", "_c2")
+    edges = hash_edges(df, label, id_col, seed, cuts, ["_c1", "_c2"])
+    place = F.struct(shuffle_key(F.col(id_col), seed), F.col(id_col))
+    split = F.when(place <= F.col("_c1"), "train").when(place <= F.col("_c2"), "val").otherwise("test")
+    return (df.where(F.col(id_col).isNotNull()).join(F.broadcast(edges), label)
+            .withColumn("split", split).drop("_c1", "_c2"))
 
 
 def random_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42,
@@ -168,15 +171,17 @@ def training_metadata(model, splits: DataFrame, version: str) -> DataFrame:
     best = stage(H.cost_optimal_threshold(predict(model, part("val"))), "cutoff")
     cut = best.head()["optimal_threshold"]
     test = stage(predict(model, part("test")), "test_scores")
-    standard, optimal = H.all_metrics(test, 0.5), H.all_metrics(test, cut)
-    cost = H.financial_cost(test, cut)
-    one = lambda df, c, name=None: df.select(c).scalar().alias(name or c)
+    points = H.score_points(test)
+    standard, optimal = (H.all_metrics(test, at, points=points).head() for at in (0.5, cut))
+    cost, weight = H.financial_cost(test, cut).head(), H.class_weight(part("train")).head()
+    # One row, so its parts meet here; each is computed once.
+    found = {"scale_pos_weight": weight["scale_pos_weight"], "optimal_threshold": cut,
+             "auc_roc": standard["auc_roc"], "pr_auc": standard["pr_auc"], "f1_score_standard_05": standard["f1_score"],
+             "f1_score_optimal": optimal["f1_score"], "precision_optimal": optimal["precision"],
+             "recall_optimal": optimal["recall"], "financial_loss": cost["total_financial_loss"]}
+    counts = {"missed_fraud_count": cost["false_negatives"], "false_alarms_count": cost["false_positives"]}
     sizes = splits.agg(*[F.count_if(F.col("split") == s).alias(f"{s}_samples")
                          for s in ("train", "val", "test")])
-    return sizes.select(
-        F.lit(version).alias("model_version"), "*",
-        one(H.class_weight(part("train")), "scale_pos_weight"), F.lit(cut).alias("optimal_threshold"),
-        one(standard, "auc_roc"), one(standard, "pr_auc"), one(standard, "f1_score", "f1_score_standard_05"),
-        one(optimal, "f1_score", "f1_score_optimal"), one(optimal, "precision", "precision_optimal"),
-        one(optimal, "recall", "recall_optimal"), one(cost, "total_financial_loss", "financial_loss"),
-        one(cost, "false_negatives", "missed_fraud_count"), one(cost, "false_positives", "false_alarms_count"))
+    return sizes.select(F.lit(version).alias("model_version"), "*",
+                        *[F.lit(v).cast("double").alias(n) for n, v in found.items()],
+                        *[F.lit(v).cast("bigint").alias(n) for n, v in counts.items()])
