@@ -71,16 +71,20 @@ def live_history(history: DataFrame, newest_us, ttl_seconds: int = CUSTOMER_TTL_
 def micro_batch_features(batch: DataFrame, history: DataFrame | None,
                          known_devices: DataFrame | None = None,
                          known_merchants: DataFrame | None = None,
-                         last_places: DataFrame | None = None) -> DataFrame:
+                         last_places: DataFrame | None = None, once: bool = False) -> DataFrame:
     """Features of the batch rows given what came before; one row per new transaction.
 
+    ``once``: the batch is a staged table of one row per transaction. The rows that the windows see are staged here,
+    as every group of features reads them.
+
     ``history`` may be cut to :func:`live_history` when the lifetime tables are
     given: pairs seen before the batch, and each customer's last located row.
     Rows already stored are dropped from the batch, so a replay is harmless.
     """
-    batch = with_micros(batch).dropDuplicates(["transaction_id"])
+    batch = with_micros(batch)
+    batch = batch if once else batch.dropDuplicates(["transaction_id"])
     if history is None:
-        return build_feature_vector(batch, known_devices=known_devices,
+        return build_feature_vector(batch if once else stage(batch, "rows"), known_devices=known_devices,
                                     known_merchants=known_merchants)
     fresh = batch.join(history.select("transaction_id"), "transaction_id", "left_anti")
     earlier = history.select(*fresh.columns)
@@ -89,7 +93,7 @@ def micro_batch_features(batch: DataFrame, history: DataFrame | None,
         earlier = earlier.unionByName(last_places.select(*fresh.columns))
     both = (earlier.withColumn("_new", F.lit(False))
             .unionByName(fresh.withColumn("_new", F.lit(True))))
-    made = build_feature_vector(both, known_devices=known_devices, known_merchants=known_merchants,
+    made = build_feature_vector(stage(both, "rows"), known_devices=known_devices, known_merchants=known_merchants,
                                 keep=("_new",))
     return made.where("_new").drop("_new")
 
@@ -140,7 +144,7 @@ def stream_features(stream: DataFrame, root: str, checkpoint: str):
             # Cut first: a late row's last place is the newest before the live rows.
             last = _located(places.where(F.col("us") < low))
             live = last.limit(0) if live is None else live
-        put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last),
+        put(micro_batch_features(batch, live, pairs["device_fingerprint"], pairs["merchant_id"], last, once=True),
             "features")
         for column in pairs:
             add_pairs(batch, column, f"{root}/pairs_{column}", batch_id)

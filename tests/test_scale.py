@@ -53,3 +53,19 @@ def test_metadata_orders_the_scores_once(spark, monkeypatch):
     assert (row.auc_roc, row.f1_score_standard_05, row.f1_score_optimal, row.financial_loss, row.missed_fraud_count, row.false_alarms_count) == (
         half.auc_roc, half.f1_score, best.f1_score, cost.total_financial_loss, cost.false_negatives, cost.false_positives)
     assert len(ordered) == 3  # two by the comparisons above
+
+
+def test_micro_batch_prepares_its_rows_once(spark, monkeypatch):
+    from riskloom.operators.features import build_feature_vector
+    from riskloom.sources.adapter import MIDDLE_US, transactions
+    from riskloom.streaming import jobs as L
+
+    staged, whole = [], L.stage
+    monkeypatch.setattr(L, "stage", lambda df, name: staged.append(name) or whole(df, name))
+    t = transactions(spark, "/root/testdata/sf0.001")
+    late = F.col("us") >= MIDDLE_US
+    made = L.micro_batch_features(t.where(late).unionByName(t.where(late)), t.where(~late))
+    assert staged == ["rows"]
+    key = lambda df: sorted(map(str, df.select("transaction_id", "txn_count_24hr", "amount_zscore", "is_new_device").collect()))
+    ids = t.where(late).select("transaction_id")
+    assert key(made) == key(build_feature_vector(t).join(ids, "transaction_id"))
