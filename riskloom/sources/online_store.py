@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import latest_per_key
 from riskloom.operators.scoring import online_values
 from riskloom.sources.commits import commit, committed, record
 
@@ -53,9 +52,11 @@ def merge_online(rows: DataFrame, root: str, version: int, now: Column, buckets:
     rows = rows.select("transaction_id", "fields", "expires_at").withColumn("bucket", bucket_of(buckets))
     touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most one row per bucket
     old = _read_buckets(spark, root, {b: v for b, v in folders.items() if b in touched}).withColumn("bucket", bucket_of(buckets))
-    both = old.unionByName(rows).where(F.col("expires_at") > now).withColumn("text", F.to_json("fields"))
-    merged = latest_per_key(both, ["transaction_id"], ["expires_at", "text"]).drop("text")
-    (merged.repartition("bucket").sortWithinPartitions("bucket", "transaction_id").write.mode("overwrite").partitionBy("bucket")
+    # Rows of a transaction meet by one exchange; nothing is sorted before it, and the sort behind it serves the files too.
+    both = old.unionByName(rows).where(F.col("expires_at") > now).repartition("bucket")
+    newest = F.max_by(F.struct("fields", "expires_at"), F.struct("expires_at", F.to_json("fields"))).alias("row")
+    merged = both.groupBy("bucket", "transaction_id").agg(newest).select("bucket", "transaction_id", "row.*")
+    (merged.sortWithinPartitions("bucket", "transaction_id").write.mode("overwrite").partitionBy("bucket")
      .option("parquet.bloom.filter.enabled#transaction_id", "true").parquet(f"{root}/data/version={version}"))
     # A bucket may be empty now: only those with a folder are named.
     filled = {r.bucket for r in spark.read.schema(STORE_DDL + ", bucket int").parquet(f"{root}/data/version={version}")
@@ -82,7 +83,7 @@ def read_live(spark: SparkSession, root: str, now: Column) -> DataFrame:
 def lookup(ids: DataFrame, root: str, now: Column) -> DataFrame:
     """The features of the wanted ids (transaction_id) with per-field defaults; ``found`` is false where none is live.
 
-    Only the buckets of the ids are read. Up to LISTED_IDS ids are also a filter on the files; more are joined.
+    Only the buckets of the ids are read. Up to LISTED_IDS rows of ids are also a filter on the files; more are joined.
     """
     spark = ids.sparkSession
     folders, buckets = _folders(spark, root)
@@ -90,10 +91,12 @@ def lookup(ids: DataFrame, root: str, now: Column) -> DataFrame:
     if buckets is None:
         live = spark.createDataFrame([], STORE_DDL)
     else:
-        few = [r.transaction_id for r in ids.distinct().take(LISTED_IDS + 1)]
+        few = [r.transaction_id for r in ids.take(LISTED_IDS + 1)]  # with repetitions: telling them apart would move all ids
         wanted = ids if len(few) > LISTED_IDS else spark.createDataFrame([(i,) for i in few], "transaction_id string")
         touched = {r.bucket for r in wanted.select(bucket_of(buckets).alias("bucket")).distinct().collect()}
         live = _read_buckets(spark, root, {b: v for b, v in folders.items() if b in touched}).where(F.col("expires_at") > now)
         if len(few) <= LISTED_IDS:
-            live = live.where(F.col("transaction_id").isin([i for i in few if i is not None]))
-    return online_values(ids.join(live.select("transaction_id", "fields"), "transaction_id", "left"))
+            live = live.where(F.col("transaction_id").isin(sorted({i for i in few if i is not None})))
+    # Typed values are joined, not maps of text.
+    typed = online_values(live.where(F.col("fields").isNotNull()))
+    return ids.join(typed, "transaction_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -14,7 +14,7 @@ def moved(df) -> str:
     """The columns that exchanges and sorts of the plan handle."""
     text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     blocks = re.split(r"\n\n+", text)
-    return "\n".join(block for block in blocks if re.match(r"\(\d+\) (Exchange|Sort|Window)", block))
+    return "\n".join(block for block in blocks if re.match(r"\(\d+\) (BroadcastExchange|Exchange|Sort|Window)", block))
 
 
 def test_split_takes_the_members_of_the_ranks_and_moves_no_rows(spark):
@@ -69,3 +69,21 @@ def test_micro_batch_prepares_its_rows_once(spark, monkeypatch):
     key = lambda df: sorted(map(str, df.select("transaction_id", "txn_count_24hr", "amount_zscore", "is_new_device").collect()))
     ids = t.where(late).select("transaction_id")
     assert key(made) == key(build_feature_vector(t).join(ids, "transaction_id"))
+
+
+def test_store_moves_rows_once_and_joins_values(spark):
+    from riskloom.session import work_dir
+    from riskloom.sources import online_store as O
+
+    root, at = work_dir(spark, "store"), lambda s: F.timestamp_seconds(F.lit(s))
+    rows = lambda n, count: spark.range(n).select(
+        F.concat(F.lit("t"), "id").alias("transaction_id"), F.create_map(F.lit("txn_count_1hr"), F.lit(count)).alias("fields"),
+        F.timestamp_seconds(F.lit(500)).alias("expires_at"))
+    O.publish(rows(1500, "1"), root, 0, at(0), buckets=3)
+    O.publish(rows(700, "2").unionByName(rows(300, "3")), root, 1, at(0))
+    found = O.lookup(rows(1600, "0"), root, at(10))
+    assert "fields" not in moved(found) and "transaction_id" in moved(found)
+    assert sorted((r.txn_count_1hr or 0, r.found, r["count"]) for r in found.groupBy("txn_count_1hr", "found").count().collect()) == [
+        (0, False, 100), (1, True, 800), (2, True, 400), (3, True, 300)]
+    nulls = spark.createDataFrame([(None,), ("t1",)], "transaction_id string")
+    assert {r.transaction_id: r.found for r in O.lookup(nulls, root, at(10)).collect()} == {None: False, "t1": True}
