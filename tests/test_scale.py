@@ -87,3 +87,20 @@ def test_store_moves_rows_once_and_joins_values(spark):
         (0, False, 100), (1, True, 800), (2, True, 400), (3, True, 300)]
     nulls = spark.createDataFrame([(None,), ("t1",)], "transaction_id string")
     assert {r.transaction_id: r.found for r in O.lookup(nulls, root, at(10)).collect()} == {None: False, "t1": True}
+
+
+def test_stream_input_is_not_dealt_to_two_tasks(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from riskloom.plans import data_queries as Q
+    from riskloom.sources.adapter import transactions
+
+    def dealt(*args):
+        raise AssertionError("the history is dealt anew")
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", dealt)
+    sf = "/root/testdata/sf0.001"
+    t = transactions(spark, sf)
+    ids = lambda df: sorted(r[0] for r in df.collect())
+    assert ids(Q.stream_dedupe(spark, sf)) == ids(t.select("transaction_id"))
+    assert ids(Q.stream_score_and_flag(spark, sf)) == ids(t.where("amount > 200 and is_fraud = 1").select("transaction_id"))
