@@ -267,23 +267,30 @@ def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.nd
     return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]), np.append(0, np.cumsum(sizes))
 
 
-def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> None:
-    """Raises where the library encodes a whole text to other ids."""
+def check_texts(vocab: MergeVocabulary, texts: list[str | None], ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+    """The ids of each text as the library encodes the whole of it; raises where they are others than ``ids``."""
+    lists = []
     for k, text in enumerate(texts):
-        if vocab.library.encode(text or "", out_type=int) != ids[offsets[k]:offsets[k + 1]].tolist():
+        lists.append(vocab.library.encode(text or "", out_type=int))
+        if lists[-1] != ids[offsets[k]:offsets[k + 1]].tolist():
             raise ValueError(f"the library encodes this text otherwise: {(text or str())[:200]!r}")
+    return lists
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "ids", check_every: int = 1,
+           decoded: str | None = None) -> DataFrame:
     """Adds the ids of every whole text as an array column ``out``; no begin or end ids, no sampling.
 
     The library encodes every whole text too, slice by slice (2 MB), and other ids are an error. A caller may set
     ``check_every`` to check one slice in so many of a task, from the first one on, or 0 for none. Null and empty texts get an empty array. All other
-    columns stay; a column named as ``out`` is replaced. Rows are independent: nothing is shuffled, and a lost task is
+    columns stay; a column named as ``out`` is replaced. ``decoded`` names a further column with the text that the library
+    decodes the ids to, as :func:`decode` does, without sending them to a second worker. Rows are independent: nothing is shuffled, and a lost task is
     run again. ``model_file`` must be readable at the same place on every executor.
     """
-    kept = [c for c in docs.columns if c != out]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    kept = [c for c in docs.columns if c not in (out, decoded)]
+    added = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
+    added += [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([docs.schema[c] for c in kept] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, n = vocabulary(model_file), 0
@@ -292,11 +299,15 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str =
                 part = batch.slice(piece.first, piece.rows)
                 texts = part.column(text_col).to_pylist()
                 ids, offsets = encode_texts(vocab, texts)
+                lists = None
                 if check_every and n % check_every == 0:
-                    check_texts(vocab, texts, ids, offsets)
+                    lists = check_texts(vocab, texts, ids, offsets)
                 n += 1
                 made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [made], names=[*kept, out])
+                columns = [*[part.column(c) for c in kept], made]
+                if decoded:
+                    columns.append(decode_lists(vocab.library, id_lists(made) if lists is None else lists))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -308,6 +319,10 @@ def id_lists(column: pa.ListArray) -> list[list[int]]:
     return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def decode_lists(library, lists: list[list[int]]) -> pa.Array:
+    return pa.array([library.decode(ids) if ids else "" for ids in lists], pa.string())
+
+
 def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text that the library decodes the ids to; a null array decodes to an empty text."""
     kept = [c for c in rows.columns if c != out]
@@ -318,8 +333,7 @@ def decode(rows: DataFrame, model_file: str, ids_col: str = "ids", out: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, CALL_ROWS):
                 part = batch.slice(at, CALL_ROWS)
-                texts = [library.decode(ids) if ids else "" for ids in id_lists(part.column(ids_col))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [pa.array(texts, pa.string())], names=[*kept, out])
+                texts = decode_lists(library, id_lists(part.column(ids_col)))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [texts], names=[*kept, out])
 
     return rows.select(*kept).mapInArrow(run, schema)
