@@ -87,10 +87,10 @@ def merge_feedback(history: DataFrame, feedback: DataFrame) -> DataFrame:
     rows = history.withColumns({"_source": F.lit(0), "_at": F.lit(None).cast("timestamp")}).unionByName(
         feedback.withColumn("_source", F.lit(1)).withColumnRenamed("created_at", "_at"),
         allowMissingColumns=True)
-    # max_by combines before the shuffle; a much-labelled transaction stays one row per map task.
-    order = F.struct("_source", F.coalesce("_at", F.timestamp_seconds(F.lit(0))))
-    return (rows.groupBy("transaction_id").agg(F.max_by(F.struct(*rest), order).alias("_r"))
-            .select("transaction_id", *[f"_r.{c}" for c in rest]))
+    # A window carries only the columns that are used later; a much-labelled transaction stays one row per map task, as
+    # Spark limits the rows of a group before the shuffle.
+    newest = Window.partitionBy("transaction_id").orderBy(F.desc("_source"), F.coalesce("_at", F.timestamp_seconds(F.lit(0))).desc())
+    return rows.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") == 1).select("transaction_id", *rest)
 
 
 def train_model(train: DataFrame, val: DataFrame, params: dict | None = None, rounds: int = 150,

@@ -89,11 +89,13 @@ _FEEDBACK = "labels_t AS (SELECT transaction_id, us, CASE WHEN is_fraud = 1 THEN
 
 def labeled(spark, sf):
     """Verdicts on all error events, with their feature snapshots."""
-    t = transactions(spark, sf).where(F.col("channel") == "neft")
-    snaps = A.feature_snapshots(features(spark, sf)).select("transaction_id", "features")
-    return t.join(snaps, "transaction_id").select(
-        "transaction_id", "features", "risk_score", F.when(F.col("is_fraud") == 1, "fraud").otherwise("legitimate").alias("analyst_label"),
-        F.lit("analyst").alias("label_source"), F.col("timestamp").alias("created_at"))
+    verdict = F.when(F.col("is_fraud") == 1, "fraud").otherwise("legitimate")
+    t = transactions(spark, sf).where(F.col("channel") == "neft").select(
+        "transaction_id", "risk_score", verdict.alias("analyst_label"), F.lit("analyst").alias("label_source"), F.col("timestamp").alias("created_at"))
+    kept = ("risk_score", "analyst_label", "label_source", "created_at")
+    # Joined as typed columns: only the rows with a verdict become text.
+    snaps = A.feature_snapshots(t.join(features(spark, sf).select("transaction_id", *FEATURES), "transaction_id"), kept)
+    return snaps.select("transaction_id", "features", *kept)
 
 
 @query("read_feedback", with_features("""SELECT transaction_id, amount_zscore, unique_devices_1hr::double AS unique_devices_1hr,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +49,11 @@ def append_new(batch: DataFrame, path: str) -> None:
     write_transactions(new_transactions(batch, stored), path)
 
 
-def feature_snapshots(features: DataFrame) -> DataFrame:
-    """One JSON document of the 17 numeric features per transaction."""
-    numeric = model_input(features, ["transaction_id"])
+def feature_snapshots(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One JSON document of the 17 numeric features per transaction, with the columns of ``keep``."""
+    numeric = model_input(features, ["transaction_id", *keep])
     return numeric.select("transaction_id", F.to_json(F.struct(*FEATURES)).alias("features"),
-                          F.lit(FEATURE_VERSION).alias("feature_version"))
+                          F.lit(FEATURE_VERSION).alias("feature_version"), *keep)
 
 
 def write_feature_snapshots(features: DataFrame, path: str) -> None:

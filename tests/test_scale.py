@@ -90,17 +90,27 @@ def test_store_moves_rows_once_and_joins_values(spark):
 
 
 def test_stream_input_is_not_dealt_to_two_tasks(spark, monkeypatch):
-    from pyspark.sql import DataFrame
-
     from riskloom.plans import data_queries as Q
     from riskloom.sources.adapter import transactions
 
     def dealt(*args):
         raise AssertionError("the history is dealt anew")
 
-    monkeypatch.setattr(DataFrame, "repartitionByRange", dealt)
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", dealt)
     sf = "/root/testdata/sf0.001"
     t = transactions(spark, sf)
     ids = lambda df: sorted(r[0] for r in df.collect())
     assert ids(Q.stream_dedupe(spark, sf)) == ids(t.select("transaction_id"))
     assert ids(Q.stream_score_and_flag(spark, sf)) == ids(t.where("amount > 200 and is_fraud = 1").select("transaction_id"))
+
+
+def test_merge_moves_only_the_columns_in_use(spark):
+    history = spark.range(50).select(F.col("id").cast("string").alias("transaction_id"), (F.col("id") * 2).alias("x"), (F.col("id") * 3).alias("unused"),
+                                     F.lit(0).alias("is_fraud"))
+    labels = spark.createDataFrame([("1", 7, 8, 1, 10), ("1", 9, 8, 0, 20), ("new", 5, 5, 1, None)],
+                                   "transaction_id string, x long, unused long, is_fraud int, at long")
+    merged = TR.merge_feedback(history, labels.withColumn("created_at", F.timestamp_seconds("at")).drop("at"))
+    assert merged.columns == ["transaction_id", "x", "unused", "is_fraud"]
+    got = {r.transaction_id: (r.x, r.is_fraud) for r in merged.select("transaction_id", "x", "is_fraud").collect()}
+    assert got == {str(i): (2 * i, 0) for i in range(50)} | {"1": (9, 0), "new": (5, 1)}
+    assert "unused" not in moved(merged.select("transaction_id", "x"))
