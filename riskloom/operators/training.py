@@ -21,6 +21,9 @@ CANDIDATES = [
     {"stepSize": 0.03, "maxDepth": 8, "subsamplingRate": 0.75, "featureSubsetStrategy": "0.75", "minInstancesPerNode": 30},
 ]
 
+#: Rows that boosted fits side by side may hold together; a fit keeps its binned rows in memory, about 340 bytes each.
+ROWS_SIDE_BY_SIDE = 12_000_000
+
 
 def build_features(df: DataFrame) -> DataFrame:
     """Pass-through when all 17 feature columns exist, else the feature build."""
@@ -123,8 +126,8 @@ def fold_scores(rows: DataFrame, k: int = 3, candidates: list[dict] | None = Non
                 parallelism: int = 3, fit=train_model) -> DataFrame:
     """candidate_idx, fold, y, p: every row scored by every candidate fitted on the other folds.
 
-    ``parallelism`` fits run side by side, so small late rounds of one fit do not leave the cluster idle. Each writes
-    its scores; no score reaches the driver. ``fit(train, held_out, params, rounds, seed=seed)`` returns an MLlib model.
+    ``parallelism`` fits run side by side, so small late rounds of one fit do not leave the cluster idle; boosted fits of
+    many rows, which fill it alone, are fewer (ROWS_SIDE_BY_SIDE), so their cached rows are not evicted. Each writes its scores; no score reaches the driver. ``fit(train, held_out, params, rounds, seed=seed)`` returns an MLlib model.
     """
     from multiprocessing.pool import ThreadPool
 
@@ -141,6 +144,8 @@ def fold_scores(rows: DataFrame, k: int = 3, candidates: list[dict] | None = Non
 
     wrapped = inheritable_thread_target(spark)(one)
     tasks = [(index, params, fold) for index, params in enumerate(candidates or CANDIDATES) for fold in range(k)]
+    if fit is train_model:
+        parallelism = min(parallelism, ROWS_SIDE_BY_SIDE // max(1, folded.count()))
     with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
         pool.starmap(wrapped, tasks, chunksize=1)
     return spark.read.schema("y int, p double, candidate_idx int, fold int").parquet(path)

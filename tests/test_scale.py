@@ -114,3 +114,17 @@ def test_merge_moves_only_the_columns_in_use(spark):
     got = {r.transaction_id: (r.x, r.is_fraud) for r in merged.select("transaction_id", "x", "is_fraud").collect()}
     assert got == {str(i): (2 * i, 0) for i in range(50)} | {"1": (9, 0), "new": (5, 1)}
     assert "unused" not in moved(merged.select("transaction_id", "x"))
+
+
+@pytest.mark.parametrize("limit, most", [(90, 1), (200, 2), (10_000, 3)])
+def test_boosted_fits_side_by_side_hold_a_bounded_number_of_rows(spark, monkeypatch, limit, most):
+    from multiprocessing import pool
+
+    sizes, whole = [], pool.ThreadPool
+    monkeypatch.setattr(pool, "ThreadPool", lambda n: sizes.append(n) or whole(n))
+    monkeypatch.setattr(TR, "ROWS_SIDE_BY_SIDE", limit, raising=False)
+    monkeypatch.setattr(TR, "train_model", lambda *args, **more: None)
+    monkeypatch.setattr(TR, "predict", lambda model, held: held.select("y", F.lit(0.5).alias("p")))
+    rows = spark.range(90).select(F.col("id").alias("transaction_id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    assert TR.fold_scores(rows, fit=TR.train_model).count() == 3 * 90
+    assert sizes == [most]
