@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from riskloom.llm.textops import Slice, slices
 
 SPACE = "▁"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 #: Texts that are decoded at once.
 CALL_ROWS = 200
 #: Words of up to so many characters are merged side by side, one merge of each per step; longer ones by a heap of their own.
@@ -30,6 +30,14 @@ SHORT = 48
 #: Words whose ids a worker remembers, and at most 16 times as many ids.
 MEMORY_WORDS = 500_000
 NONE = np.int64(1) << 30
+#: Places of the table in which pairs are looked up first, for each pair.
+SPARSE = 16
+_HASHES = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F)}
+
+
+def slots(keys: np.ndarray, bits: int, which: int) -> np.ndarray:
+    """A place below 2 ** ``bits`` for each key, by one of two multiplicative hashes."""
+    return ((keys.astype(np.uint64) * _HASHES[which]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class MergeVocabulary:
@@ -60,6 +68,7 @@ class MergeVocabulary:
         self.merges = np.array([key for key, _ in found], np.int64)
         self.merged = np.array([n for _, n in found], np.int64)
         self.place = place[self.merged].astype(np.int64)
+        self.first, self.second = self._places()
         self.of_char = -1 - np.arange(0x110000, dtype=np.int32)
         for name, k in number.items():
             if len(name) == 1:
@@ -78,12 +87,33 @@ class MergeVocabulary:
         """``merges`` as a dictionary, for one pair at a time."""
         return dict(zip(self.merges.tolist(), zip(self.place.tolist(), self.merged.tolist())))
 
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs are in ``merges``, by two hashes: the second table holds what meets another pair in the first."""
+        bits = (SPARSE * len(self.merges)).bit_length()
+        first = np.zeros(1 << bits, np.int32)
+        at = np.arange(len(self.merges), dtype=np.int32)
+        first[slots(self.merges, bits, 1)] = at
+        rest = at[first[slots(self.merges, bits, 1)] != at]
+        while True:  # larger until no two pairs meet
+            found = slots(self.merges[rest], bits, 2)
+            if len(np.unique(found)) == len(rest):
+                break
+            bits += 1
+        second = np.zeros(1 << bits, np.int32)
+        second[found] = rest
+        return first, second
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, piece) of each pair of symbols; the place is NONE where they form no piece."""
         known = (left >= 0) & (right >= 0)
         keys = np.where(known, left.astype(np.int64) * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.merges, keys), len(self.merges) - 1)
+        at = self.first[slots(keys, len(self.first).bit_length() - 1, 1)]
         hit = self.merges[at] == keys
+        other = np.flatnonzero(~hit)
+        if len(other):
+            again = self.second[slots(keys[other], len(self.second).bit_length() - 1, 2)]
+            found = self.merges[again] == keys[other]
+            at[other[found]], hit[other[found]] = again[found], True
         return np.where(hit, self.place[at], NONE), self.merged[at]
 
     def merge_short(self, symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,33 +188,50 @@ class MergeVocabulary:
         return np.array([s for s in own if s is not gone], np.int64)
 
     def forget(self) -> None:
-        """Empties the memory of words: each one's row, and per row where its ids begin and how many they are."""
+        """Empties the memory of words: each one's row, and per row where its ids begin, how many they are, whether it came again."""
         self.rows: dict[bytes, int] = {}
         self.known = np.zeros(0, np.int32)
         self.begin = self.count = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _make_room(self) -> None:
+        """Keeps the words that came again since the last time; forgets all if those fill half of the memory."""
+        kept = np.flatnonzero(self.again)
+        counts = self.count[kept]
+        size = int(counts.sum())
+        if len(kept) > MEMORY_WORDS // 2 or size > 8 * MEMORY_WORDS:
+            return self.forget()
+        names = list(self.rows)  # in the order of their rows
+        self.rows = {names[i]: n for n, i in enumerate(kept.tolist())}
+        begin = np.cumsum(counts) - counts
+        self.known = self.known[np.repeat(self.begin[kept] - begin, counts) + np.arange(size)]
+        self.begin, self.count, self.again = begin, counts, np.zeros(len(kept), bool)
 
     def remembered(self, words: pa.Array) -> np.ndarray:
         """The rows of distinct words; new ones are merged first."""
         if len(self.rows) > MEMORY_WORDS or len(self.known) > 16 * MEMORY_WORDS:
-            self.forget()
-        keys = words.to_pylist()
+            self._make_room()
+        keys = words.to_numpy(zero_copy_only=False).tolist()  # bytes at once, not a scalar of Arrow for each
         row = np.array(list(map(self.rows.get, keys, repeat(-1))), np.int64)
+        self.again[row[row >= 0]] = True
         new = np.flatnonzero(row < 0)
         if len(new):
-            ids, counts = self.words_ids(words.take(pa.array(new)))
+            fresh = [keys[i] for i in new.tolist()]
+            ids, counts = self.words_ids(fresh)
             row[new] = len(self.begin) + np.arange(len(new))
-            self.rows.update(zip([keys[i] for i in new.tolist()], row[new].tolist()))
+            self.rows.update(zip(fresh, row[new].tolist()))
             self.begin = np.append(self.begin, len(self.known) + np.cumsum(counts) - counts)
             self.count = np.append(self.count, counts)
             self.known = np.append(self.known, ids)
+            self.again = np.append(self.again, np.zeros(len(new), bool))
         return row
 
-    def words_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def words_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of words, one after another; a symbol outside the vocabulary becomes its bytes or the unknown id."""
-        text = b"".join(words.to_pylist())
+        text = b"".join(words)
         symbol = self.of_char[np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)].astype(np.int64)
         data = np.frombuffer(text, np.uint8)
-        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
         lengths = np.diff(np.append(0, chars[ends]))
         long = lengths > SHORT
@@ -262,7 +309,7 @@ def vocabulary(model_file: str) -> MergeVocabulary:
 def encode_texts(vocab: MergeVocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts; null counts as empty, and an empty text has no ids."""
     plain = pa.array(vocab.library.normalize([t or "" for t in texts]), pa.large_string())
-    parts = [vocab.encode_slice(part) for part in slices(plain, SLICE_BYTES)]
+    parts = [vocab.encode_slice(part) for part in slices(plain, 2 * SLICE_BYTES)]  # space marks make it longer
     sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(offsets) for _, offsets in parts]])
     return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in parts]]), np.append(0, np.cumsum(sizes))
 
@@ -281,7 +328,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", out: str =
            decoded: str | None = None) -> DataFrame:
     """Adds the ids of every whole text as an array column ``out``; no begin or end ids, no sampling.
 
-    The library encodes every whole text too, slice by slice (2 MB), and other ids are an error. A caller may set
+    The library encodes every whole text too, slice by slice (4 MB), and other ids are an error. A caller may set
     ``check_every`` to check one slice in so many of a task, from the first one on, or 0 for none. Null and empty texts get an empty array. All other
     columns stay; a column named as ``out`` is replaced. ``decoded`` names a further column with the text that the library
     decodes the ids to, as :func:`decode` does, without sending them to a second worker. Rows are independent: nothing is shuffled, and a lost task is
