@@ -11,7 +11,7 @@ from riskloom.operators import evaluation as H
 from riskloom.operators.ranking import hash_edges, hash_rank
 from riskloom.operators.scoring import prepare_xy
 from riskloom.schemas import FEATURES
-from riskloom.session import owned_dir, stage
+from riskloom.session import bounded_tasks, owned_dir, stage
 
 # Default boosting parameters and the three search candidates.
 DEFAULTS = {"stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20}
@@ -113,7 +113,9 @@ def train_model(train: DataFrame, val: DataFrame, params: dict | None = None, ro
     rows = rows.withColumn("w", F.when(F.col("y") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", validationIndicatorCol="is_val",
                         maxIter=rounds, seed=seed, **{**DEFAULTS, **(params or {})})
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), gbt]).fit(rows)
+    # A fit holds one partition of its binned rows per task, so these are cut by size.
+    with bounded_tasks(train.sparkSession):
+        return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="x"), gbt]).fit(rows)
 
 
 def predict(model, rows: DataFrame, *keep: str) -> DataFrame:

@@ -333,7 +333,7 @@ HALF_US = BASE_US + 6 * 3600 * 1_000_000
 def features(spark, sf):
     """The offline feature table with label and time, stored once."""
     return stored(spark, sf, "features", lambda: build_feature_vector(
-        transactions(spark, sf), keep=("us", "is_fraud", "timestamp", "amount")))
+        transactions(spark, sf), keep=("us", "is_fraud", "timestamp", "amount")), read_table(spark, sf, "events").count)
 
 
 def halves(spark, sf):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -78,12 +80,46 @@ def owned_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: What one task is to hold: bytes of a shuffle or of files, and rows of the input.
+TASK_BYTES, TASK_ROWS = 16 << 20, 100_000
+
+
+def _bytes(text: str) -> int:
+    """A size as Spark's settings spell it (1048576b, 64k, 16MB)."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def bounded_tasks(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Jobs that start inside are dealt to more tasks where the input is larger, not to larger tasks.
+
+    A shuffle is merged to tasks of ``TASK_BYTES`` at most, a scan reads as much in a task, and shuffles of ``rows`` rows have
+    a partition for ``TASK_ROWS``. Settings that are finer already stay.
+    """
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    parts = "spark.sql.shuffle.partitions"
+    before = {name: spark.conf.get(name) for name in (*sizes, parts)}
+    wanted = {name: str(TASK_BYTES) for name in sizes if _bytes(before[name]) > TASK_BYTES}
+    if math.ceil(rows / TASK_ROWS) > int(before[parts]):
+        wanted[parts] = str(math.ceil(rows / TASK_ROWS))
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name in wanted:
+            spark.conf.set(name, before[name])
+
+
+def stage(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Writes ``df`` once and reads it back.
 
     Used where several branches of a plan need the same expensive intermediate:
-    it is computed once, pruned on read, and outlives lost executors.
+    it is computed once, pruned on read, and outlives lost executors. ``rows``: of its input, where that is
+    known, so that its shuffles have enough partitions.
     """
     path = owned_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with bounded_tasks(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

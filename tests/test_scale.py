@@ -128,3 +128,42 @@ def test_boosted_fits_side_by_side_hold_a_bounded_number_of_rows(spark, monkeypa
     rows = spark.range(90).select(F.col("id").alias("transaction_id"), (F.col("id") % 4 == 0).cast("int").alias("y"))
     assert TR.fold_scores(rows, fit=TR.train_model).count() == 3 * 90
     assert sizes == [most]
+
+
+def test_a_larger_feature_table_has_more_tasks_not_larger_ones(spark, monkeypatch):
+    from riskloom import session as S
+    from riskloom.plans import governance_queries as G
+    from riskloom.plans import stored as K
+
+    sf = "/root/testdata/sf0.001"
+    files = lambda: len(G.features(spark, sf).inputFiles())
+    monkeypatch.setattr(K, "_WRITTEN", {})
+    whole = sorted(map(str, G.features(spark, sf).collect()))
+    assert files() <= 4
+    monkeypatch.setattr(K, "_WRITTEN", {})
+    monkeypatch.setattr(S, "TASK_ROWS", 5)
+    monkeypatch.setattr(S, "TASK_BYTES", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "100b")
+    try:
+        assert files() > 4 and sorted(map(str, G.features(spark, sf).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_settings_are_bounded_inside_only_and_finer_ones_stay(spark):
+    from riskloom.session import TASK_BYTES, TASK_ROWS, bounded_tasks
+
+    advisory, scan, parts = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes",
+                             "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in (advisory, scan, parts)]
+    spark.conf.set(scan, "16k")
+    try:
+        with pytest.raises(KeyError), bounded_tasks(spark, 4 * TASK_ROWS + 1):
+            assert (spark.conf.get(advisory), spark.conf.get(scan), spark.conf.get(parts)) == (str(TASK_BYTES), "16k", "5")
+            raise KeyError
+        with bounded_tasks(spark, TASK_ROWS):
+            assert spark.conf.get(parts) == "4"
+        assert [spark.conf.get(n) for n in (advisory, scan, parts)] == [before[0], "16k", "4"]
+    finally:
+        spark.conf.set(scan, before[1])
