@@ -30,18 +30,19 @@ def value_histogram(reference: DataFrame, current: DataFrame, features: Sequence
 
     The only pass over both tables. Equal values combine before the shuffle, and a
     feature with very many distinct values is cut into many ranges. Nulls and NaN
-    are dropped.
+    are dropped. The rows of that pass, one per cell, name the feature by its number.
     """
     def side(df: DataFrame, ref: int) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                          for f in features])
+        cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f).cast("double").alias("value"))
+                          for i, f in enumerate(features, 1)])
         return df.select(F.inline(cells)).select(
-            "feature", "value", F.lit(ref).cast("bigint").alias("r"),
+            "_i", "value", F.lit(ref).cast("bigint").alias("r"),
             F.lit(1 - ref).cast("bigint").alias("c"))
 
     cells = side(reference, 1).unionByName(side(current, 0))
     hist = (cells.where(F.col("value").isNotNull() & ~F.isnan("value"))
-            .groupBy("feature", "value").agg(F.sum("r").alias("ref_n"), F.sum("c").alias("cur_n")))
+            .groupBy("_i", "value").agg(F.sum("r").alias("ref_n"), F.sum("c").alias("cur_n"))
+            .select(F.element_at(F.array(*map(F.lit, features)), F.col("_i")).alias("feature"), "value", "ref_n", "cur_n"))
     return stage_ordered(hist, ["feature"], "value")
 
 

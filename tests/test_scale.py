@@ -167,3 +167,14 @@ def test_settings_are_bounded_inside_only_and_finer_ones_stay(spark):
         assert [spark.conf.get(n) for n in (advisory, scan, parts)] == [before[0], "16k", "4"]
     finally:
         spark.conf.set(scan, before[1])
+
+
+def test_cells_of_the_drift_histogram_carry_no_names(spark, monkeypatch):
+    from riskloom.operators import drift as J
+
+    rows = spark.createDataFrame([(1.0, 5, None), (1.0, 6, True), (float("nan"), 6, False), (2.0, 6, True)], "a double, b long, c boolean")
+    made = J.value_histogram(rows, rows.where("b = 6"), ["a", "b", "c"])
+    assert sorted((r.feature, r.value, r.ref_n, r.cur_n) for r in made.collect()) == [
+        ("a", 1.0, 2, 1), ("a", 2.0, 1, 1), ("b", 5.0, 1, 0), ("b", 6.0, 3, 3), ("c", 0.0, 1, 1), ("c", 1.0, 2, 2)]
+    monkeypatch.setattr(J, "stage_ordered", lambda hist, *args: hist)
+    assert "feature" not in moved(J.value_histogram(rows, rows, ["a", "b", "c"]))
