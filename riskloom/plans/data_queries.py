@@ -310,7 +310,7 @@ _MODELS = {}
 
 def training_splits(spark, sf):
     return stored(spark, sf, "splits", lambda: TR.stratified_split(
-        E.prepare_xy(features(spark, sf), keep=("transaction_id",)), label="y"))
+        E.prepare_xy(features(spark, sf), keep=("transaction_id",)), label="y"), features(spark, sf).count)
 
 
 def trained(spark, sf):

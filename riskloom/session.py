@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -116,10 +116,10 @@ def stage(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Writes ``df`` once and reads it back.
 
     Used where several branches of a plan need the same expensive intermediate:
-    it is computed once, pruned on read, and outlives lost executors. ``rows``: of its input, where that is
-    known, so that its shuffles have enough partitions.
+    it is computed once, pruned on read, and outlives lost executors. Where the caller counts the ``rows`` of
+    its input, tasks are bounded by :func:`bounded_tasks`.
     """
     path = owned_dir(df.sparkSession, name)
-    with bounded_tasks(df.sparkSession, rows):
+    with bounded_tasks(df.sparkSession, rows) if rows else nullcontext():
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
