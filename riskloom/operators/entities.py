@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,22 +226,54 @@ def linked_accounts(df: DataFrame, wanted: DataFrame | None = None) -> DataFrame
                                             F.size("linked_customer_ids").cast("bigint").alias("linked_count"))
 
 
+#: Ids that a task puts into the lists of its rows; a row counts as ``ROW_IDS`` besides.
+TASK_IDS, ROW_IDS = 1_000_000, 100
+
+
+def _members(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """(kind, value, ids, n, ids_made, groups): the sorted customers of every device and IP that ``rows`` use, written once.
+
+    ``ids_made`` is what all rows of the value put into lists; they are dealt to ``groups`` of about ``TASK_IDS``.
+    """
+    side = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("value"))
+    used = (rows.select(F.inline(F.array(side("device", "dev"), side("ip", "ip")))).where("value is not null")
+            .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("uses")))
+    lists = (identity_edges(df).join(used, ["kind", "value"]).groupBy("kind", "value", "uses")
+             .agg(F.sort_array(F.collect_set("customer_id")).alias("ids")))
+    n = F.size("ids").cast("bigint")
+    made = F.col("uses") * (n + ROW_IDS)
+    groups = F.least(F.col("uses"), F.ceil(made / F.lit(TASK_IDS))).cast("int")
+    return stage(lists.select("kind", "value", "ids", n.alias("n"), made.alias("ids_made"), groups.alias("groups")), "members")
+
+
 def with_linked_ids(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """Adds linked_customer_ids to rows of customer_id, dev and ip: the customers of ``df`` on either, sorted, without the own."""
-    edges = identity_edges(df)
-
-    def members(kind: str, name: str) -> DataFrame:
-        used = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct()
-        return (edges.where(F.col("kind") == kind).join(used, "value", "left_semi")
-                .groupBy("value").agg(F.collect_set("customer_id").alias(f"m_{name}"))
-                .withColumnRenamed("value", name))
-
-    empty = F.array().cast("array<string>")
-    joined = (rows.join(members("device", "dev"), "dev", "left")
-              .join(members("ip", "ip"), "ip", "left"))
-    others = F.array_remove(F.array_union(F.coalesce("m_dev", empty), F.coalesce("m_ip", empty)),
-                            F.col("customer_id"))
-    return joined.withColumn("linked_customer_ids", F.array_sort(others)).drop("m_dev", "m_ip")
+    """Adds linked_customer_ids to rows of customer_id, dev and ip: the customers of ``df`` on either, sorted, without the own.
+
+    Lists are sorted once per device or IP. A row takes the shorter of its two lists along and meets the longer one last;
+    there the rows of a value are dealt by groups to tasks of bounded output, so a long list moves once per group and not per row.
+    """
+    members = _members(rows, df)
+    parts = math.ceil((members.agg(F.sum("ids_made")).head()[0] or 1) / TASK_IDS)
+    size = lambda kind, name: members.where(F.col("kind") == kind).select(
+        F.col("value").alias(name), F.col("n").alias(f"n_{name}"), F.col("groups").alias(f"g_{name}"))
+    zero, empty = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    by_ip = F.coalesce("n_ip", zero) >= F.coalesce("n_dev", zero)
+    pick = lambda device, ip, ip_first: F.when(by_ip == ip_first, ip).otherwise(device)
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce(pick(F.col("g_dev"), F.col("g_ip"), True), F.lit(1)))
+    sized = (rows.join(size("device", "dev"), "dev", "left").join(size("ip", "ip"), "ip", "left").select(
+        *rows.columns, dealt.cast("int").alias("group"), *[
+            pick(device, ip, first).alias(f"{name}_{part}") for name, first in (("long", True), ("short", False))
+            for part, device, ip in (("kind", F.lit("device"), F.lit("ip")), ("value", F.col("dev"), F.col("ip")))]))
+    short = members.select(F.col("kind").alias("short_kind"), F.col("value").alias("short_value"), F.col("ids").alias("short_ids"))
+    along = sized.join(short, ["short_kind", "short_value"], "left").withColumn(
+        "short_ids", F.array_remove(F.coalesce("short_ids", empty), F.col("customer_id")))
+    keys = ["long_kind", "long_value", "group"]
+    long = members.select(F.col("kind").alias("long_kind"), F.col("value").alias("long_value"), "ids",
+                          F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    joined = along.repartition(parts, *keys).join(long.repartition(parts, *keys), keys, "left")
+    ids = F.coalesce("ids", empty)
+    whole = F.when(F.size("short_ids") == 0, ids).otherwise(F.sort_array(F.array_union(ids, "short_ids")))
+    return joined.select(*rows.columns, F.array_remove(whole, F.col("customer_id")).alias("linked_customer_ids"))
 
 
 def linked_counts_as_of(df: DataFrame, slice_seconds: int = 3600) -> DataFrame:
